@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from qaloom.catalog.views import AS_OF, TOOL_SCHEMA
+from qaloom.operators import decisions as D
+from qaloom.operators import leases as L
 from qaloom.operators import rules as R
+from qaloom.operators.analytics import AUTOMATIC_REVIEWER
 
 VIEWS = {
     "v_records": """
@@ -61,7 +64,7 @@ VIEWS = {
          timestamp '2024-01-10 00:30:00' + to_minutes(o_orderkey%60) as requested_at
   from orders""",
     "v_lease_events": """
-  select event_id, timestamp '2024-01-01 00:00:00' + to_seconds(event_id) as at,
+  select event_id, timestamp '2024-01-01 00:00:00' + to_seconds(event_id) as moment,
          user_id*10 + cast(json_extract_string(props,'$.k') as bigint)//10 as question_id
   from events""",
 }
@@ -159,12 +162,13 @@ t_out as (
                  when output = 'no call' then '{R.NO_CALL}' end as reason
   from v_tool_records),
 t_args as (
-  select *, list_filter(json_keys(props), k -> not list_contains(
-                case event_type when 'click' then ['k'] when 'view' then ['k','v']
-                     when 'purchase' then ['amount'] else [] end, k)) as extra,
-         list_filter(case event_type when 'click' then ['k'] when 'view' then ['k','v']
-                     when 'purchase' then ['amount','ghost'] else [] end,
-                     r -> not list_contains(json_keys(props), r)) as lacking
+  select *,
+         [k for k in json_keys(props) if not list_contains(
+             case event_type when 'click' then ['k'] when 'view' then ['k','v']
+                  when 'purchase' then ['amount'] else []::varchar[] end, k)] as extra,
+         [r for r in case event_type when 'click' then ['k'] when 'view' then ['k','v']
+                     when 'purchase' then ['amount','ghost'] else []::varchar[] end
+          if not list_contains(json_keys(props), r)] as lacking
   from t_out),
 t_checks as (
   select position, source_id, reason,
@@ -201,3 +205,255 @@ s_all as (
   select c.position, c.reason,
          concat_ws('|', case when dup then 'duplicate' end, nullif(checks, '')) as checks
   from t_checks c join s_dup d on d.position = c.position)""")
+
+
+# ---- analytics --------------------------------------------------------------
+
+_TS = "strftime({}, '%Y-%m-%d %H:%M:%S')"
+
+
+def _ts(column: str) -> str:
+    return f"strftime({column}, '%Y-%m-%d %H:%M:%S') as {column}"
+
+
+def _progress(source: str, by: str = "") -> str:
+    group = f"group by {by}" if by else ""
+    head = f"{by}, " if by else ""
+    return f"""
+select *, greatest(total - reviewed - assigned, 0) as pending,
+       case when reviewed > 0 then round_even(passed / reviewed * 100, 1) else 0.0 end as pass_rate,
+       case when total > 0 then reviewed / total else 0.0 end as progress_ratio
+from (
+  select {head}count(*) as total, count(r.id) as reviewed,
+         count(*) filter (r.decision = 'Pass') as passed, count(*) filter (r.decision = 'Fail') as failed,
+         count(*) filter (r.id is null and l.lease_expires_at > timestamp '{AS_OF}') as assigned
+  from {source} q left join v_reviews r on r.question_id = q.id
+  left join v_leases l on l.question_id = q.id {group})"""
+
+
+oracle("progress", _progress("v_questions"))
+oracle("progress_by_batch", _progress("v_questions", "batch_id"))
+oracle("progress_ready", _progress(
+    "(select * from v_questions where batch_id in (select id from v_batches where status = 'ready'))"))
+oracle("pass_rate", """
+select reviewer, count(*) as reviewed, count(*) filter (decision = 'Pass') as passed,
+       round_even(count(*) filter (decision = 'Pass') / count(*) * 100, 1) as pass_rate
+from v_reviews group by reviewer""")
+oracle("by_reviewer", """
+select reviewer, count(*) as reviews from v_reviews r join v_questions q on q.id = r.question_id
+group by reviewer order by reviews desc, reviewer""")
+oracle("over_time", """
+select strftime(reviewed_at, '%Y-%m-%d') as date, count(*) as reviews
+from v_reviews r join v_questions q on q.id = r.question_id group by 1 order by 1""")
+oracle("share_of_max", """
+select reviewer, count(*) as reviews, count(*) / max(count(*)) over () * 100 as percent
+from v_reviews group by reviewer""")
+_LISTED = """
+b_listed as (
+  select b.id, any_value(filename) as filename, any_value(file_hash) as file_hash,
+         any_value(uploaded_at) as uploaded_at, any_value(imported_count) as imported_count,
+         any_value(skipped_count) as skipped_count, any_value(status) as status,
+         count(q.id) as stored, count(r.id) as reviewed
+  from v_batches b left join v_questions q on q.batch_id = b.id
+  left join v_reviews r on r.question_id = q.id group by b.id)"""
+oracle("batch_list", f"""
+select id, filename, file_hash, {_ts('uploaded_at')}, imported_count, skipped_count, status, stored, reviewed
+from b_listed order by id desc""", _LISTED)
+oracle("held_back", """
+select cast(coalesce(sum(stored) filter (status <> 'ready'), 0) as bigint) as questions,
+       count(*) filter (status <> 'ready') as uploads from b_listed""", _LISTED)
+_SEARCHED = f"""
+s_rows as (
+  select r.id as review_id, q.id as question_id, q.source_id, q.batch_id, b.filename, q.instruction,
+         q.input_text as question, q.output, r.decision, r.notes, r.reviewer, r.reviewed_at
+  from v_reviews r join v_questions q on q.id = r.question_id join v_batches b on b.id = q.batch_id)"""
+
+
+def _like(columns: str, pattern: str) -> str:
+    return " or ".join(f"lower({c}) like '{pattern}' escape '\\'" for c in columns.split())
+
+
+oracle("review_search", f"""
+select * replace ({_ts('reviewed_at')}) from (
+  select * from s_rows
+  where {_like('source_id instruction question output notes reviewer filename', '%the%_r%')}
+  order by reviewed_at desc, review_id desc limit 50) where decision = 'Pass'""", _SEARCHED)
+oracle("review_search_by_id", f"""
+select review_id, source_id, instruction, question, output, decision, notes, reviewer, {_ts('reviewed_at')}
+from s_rows where {_like('source_id instruction output notes reviewer', '%r3%')}
+order by review_id desc limit 500""", _SEARCHED)
+oracle("export_rows", """
+select instruction, question, output, decision as "pass/fail", notes from s_rows
+order by reviewed_at, review_id""", _SEARCHED)
+
+# ---- leases and decisions ---------------------------------------------------
+
+oracle("lease_status", f"""
+select question_id, reviewer,
+       case when lease_expires_at > timestamp '{AS_OF}' then 'live' else 'expired' end as status from v_leases""")
+oracle("lease_expiry_audit", f"""
+select 'lease_expired' as event_type, question_id, cast(null as bigint) as review_id, reviewer as actor,
+       '{{}}' as details_json, '{AS_OF}' as created_at
+from v_leases where lease_expires_at <= timestamp '{AS_OF}'""")
+oracle("renew_batch", f"""
+select r.request_id, r.question_id, r.reviewer,
+       case when l.question_id is not null then 1 else 0 end as renewed
+from v_requests r left join v_leases l on l.question_id = r.question_id and l.reviewer = r.reviewer
+ and l.session_id = r.session_id and l.lease_expires_at > timestamp '{AS_OF}'""")
+oracle("renewed_leases", f"""
+select question_id, reviewer, session_id, strftime(last_activity_at, '%Y-%m-%d %H:%M:%S') as assigned_at,
+       '{AS_OF}' as last_activity_at,
+       strftime(timestamp '{AS_OF}' + interval 30 minute, '%Y-%m-%d %H:%M:%S') as lease_expires_at
+from v_leases l where lease_expires_at > timestamp '{AS_OF}' and exists (
+  select 1 from v_requests r where l.question_id = r.question_id and l.reviewer = r.reviewer
+   and l.session_id = r.session_id)""")
+oracle("skip_batch", f"""
+select request_id, question_id, reviewer,
+       case when not held or row_number() over (
+         partition by question_id, reviewer, session_id order by request_id) > 1 then '{L.INACTIVE}' end as reason
+from (select r.*, l.question_id is not null as held from v_requests r
+      left join v_leases l on l.question_id = r.question_id and l.reviewer = r.reviewer
+       and l.session_id = r.session_id)""")
+_SUBMIT = f"""
+m_seen as (
+  select r.*, case
+      when decision not in ('Pass','Fail') then '{D.BAD_DECISION.replace("'", "''")}'
+      when decision = 'Fail' and notes = '' then '{D.NOTES_REQUIRED}'
+    end as invalid,
+    exists (select 1 from labels w where w.doc_id = r.question_id) as reviewed,
+    exists (select 1 from v_leases l where l.question_id = r.question_id and l.reviewer = r.reviewer
+            and l.session_id = r.session_id and l.lease_expires_at > r.requested_at) as held
+  from v_requests r),
+m_first as (
+  select *, sum(case when invalid is null and not reviewed and held then 1 else 0 end) over (
+      partition by question_id order by requested_at, request_id
+      rows between unbounded preceding and 1 preceding) as won_before
+  from m_seen),
+m_out as (
+  select *, case when invalid is not null then invalid
+                 when reviewed or coalesce(won_before, 0) > 0 then '{D.REVIEWED}'
+                 when not held then '{L.INACTIVE}' end as reason
+  from m_first)"""
+oracle("submit_batch", "select request_id, question_id, reviewer, reason from m_out", _SUBMIT)
+oracle("submitted_reviews", f"""
+select question_id, decision, case when decision = 'Pass' then '' else notes end as notes, reviewer,
+       strftime(requested_at, '%Y-%m-%d %H:%M:%S') as reviewed_at
+from m_out where reason is null""", _SUBMIT)
+_HELD = f"""
+l_held as (
+  select reviewer, session_id, min(question_id) as question_id from v_leases
+  where lease_expires_at > timestamp '{AS_OF}' and question_id not in (select doc_id from labels)
+  group by reviewer, session_id)"""
+oracle("claim_resume", """
+select distinct r.reviewer, r.session_id, l.question_id
+from v_requests r join l_held l on l.reviewer = r.reviewer and l.session_id = r.session_id""", _HELD)
+oracle("claim_batch", """
+select reviewer, session_id, claim_id, exclude_question_id, question_id, 'resumed' as outcome from c_valid
+where question_id is not null
+union all
+select p.reviewer, p.session_id, p.claim_id, p.exclude_question_id, given,
+       case when given is null then 'none' else 'claimed' end
+from (
+  select p.*, case when clash and c.n = 1 then s.spare when clash then k.question_id
+                   when p.rank = h.heir then c.only_question else p.question_id end as given
+  from c_pairs p cross join c_clash c cross join c_spare s cross join c_heir h
+  left join c_ring g on g.rank = p.rank left join c_ring k on k.ring = g.ring % c.n + 1) p""",
+_HELD + f""",
+c_one as (
+  select trim(reviewer) as reviewer, session_id, min(claim_id) as claim_id,
+         arg_min(exclude_question_id, claim_id) as exclude_question_id
+  from v_claims group by 1, 2),
+c_valid as (
+  select c.*, l.question_id from c_one c left join l_held l
+    on l.reviewer = c.reviewer and l.session_id = c.session_id),
+c_asking as (
+  select *, row_number() over (order by sha256('seed:' || reviewer || ':' || session_id)) as rank
+  from c_valid where question_id is null),
+c_pool as (
+  select id, row_number() over (order by sha256('seed:' || cast(id as varchar))) as rank from v_questions
+  where batch_id in (select id from v_batches where status = 'ready')
+    and id not in (select doc_id from labels)
+    and id not in (select question_id from v_leases where lease_expires_at > timestamp '{AS_OF}')),
+c_pairs as (
+  select a.reviewer, a.session_id, a.claim_id, a.exclude_question_id, a.rank, p.id as question_id,
+         coalesce(p.id = a.exclude_question_id, false) as clash
+  from c_asking a left join c_pool p on p.rank = a.rank),
+c_ring as (
+  select rank, question_id, row_number() over (
+    order by sha256('seed:' || reviewer || ':' || session_id)) as ring from c_pairs where clash),
+c_clash as (select count(*) as n, min(question_id) as only_question from c_ring),
+c_spare as (select min(id) as spare from c_pool where rank = (select max(rank) + 1 from c_asking)),
+c_heir as (
+  select min(p.rank) as heir from c_pairs p cross join c_clash c cross join c_spare s
+  where p.question_id is null and c.n = 1 and s.spare is null
+    and p.exclude_question_id is distinct from c.only_question)""")
+_BULK = f"""
+u_items as (
+  select source_id, row_hash, arg_max(notes, ord) as item_notes from (
+    select source_id, '{R.NOTES['duplicate']}' as notes, position as ord,
+           {_hash('instruction', 'input_text', 'output')} as row_hash
+    from (select *, id as position, row_number() over (
+            partition by instruction, input_text order by id) as n from v_questions) where n > 1
+    union all
+    select source_id, concat_ws(chr(10), case when dup then '{R.NOTES['duplicate']}' end,
+             case when eng then '{R.NOTES['english']}' end, case when pun then '{R.NOTES['punctuation']}' end),
+           position, {_hash('instruction', 'input_text', 'output')}
+    from r_fired where dup or eng or pun)
+  group by source_id, row_hash),
+u_keyed as (
+  select id as question_id, source_id, {_hash('instruction', 'input_text', 'output')} as row_hash
+  from v_questions),
+u_actions as (
+  select k.question_id, k.source_id, k.row_hash, i.item_notes, r.id as review_id, r.decision,
+         case r.decision when 'Fail' then 'already_failed' when 'Pass' then 'overwritten'
+              else 'failed' end as action
+  from u_keyed k join u_items i on i.source_id = k.source_id and i.row_hash = k.row_hash
+  left join v_reviews r on r.question_id = k.question_id)"""
+_BULK = _RECORD_RULES + "," + _BULK
+oracle("bulk_fail_actions", "select question_id, source_id, row_hash, item_notes, action from u_actions", _BULK)
+_UNMATCHED = """from u_items i where not exists (
+  select 1 from u_keyed k where k.source_id = i.source_id and k.row_hash = i.row_hash)"""
+oracle("bulk_fail_unmatched", f"select source_id, row_hash {_UNMATCHED}", _BULK)
+oracle("bulk_fail_summary", f"""
+select count(*) filter (action = 'failed') as failed, count(*) filter (action = 'overwritten') as overwritten,
+       count(*) filter (action = 'already_failed') as already_failed,
+       (select count(*) {_UNMATCHED}) as unmatched from u_actions""", _BULK)
+oracle("auto_vs_human", f"""
+select kind, count(*) as reviews, count(*) filter (decision = 'Fail') as failed from (
+  select 'human' as kind, decision from v_reviews
+  where question_id not in (select question_id from u_actions where action = 'overwritten')
+  union all select 'automatic', 'Fail' from u_actions where action <> 'already_failed')
+group by kind""", _BULK)
+_RESET = f"""
+z_out as (
+  select request_id, question_id as review_id,
+         case when question_id not in (select doc_id + 1 from labels) or row_number() over (
+           partition by question_id order by request_id) > 1 then '{D.NO_REVIEW}' end as reason
+  from v_requests)"""
+oracle("reset_reviews", "select request_id, review_id, reason from z_out", _RESET)
+oracle("delete_batches", f"""
+select n.batch_id, coalesce(stored, 0) as stored, coalesce(reviewed, 0) as reviewed,
+       case when b.id is null then '{D.NO_UPLOAD}'
+            when reviewed > 0 then cast(reviewed as varchar) || '{D.HAS_REVIEWS}' end as reason
+from (select distinct cast(n_nationkey as bigint) as batch_id from nation) n
+left join v_batches b on b.id = n.batch_id
+left join (select batch_id, count(*) as stored, count(r.id) as reviewed from v_questions q
+           left join v_reviews r on r.question_id = q.id group by 1) c on c.batch_id = n.batch_id""")
+oracle("audit_by_type", f"""
+select 'lease_expired' as event_type, count(*) as events from v_leases
+where lease_expires_at <= timestamp '{AS_OF}' having count(*) > 0
+union all
+select 'skip', count(*) from (
+  select distinct l.question_id from v_leases l join v_requests r on l.question_id = r.question_id
+   and l.reviewer = r.reviewer and l.session_id = r.session_id) having count(*) > 0
+union all select 'review_reset', count(*) from z_out where reason is null having count(*) > 0
+union all
+select case action when 'failed' then 'auto_fail' else 'review_overridden' end, count(*)
+from u_actions where action <> 'already_failed' group by 1""", _BULK + "," + _RESET)
+oracle("lease_sessions", """
+select question_id, session_no, strftime(min(moment), '%Y-%m-%d %H:%M:%S') as started_at,
+       strftime(max(moment), '%Y-%m-%d %H:%M:%S') as last_at, count(*) as events
+from (select question_id, moment, cast(sum(new) over (partition by question_id order by moment) as bigint) as session_no
+      from (select question_id, moment, case when moment - lag(moment) over (partition by question_id order by moment)
+                   < interval 30 minute then 0 else 1 end as new from v_lease_events))
+group by question_id, session_no""")

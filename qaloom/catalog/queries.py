@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 from qaloom.catalog import views as V
 from qaloom.functions import text as tx
 from qaloom.functions import tools as tl
+from qaloom.operators import analytics as A
+from qaloom.operators import audit
+from qaloom.operators import decisions as D
+from qaloom.operators import leases as L
 from qaloom.operators import rules as R
+from qaloom.operators import search as S
+from qaloom.operators import skew
 from qaloom.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,3 +124,236 @@ def unchecked_rows(spark, d):
 @query
 def rule_summary(spark, d):
     return R.summary(R.judge(V.tool_records(spark, d), "tool_calling"))
+
+
+# ---- analytics --------------------------------------------------------------
+
+def _text_time(df: DataFrame, *columns: str) -> DataFrame:
+    for name in columns:
+        df = df.withColumn(name, F.date_format(name, "yyyy-MM-dd HH:mm:ss"))
+    return df
+
+
+def _tables(spark, d):
+    return V.questions(spark, d), V.reviews(spark, d), V.leases(spark, d), V.at(V.AS_OF)
+
+
+@query
+def progress(spark, d):
+    return A.progress(A.question_state(*_tables(spark, d)))
+
+
+@query
+def progress_ready(spark, d):
+    return A.progress(A.question_state(*_tables(spark, d), batches=V.batches(spark, d)))
+
+
+@query
+def progress_by_batch(spark, d):
+    return A.progress(A.question_state(*_tables(spark, d)), ["batch_id"])
+
+
+@query
+def pass_rate(spark, d):
+    rows = V.reviews(spark, d).groupBy("reviewer").agg(
+        F.count(F.lit(1)).alias("reviewed"), F.count_if(F.col("decision") == "Pass").alias("passed")
+    )
+    return rows.withColumn("pass_rate", A.pass_rate(F.col("passed"), F.col("reviewed")))
+
+
+@query
+def by_reviewer(spark, d):
+    return A.by_reviewer(A.reviews_in(V.reviews(spark, d), V.questions(spark, d), None))
+
+
+@query
+def over_time(spark, d):
+    return A.over_time(A.reviews_in(V.reviews(spark, d), V.questions(spark, d), None))
+
+
+@query
+def share_of_max(spark, d):
+    return A.share_of_max(A.by_reviewer(V.reviews(spark, d)))
+
+
+@query
+def batch_list(spark, d):
+    questions, reviews, _, _ = _tables(spark, d)
+    return _text_time(A.batch_list(V.batches(spark, d), questions, reviews), "uploaded_at")
+
+
+@query
+def held_back(spark, d):
+    questions, reviews, _, _ = _tables(spark, d)
+    return A.held_back(A.batch_list(V.batches(spark, d), questions, reviews))
+
+
+@query
+def review_search(spark, d):
+    questions, reviews, _, _ = _tables(spark, d)
+    found = S.search_reviews(reviews, questions, V.batches(spark, d), " THE%_r ", limit=50)
+    return _text_time(S.with_decision(found, "Pass"), "reviewed_at")
+
+
+@query
+def review_search_by_id(spark, d):
+    questions, reviews, _, _ = _tables(spark, d)
+    return _text_time(S.search_reviews_by_id(reviews, questions, "R3"), "reviewed_at")
+
+
+@query
+def export_rows(spark, d):
+    questions, reviews, _, _ = _tables(spark, d)
+    return S.export_rows(reviews, questions)
+
+
+# ---- leases and decisions ---------------------------------------------------
+
+@query
+def lease_status(spark, d):
+    return L.status(V.leases(spark, d), V.at(V.AS_OF)).select("question_id", "reviewer", "status")
+
+
+@query
+def lease_expiry_audit(spark, d):
+    return _text_time(L.sweep(V.leases(spark, d), V.at(V.AS_OF))["audit"], "created_at")
+
+
+@query
+def renew_batch(spark, d):
+    outcomes = L.renew(V.requests(spark, d), V.leases(spark, d), V.at(V.AS_OF))["outcomes"]
+    return outcomes.select("request_id", "question_id", "reviewer", F.col("renewed").cast("int").alias("renewed"))
+
+
+@query
+def renewed_leases(spark, d):
+    rows = L.renew(V.requests(spark, d), V.leases(spark, d), V.at(V.AS_OF))["leases"]
+    return _text_time(rows, "assigned_at", "last_activity_at", "lease_expires_at")
+
+
+@query
+def skip_batch(spark, d):
+    outcomes = L.skip(V.requests(spark, d), V.leases(spark, d), V.at(V.AS_OF))["outcomes"]
+    return outcomes.select("request_id", "question_id", "reviewer", "reason")
+
+
+@query
+def submit_batch(spark, d):
+    _, reviews, leases, _ = _tables(spark, d)
+    outcomes = D.submit(V.requests(spark, d), reviews, leases)["outcomes"]
+    return outcomes.select("request_id", "question_id", "reviewer", "reason")
+
+
+@query
+def submitted_reviews(spark, d):
+    _, reviews, leases, _ = _tables(spark, d)
+    return _text_time(D.submit(V.requests(spark, d), reviews, leases)["reviews"], "reviewed_at")
+
+
+def _claim(spark, d):
+    questions, reviews, leases, as_of = _tables(spark, d)
+    return L.claim(
+        V.claims(spark, d), questions, reviews, leases, as_of, "seed", V.batches(spark, d)
+    )
+
+
+@query
+def claim_batch(spark, d):
+    return _claim(spark, d)["outcomes"]
+
+
+@query
+def claim_resume(spark, d):
+    """Resuming alone: holders ask again for what they hold."""
+    questions, reviews, leases, as_of = _tables(spark, d)
+    claims = L.one_per_session(V.requests(spark, d).withColumnRenamed("request_id", "claim_id").select(
+        "claim_id", "reviewer", "session_id", F.col("question_id").alias("exclude_question_id")
+    ))
+    held = L.resumable(reviews, leases, as_of).drop("assigned_at")
+    return skew.join_unique(claims, held, ["reviewer", "session_id"], "inner").select(
+        "reviewer", "session_id", "question_id"
+    )
+
+
+def _bulk_items(spark, d):
+    """Repeats among the stored questions, and every failed conversation record."""
+    stored = R.mark_duplicates(V.question_records(spark, d)).where("is_repeat").select(
+        "source_id", F.lit(R.NOTES["duplicate"]).alias("notes"),
+        tx.row_hash(F.col("instruction"), F.col("input"), F.col("output")).alias("row_hash"),
+        F.col("position").alias("ord"),
+    )
+    other = R.failure_rows(R.judge(V.records(spark, d), "arabizi")).select(
+        "source_id", "notes", "row_hash", F.col("position").alias("ord")
+    )
+    return stored.unionByName(other)
+
+
+def _bulk(spark, d):
+    questions, reviews, _, as_of = _tables(spark, d)
+    return D.bulk_fail(_bulk_items(spark, d), questions, reviews, F.lit("admin"), as_of)
+
+
+@query
+def bulk_fail_actions(spark, d):
+    return _bulk(spark, d)["actions"].select("question_id", "source_id", "row_hash", "item_notes", "action")
+
+
+@query
+def bulk_fail_summary(spark, d):
+    return D.bulk_fail_summary(_bulk(spark, d))
+
+
+@query
+def bulk_fail_unmatched(spark, d):
+    return _bulk(spark, d)["unmatched"]
+
+
+@query
+def auto_vs_human(spark, d):
+    """Decisions by kind once the bulk failure is applied."""
+    changes, reviews = _bulk(spark, d), V.reviews(spark, d)
+    replaced = changes["replaced_reviews"]
+    columns = ["question_id", "decision", "reviewer"]
+    kept = reviews.join(replaced.select("question_id"), "question_id", "left_anti")
+    now = kept.select(*columns).unionByName(replaced.select(*columns)).unionByName(
+        changes["reviews"].select(*columns)
+    )
+    return A.auto_vs_human(now)
+
+
+@query
+def reset_reviews(spark, d):
+    asked = V.requests(spark, d).select(
+        "request_id", F.col("question_id").alias("review_id"), F.col("reviewer").alias("actor")
+    )
+    return D.reset(asked, V.reviews(spark, d), V.at(V.AS_OF))["outcomes"].select(
+        "request_id", "review_id", "reason"
+    )
+
+
+@query
+def delete_batches(spark, d):
+    questions, reviews, leases, as_of = _tables(spark, d)
+    asked = V.table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("batch_id"))
+    return D.delete_batches(
+        asked, V.batches(spark, d), questions, reviews, leases, F.lit("admin"), as_of
+    )["outcomes"]
+
+
+@query
+def audit_by_type(spark, d):
+    """The events of an expiry sweep, skips, resets and a bulk failure, counted by type."""
+    questions, reviews, leases, as_of = _tables(spark, d)
+    asked = V.requests(spark, d)
+    resets = asked.select("request_id", F.col("question_id").alias("review_id"), F.lit("admin").alias("actor"))
+    return audit.by_type(audit.log(
+        L.sweep(leases, as_of)["audit"], L.skip(asked, leases, as_of)["audit"],
+        D.reset(resets, reviews, as_of)["audit"], _bulk(spark, d)["audit"],
+    ))
+
+
+@query
+def lease_sessions(spark, d):
+    """Activity on a question, cut where 30 minutes pass without any."""
+    runs = skew.sessions(V.lease_events(spark, d), "question_id", "at", L.LEASE)
+    return _text_time(runs, "started_at", "last_at")

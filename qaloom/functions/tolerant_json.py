@@ -38,31 +38,37 @@ def strict_decoder() -> json.JSONDecoder:
     return json.JSONDecoder(parse_constant=refuse)
 
 
-def value_end(decoder: json.JSONDecoder, text: str, start: int) -> int:
-    """End of the JSON value that begins at ``start``, or -1.
+def read_at(decoder: json.JSONDecoder, text: str, start: int) -> tuple[object, int] | None:
+    """The JSON value that begins at ``start`` and its end, or None.
 
     A readable value ends where its bracket closes, so no bracket is counted here.
     """
     try:
-        return decoder.raw_decode(text, start)[1]
+        return decoder.raw_decode(text, start)
     except (ValueError, RecursionError):
-        return -1
+        return None
 
 
-def find_values(decoder: json.JSONDecoder, text: str | None, opener: str) -> Iterator[dict[str, int]]:
-    """Where JSON values that begin with ``opener`` stand in one text (1-based)."""
+def find_values(
+    decoder: json.JSONDecoder, text: str | None, opener: str, wanted=lambda value: True
+) -> Iterator[dict[str, int]]:
+    """Where wanted JSON values that begin with ``opener`` stand in one text (1-based)."""
     start = -1 if text is None else text.find(opener)
     while start != -1:
-        end = value_end(decoder, text, start)
-        if end != -1:
-            yield {"start": start + 1, "length": end - start}
+        found = read_at(decoder, text, start)
+        if found and wanted(found[0]):
+            yield {"start": start + 1, "length": found[1] - start}
         start = text.find(opener, start + 1)
 
 
-def _array_spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def is_object_list(value: object) -> bool:
+    return bool(value) and all(isinstance(entry, dict) for entry in value)
+
+
+def _object_list_spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     decoder = strict_decoder()
     for texts in batches:
-        yield texts.map(lambda t: list(find_values(decoder, t, "[")))
+        yield texts.map(lambda t: list(find_values(decoder, t, "[", is_object_list)))
 
 
 def _first_object_spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -77,12 +83,13 @@ def _first_object_spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 _SPANS = "array<struct<start int, length int>>"
 
 
-def array_spans(text: Column) -> Column:
-    """Positions of every readable JSON array, nested ones too, in text order.
+def object_list_spans(text: Column) -> Column:
+    """Positions of every readable non-empty JSON array of objects, in text order.
 
-    Positions, not copies: nested arrays would repeat the text once per level.
+    Arrays inside others count too. Positions, not copies: nested arrays would
+    repeat the text once per level.
     """
-    return F.pandas_udf(_array_spans, _SPANS)(text)
+    return F.pandas_udf(_object_list_spans, _SPANS)(text)
 
 
 def first_object_spans(blocks: Column) -> Column:

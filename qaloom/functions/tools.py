@@ -89,7 +89,7 @@ def with_tool_definitions(df: DataFrame, text: str = "instruction", out: str = "
         df.withColumn("_relaxed", F.when(
             F.col(text).contains("[") & F.col(text).contains("{"), tj.relax(F.col(text))
         ))
-        .withColumn("_spans", tj.array_spans(F.col("_relaxed")))
+        .withColumn("_spans", tj.object_list_spans(F.col("_relaxed")))
         .withColumn(
             out,
             F.try_element_at(

@@ -43,12 +43,15 @@ def mark_repeats(df: DataFrame, keys: list[str], order: Column, flag: str = "is_
     ).drop("_order", "_first")
 
 
-def hash_rank(df: DataFrame, digest: str, rank: str, digits: int = 3) -> DataFrame:
+def hash_rank(
+    df: DataFrame, digest: str, rank: str, digits: int = 3, first: Column | None = None
+) -> DataFrame:
     """Global 1-based rank in the order of a hex digest column, without one big sort.
 
     The leading digits of the digest cut the order into ``16 ** digits`` even
     buckets. Only their counts pass through one task: at most that many rows, which
-    is also the size of what is broadcast. Digests must be unique.
+    is also the size of what is broadcast. Digests must be unique. With ``first``
+    only buckets that reach into the first so many ranks are sorted.
     """
     cut = df.withColumn("_bucket", F.substring(digest, 1, digits))
     below = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -57,12 +60,15 @@ def hash_rank(df: DataFrame, digest: str, rank: str, digits: int = 3) -> DataFra
         .withColumn("_offset", F.coalesce(F.sum("_n").over(below), F.lit(0)))
         .drop("_n")
     )
+    if first is not None:
+        offsets = offsets.where(F.col("_offset") < first)
     inside = W.partitionBy("_bucket").orderBy(digest)
-    return (
+    ranked = (
         cut.join(F.broadcast(offsets), "_bucket")
         .withColumn(rank, F.row_number().over(inside) + F.col("_offset"))
         .drop("_bucket", "_offset")
     )
+    return ranked if first is None else ranked.where(F.col(rank) <= first)
 
 
 def sessions(

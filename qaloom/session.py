@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that change results (time zone, repeated JSON keys) or the handling
 # of skewed joins. All are runtime settings, so an existing session can take them.
@@ -48,3 +48,14 @@ def shared_dir(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="qaloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A frame whose rows are kept in the shared folder, so they are computed once.
+
+    The copy outlives the loss of an executor.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    return df.checkpoint()
