@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from qaloom.catalog.views import AS_OF, TOOL_SCHEMA
+from qaloom.functions import validation as vd
 from qaloom.operators import decisions as D
 from qaloom.operators import leases as L
 from qaloom.operators import rules as R
-from qaloom.operators.analytics import AUTOMATIC_REVIEWER
+from qaloom.sources import imports as im
 
 VIEWS = {
     "v_records": """
@@ -63,6 +64,15 @@ VIEWS = {
          case when o_totalprice>250000 then 'costly' else '' end as notes,
          timestamp '2024-01-10 00:30:00' + to_minutes(o_orderkey%60) as requested_at
   from orders""",
+    "v_raw": """
+  select concat('u', cast(user_id as varchar)) as file, event_id + 1 as row, event_type, cast(value as decimal(12,1)) as value,
+         case event_type
+           when 'click' then concat('{"id": ', event_id, ', "instruction": "i", "input": ["a", "b"], "output": "ok", "more": ', props, '}')
+           when 'view' then concat('{"id": ', event_id, ', "instruction": "i", "input": "one"}')
+           when 'purchase' then concat('{"id": ', cast(value as decimal(12,1)), ', "instruction": "i", "input": "one", "output": "ok"}')
+           when 'signup' then concat('{"id": ', event_id, ', "instruction": "i", "input": ["a", ', props, '], "output": "ok"}')
+           else concat('[', props, ']') end as line
+  from events""",
     "v_lease_events": """
   select event_id, timestamp '2024-01-01 00:00:00' + to_seconds(event_id) as moment,
          user_id*10 + cast(json_extract_string(props,'$.k') as bigint)//10 as question_id
@@ -457,3 +467,147 @@ from (select question_id, moment, cast(sum(new) over (partition by question_id o
       from (select question_id, moment, case when moment - lag(moment) over (partition by question_id order by moment)
                    < interval 30 minute then 0 else 1 end as new from v_lease_events))
 group by question_id, session_no""")
+
+
+# ---- ingest -----------------------------------------------------------------
+
+_TYPES = """
+i_types as (
+  select *, json_type(line) as whole, json_type(line, '$.id') as id_type,
+         json_type(line, '$.instruction') as instruction_type, json_type(line, '$.output') as output_type,
+         json_type(line, '$.input') as input_type,
+         coalesce(len([e for e in json_extract(line, '$.input[*]') if json_type(e) <> 'VARCHAR']), 0) as odd_parts,
+         json_extract_string(line, '$.id') as id_text
+  from v_raw),
+i_tests as (
+  select *, whole = 'OBJECT' as is_object, coalesce(instruction_type = 'VARCHAR', false) as instruction_ok,
+         coalesce(output_type = 'VARCHAR', false) as output_ok,
+         coalesce(id_type in ('BIGINT', 'UBIGINT'), false) as id_ok,
+         coalesce(id_type in ('BIGINT', 'UBIGINT') or (id_type = 'DOUBLE'
+                  and cast(id_text as double) = floor(cast(id_text as double))), false) as whole_id_ok,
+         coalesce(input_type = 'VARCHAR' or (input_type = 'ARRAY' and odd_parts = 0), false) as input_ok
+  from i_types)"""
+
+
+def _message(messages: dict[str, str], first: str, id_test: str) -> str:
+    m = {k: v.replace("'", "''") for k, v in messages.items()}
+    return f"""case {first} when not {id_test} then '{m['id']}'
+       when not instruction_ok then '{m['instruction']}' when not input_ok then '{m['input']}'
+       when not output_ok then '{m['output']}' end"""
+
+
+_BROWSER = _message(vd.BROWSER_MESSAGES, f"""when whole not in ('OBJECT', 'ARRAY')
+       then '{vd.BROWSER_MESSAGES['object']}'""", "whole_id_ok")
+_ABSENT = "[f for f in ['id','instruction','input','output'] if not json_exists(line, '$.' || f)]"
+_STORE = _message(vd.STORE_MESSAGES, f"""when not is_object then '{vd.STORE_MESSAGES['object']}'
+       when len({_ABSENT}) > 0 then concat('Missing required field(s): ', array_to_string({_ABSENT}, ', '), '.')""",
+       "id_ok")
+_API = _message(vd.BROWSER_MESSAGES, f"when not is_object then '{vd.BROWSER_MESSAGES['object']}'", "whole_id_ok")
+_CHECKER = f"""case when not is_object then '{vd.CHECKER_MESSAGES['object']}'
+       when not instruction_ok or not output_ok then '{vd.CHECKER_MESSAGES['text']}'
+       when not input_ok then '{vd.CHECKER_MESSAGES['input']}' end"""
+for _name, _sql in {"store": _STORE, "browser": _BROWSER, "api": _API, "checker": _CHECKER}.items():
+    oracle(f"validate_{_name}", f"select file, row, {_sql} as message from i_tests", _TYPES)
+oracle("input_normalised", f"""
+select row, case when id_type = 'DOUBLE' then cast(cast(cast(id_text as double) as bigint) as varchar) else id_text end as source_id,
+       cast(case when input_type = 'VARCHAR' then 1 else json_array_length(line, '$.input') end as bigint) as n_parts,
+       case when input_type = 'VARCHAR' then json_extract_string(line, '$.input')
+            else array_to_string(json_extract_string(line, '$.input[*]'), chr(10)) end as input,
+       case when input_type = 'VARCHAR' then '["one"]' else '["a", "b"]' end as stored
+from i_tests where ({_BROWSER}) is null""", _TYPES)
+oracle("load_records", f"""
+select file, row_number() over (partition by file order by row) - 1 as position,
+       case when id_type = 'DOUBLE' and whole_id_ok
+            then cast(cast(cast(id_text as double) as bigint) as varchar) else id_text end as source_id
+from i_tests where ({_CHECKER}) is null""", _TYPES)
+oracle("malformed_rows", f"""
+select file, case when is_object then id_text else concat('row ', row) end as source_id, {_CHECKER} as reason
+from i_tests where ({_CHECKER}) is not null""", _TYPES)
+oracle("upload_preview", f"""
+select file, count(*) filter (({_STORE}) is null) as valid_count,
+       count(*) filter (({_STORE}) is not null) as skipped_count from i_tests group by file""", _TYPES)
+_IMPORT = _TYPES + f""",
+i_files as (
+  select file, file_hash, row_number() over (order by file_hash)
+           + (select max(id) from v_batches) as batch_id
+  from (select file, sha256(cast(cast(substr(file, 2) as bigint) % 100 as varchar)) as file_hash,
+               row_number() over (partition by cast(substr(file, 2) as bigint) % 100 order by file) as n
+        from (select distinct file from v_raw))
+  where n = 1)"""
+oracle("import_batches", f"""
+select batch_id as id, any_value(f.file || '.json') as filename, any_value(file_hash) as file_hash,
+       '{AS_OF}' as uploaded_at, count(*) filter (({_STORE}) is null) as imported_count,
+       count(*) filter (({_STORE}) is not null) as skipped_count, 'ready' as status
+from i_files f join i_tests t on t.file = f.file group by batch_id""", _IMPORT)
+oracle("import_questions", f"""
+select batch_id * 4294967296 + row as id, batch_id, id_text as source_id,
+       json_extract_string(line, '$.instruction') as instruction,
+       case when input_type = 'VARCHAR' then json_extract_string(line, '$.input')
+            else array_to_string(json_extract_string(line, '$.input[*]'), chr(10)) end as input,
+       json_extract_string(line, '$.output') as output, '{AS_OF}' as imported_at
+from i_files f join i_tests t on t.file = f.file where ({_STORE}) is null""", _IMPORT)
+oracle("file_dedupe", f"""
+select doc_id as file, case when row_number() over (partition by text order by doc_id) > 1
+         or text in (select text from benchmark) then '{im.DUPLICATE_FILE}' end as reason
+from documents""")
+oracle("finish_import", f"""
+select n.batch_id, case when b.status is distinct from 'uploading' then '{im.NOT_OPEN}' end as reason
+from (select distinct cast(n_nationkey as bigint) as batch_id from nation) n
+left join v_batches b on b.id = n.batch_id""")
+oracle("import_chunks", """
+select b.id, imported_count + count(*) as imported_count,
+       skipped_count + count(*) filter (event_type = 'error') as skipped_count
+from v_batches b join events e on e.user_id = b.id
+where status = 'uploading' group by b.id, imported_count, skipped_count""")
+oracle("failure_reader", f"""
+select position, source_id, concat_ws(chr(10), case when dup then '{R.NOTES['duplicate']}' end,
+         case when eng then '{R.NOTES['english']}' end, case when pun then '{R.NOTES['punctuation']}' end) as notes,
+       {_hash('instruction', 'input_text', 'output')} as row_hash
+from r_fired where dup or eng or pun""", _RECORD_RULES)
+
+# ---- JSON in text -----------------------------------------------------------
+
+# The one schema of the tool records, with its comment and loose comma removed by hand.
+_PLAIN_SCHEMA = TOOL_SCHEMA.replace("// first", "").replace('"v",]', '"v"]')
+oracle("relaxed_json", f"""
+select position, case when instruction = 'no tools' then instruction else '{_PLAIN_SCHEMA}' end as instruction,
+       replace(output, ',}}</tool_call>', '}}</tool_call>') as output from v_tool_records""")
+oracle("contains_json", """
+select event_id, cast(json_valid(props) and json_type(props) in ('OBJECT', 'ARRAY') as int) as has_json from events""")
+oracle("json_segments", """
+select event_id, ix, text, is_json from (
+  select event_id, event_type, props,
+         unnest([0, 1, 2, 3, 4]) as n from events) cross join lateral (
+  select cast(n as bigint) as ix, case n when 0 then event_type || ' {x} ' when 1 then props
+    when 2 then ' then ' when 3 then '[1, ' || props || ']' else ' end [unclosed' end as text,
+    cast(n in (1, 3) as int) as is_json)""")
+_SCHEMA_JSON = f"""
+j_fns as (
+  select position, unnest(json_extract('{_PLAIN_SCHEMA}', '$[*]')) as entry
+  from v_tool_records where instruction <> 'no tools'),
+j_tools as (
+  select position, coalesce(json_extract(entry, '$.function'), entry) as fn from j_fns),
+j_flat as (
+  select position, json_extract_string(fn, '$.name') as name,
+         coalesce(json_extract_string(fn, '$.description'), '') as description,
+         coalesce(json_keys(fn, '$.parameters.properties'), []) as properties,
+         coalesce(json_extract_string(fn, '$.parameters.required[*]'), []) as required,
+         json_extract(fn, '$.parameters.properties') as specs
+  from j_tools)"""
+oracle("tool_catalog", """
+select position, name, array_to_string(list_sort(properties), '|') as properties,
+       array_to_string(required, '|') as required from j_flat""", _SCHEMA_JSON)
+oracle("schema_lint", """
+select position, name, array_to_string([r for r in required if not list_contains(properties, r)], '|') as undeclared
+from j_flat""", _SCHEMA_JSON)
+oracle("tool_catalog_params", """
+select position, name, description, param,
+       case when param is not null then coalesce(json_extract_string(specs, '$.' || param || '.type'), '') end as type,
+       case when param is not null then coalesce(json_extract_string(specs, '$.' || param || '.description'), '') end
+         as param_description,
+       case when param is not null then cast(list_contains(required, param) as int) end as required
+from (select *, unnest(case when len(properties) = 0 then [null] else properties end) as param from j_flat)""",
+_SCHEMA_JSON)
+oracle("tool_calls", """
+select position, event_type as name, array_to_string(list_sort(json_keys(props)), '|') as arguments
+from v_tool_records where output <> 'no call'""")

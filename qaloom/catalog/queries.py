@@ -17,7 +17,13 @@ from qaloom.operators import leases as L
 from qaloom.operators import rules as R
 from qaloom.operators import search as S
 from qaloom.operators import skew
+from qaloom.functions import segments as sg
+from qaloom.functions import tolerant_json as tj
+from qaloom.functions import validation as vd
 from qaloom.session import configure
+from qaloom.sources import documents as docs
+from qaloom.sources import failures as fl
+from qaloom.sources import imports as im
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -357,3 +363,155 @@ def lease_sessions(spark, d):
     """Activity on a question, cut where 30 minutes pass without any."""
     runs = skew.sessions(V.lease_events(spark, d), "question_id", "at", L.LEASE)
     return _text_time(runs, "started_at", "last_at")
+
+
+# ---- ingest -----------------------------------------------------------------
+
+def _validator(profile: str) -> None:
+    def build(spark, d):
+        return docs.validated(V.raw_records(spark, d), profile).select("file", "row", "message")
+
+    build.__name__ = f"validate_{profile}"
+    query(build)
+
+
+for _profile in vd.PROFILES:
+    _validator(_profile)
+
+
+@query
+def input_normalised(spark, d):
+    judged = docs.validated(V.raw_records(spark, d), "browser")
+    valid = docs.fields(judged.where(F.col("message").isNull()))
+    return valid.select(
+        "row", "source_id", F.size("input").cast("bigint").alias("n_parts"),
+        tx.input_text(F.col("input")).alias("input"), tx.stored_input(F.col("input")).alias("stored"),
+    )
+
+
+@query
+def load_records(spark, d):
+    return docs.load_records(V.raw_records(spark, d))[0].select("file", "position", "source_id")
+
+
+@query
+def malformed_rows(spark, d):
+    return docs.load_records(V.raw_records(spark, d))[1]
+
+
+@query
+def upload_preview(spark, d):
+    return docs.preview_counts(docs.validated(V.raw_records(spark, d)))
+
+
+def _import(spark, d):
+    return im.import_records(
+        V.upload_files(spark, d), V.raw_records(spark, d), V.batches(spark, d), V.at(V.AS_OF)
+    )
+
+
+@query
+def import_batches(spark, d):
+    return _text_time(_import(spark, d)["batches"], "uploaded_at")
+
+
+@query
+def import_questions(spark, d):
+    rows = _import(spark, d)["questions"].withColumn("input", tx.input_text(F.col("input")))
+    return _text_time(rows, "imported_at")
+
+
+@query
+def file_dedupe(spark, d):
+    """Every document as a file; the benchmark texts as files already stored."""
+    files = V.table(spark, d, "documents").select(
+        F.col("doc_id").alias("file"), F.sha2("text", 256).alias("file_hash")
+    )
+    stored = V.table(spark, d, "benchmark").select(F.sha2("text", 256).alias("file_hash"))
+    return im.dedupe_files(files, stored).select("file", "reason")
+
+
+@query
+def finish_import(spark, d):
+    asked = V.table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("batch_id"))
+    return im.finish_imports(asked, V.batches(spark, d))["outcomes"]
+
+
+@query
+def import_chunks(spark, d):
+    """Every event as a chunk of its user's upload, as far as that is open."""
+    chunks = V.table(spark, d, "events").select(
+        F.col("user_id").alias("batch_id"), F.lit(1).cast("bigint").alias("imported"),
+        F.when(F.col("event_type") == "error", 1).otherwise(0).cast("bigint").alias("skipped"),
+    )
+    grown = im.add_chunks(chunks, V.batches(spark, d))["batches"]
+    return grown.select("id", "imported_count", "skipped_count")
+
+
+@query
+def failure_reader(spark, d):
+    rows = R.failure_rows(R.judge(V.records(spark, d), "arabizi"))
+    padded = rows.withColumn("notes", F.concat(F.lit(" \n"), "notes", F.lit(" ")))
+    return fl.read_failures(padded)
+
+
+# ---- JSON in text -----------------------------------------------------------
+
+@query
+def relaxed_json(spark, d):
+    records = V.tool_records(spark, d)
+    return records.select(
+        "position", tj.relax(F.col("instruction")).alias("instruction"), tj.relax(F.col("output")).alias("output")
+    )
+
+
+@query
+def contains_json(spark, d):
+    split = sg.segments(V.table(spark, d, "events"), "props")
+    return split.select("event_id", sg.contains_json(F.col("segments")).cast("int").alias("has_json"))
+
+
+@query
+def json_segments(spark, d):
+    """Prose, a fenced block, and bare JSON of every event's log line."""
+    fence = "`" * 3
+    line = F.concat(
+        "event_type", F.lit(" {x} "), "props", F.lit(f" then {fence}json\n[1, "), "props",
+        F.lit(f"]\n{fence} end [unclosed"),
+    )
+    rows = sg.json_segments(
+        V.table(spark, d, "events").select("event_id", line.alias("line")), ["event_id"], "line"
+    )
+    return rows.select("event_id", F.col("ix").cast("bigint").alias("ix"), "text",
+                       F.col("is_json").cast("int").alias("is_json"))
+
+
+@query
+def tool_catalog(spark, d):
+    tools = tl.with_tools(V.tool_records(spark, d)).select("position", F.explode("tools").alias("t"))
+    return tools.select(
+        "position", "t.name", _listed(F.array_sort("t.properties")).alias("properties"),
+        _listed("t.required").alias("required"),
+    )
+
+
+@query
+def tool_calls(spark, d):
+    calls = tl.with_calls(V.tool_records(spark, d)).select("position", F.explode("calls").alias("c"))
+    return calls.select("position", "c.name", _listed(F.array_sort("c.arguments")).alias("arguments"))
+
+
+@query
+def tool_catalog_params(spark, d):
+    found = tl.with_tool_definitions(V.tool_records(spark, d))
+    return tl.catalog(found, ["position"]).select(
+        "position", "name", "description", "param", "type", "param_description",
+        F.col("required").cast("int").alias("required"),
+    )
+
+
+@query
+def schema_lint(spark, d):
+    tools = tl.with_tools(V.tool_records(spark, d))
+    lint = tools.select("position", F.explode(tl.undeclared_required(F.col("tools"))).alias("t"))
+    return lint.select("position", "t.name", _listed("t.undeclared").alias("undeclared"))

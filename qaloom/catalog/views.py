@@ -177,3 +177,40 @@ def lease_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("decision"),
         F.when(F.col("event_type") == "purchase", "wrong").otherwise("").alias("notes"),
     )
+
+
+def raw_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as the JSON text of an upload record; most kinds have a flaw.
+
+    A user's events form one file, and 50 users' files repeat those of others.
+    """
+    head = F.concat(F.lit('{"id": '), F.col("event_id").cast("string"))
+    text = (
+        F.when(F.col("event_type") == "click", F.concat(
+            head, F.lit(', "instruction": "i", "input": ["a", "b"], "output": "ok", "more": '),
+            "props", F.lit("}")))
+        .when(F.col("event_type") == "view", F.concat(
+            head, F.lit(', "instruction": "i", "input": "one"}')))
+        .when(F.col("event_type") == "purchase", F.concat(
+            F.lit('{"id": '), F.col("value").cast("decimal(12,1)").cast("string"),
+            F.lit(', "instruction": "i", "input": "one", "output": "ok"}')))
+        .when(F.col("event_type") == "signup", F.concat(
+            head, F.lit(', "instruction": "i", "input": ["a", '), "props", F.lit('], "output": "ok"}')))
+        .otherwise(F.concat(F.lit("["), "props", F.lit("]")))
+    )
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".json")).alias("filename"),
+        (F.col("event_id") + 1).alias("row"), text.alias("line"),
+    )
+
+
+def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_texts(spark, sf_dir).withColumn("record", F.try_parse_json("line")).drop("line")
+
+
+def upload_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.substring("file", 2, 20).cast("bigint")
+    return raw_texts(spark, sf_dir).select("file", "filename").distinct().withColumn(
+        "file_hash", F.sha2((number % 100).cast("string"), 256)
+    )

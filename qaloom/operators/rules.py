@@ -128,9 +128,13 @@ def apply_rules(records: DataFrame, data_type: str | Column) -> DataFrame:
 
 
 def mark_duplicates(records: DataFrame, flag: str = "is_repeat") -> DataFrame:
-    """Add ``flag`` to every record whose instruction and input came before."""
+    """Add ``flag`` to every record whose instruction and input came before.
+
+    Records that name their ``file`` are compared within it.
+    """
     keyed = records.withColumn("_key", tx.question_key(F.col("instruction"), F.col("input")))
-    return mark_repeats(keyed, ["_key"], F.col("position"), flag).drop("_key")
+    within = [c for c in records.columns if c == "file"]
+    return mark_repeats(keyed, [*within, "_key"], F.col("position"), flag).drop("_key")
 
 
 def judge(records: DataFrame, data_type: str | Column) -> DataFrame:
