@@ -75,7 +75,12 @@ VIEWS = {
   from events""",
     "v_lease_events": """
   select event_id, timestamp '2024-01-01 00:00:00' + to_seconds(event_id) as moment,
-         user_id*10 + cast(json_extract_string(props,'$.k') as bigint)//10 as question_id
+         user_id*10 + cast(json_extract_string(props,'$.k') as bigint)//10 as question_id,
+         concat('r', cast(json_extract_string(props,'$.k') as bigint) % 2) as reviewer,
+         case event_type when 'signup' then 'claim' when 'view' then 'renew' when 'error' then 'skip'
+              else 'submit' end as action,
+         case event_type when 'purchase' then 'Fail' when 'click' then 'Pass' end as decision,
+         case event_type when 'purchase' then 'wrong' else '' end as notes
   from events""",
 }
 ORACLES: dict[str, str] = {}
@@ -87,7 +92,7 @@ def oracle(name: str, body: str, ctes: str = "") -> None:
     used = [f"{view} as ({sql})" for view, sql in VIEWS.items() if view in text]
     if ctes:
         used.append(ctes.strip().rstrip(","))
-    head = "with " + ",\n".join(used) + "\n" if used else ""
+    head = "with recursive " + ",\n".join(used) + "\n" if used else ""
     ORACLES[name] = head + body.strip()
 
 
@@ -611,3 +616,66 @@ _SCHEMA_JSON)
 oracle("tool_calls", """
 select position, event_type as name, array_to_string(list_sort(json_keys(props)), '|') as arguments
 from v_tool_records where output <> 'no call'""")
+
+
+# ---- streams ----------------------------------------------------------------
+
+# The lease rules once more, one action per step and question.
+_WALK = f"""
+w_events as (
+  select *, row_number() over (partition by question_id order by moment, event_id) as n
+  from v_lease_events),
+w_walk as (
+  select question_id, cast(0 as bigint) as n, cast(null as varchar) as holder,
+         cast(null as timestamp) as expires, false as reviewed, cast(null as varchar) as outcome,
+         cast(null as varchar) as lost_holder, cast(null as timestamp) as lost_at
+  from (select distinct question_id from w_events)
+  union all
+  select question_id, n, case when outcome in ('claimed', 'resumed', 'renewed') then reviewer
+                              when live and outcome not in ('skipped', 'submitted') then holder end,
+         case when outcome in ('claimed', 'resumed', 'renewed') then moment + interval 30 minute
+              when live and outcome not in ('skipped', 'submitted') then expires end,
+         reviewed or outcome = 'submitted', outcome,
+         case when expires <= moment then holder end, case when expires <= moment then expires end
+  from (
+    select *, case
+        when action = 'claim' then case when mine then 'resumed' when reviewed or live then 'none' else 'claimed' end
+        when action = 'renew' and mine then 'renewed' when action = 'skip' and mine then 'skipped'
+        when action = 'submit' and mine and not reviewed then 'submitted' else 'refused' end as outcome
+    from (
+      select e.question_id, e.n, e.moment, e.reviewer, e.action, w.holder, w.expires, w.reviewed,
+             coalesce(w.expires > e.moment, false) as live,
+             coalesce(w.expires > e.moment and w.holder = e.reviewer, false) as mine
+      from w_walk w join w_events e on e.question_id = w.question_id and e.n = w.n + 1))),
+w_last as (select question_id, max(n) as n from w_events group by question_id),
+w_expired as (
+  select question_id, lost_at as lost, lost_holder as who, true as touched from w_walk where lost_at is not null
+  union all
+  select w.question_id, w.expires, w.holder, false from w_walk w join w_last l on l.question_id = w.question_id
+   and l.n = w.n where w.expires is not null)"""
+
+
+def _walk_sql(untouched: str) -> str:
+    stamp = "strftime({}, '%Y-%m-%d %H:%M:%S')"
+    return f"""
+select e.question_id, {stamp.format('e.moment')} as at, e.event_id, e.action, w.outcome, e.reviewer, e.decision,
+       case when e.decision = 'Fail' then e.notes else '' end as notes,
+       case when w.outcome <> 'refused' then null
+            when e.action = 'submit' and b.reviewed then '{D.REVIEWED}' else '{L.INACTIVE}' end as reason,
+       {stamp.format('w.expires')} as lease_expires_at
+from w_events e join w_walk w on w.question_id = e.question_id and w.n = e.n
+join w_walk b on b.question_id = e.question_id and b.n = e.n - 1
+union all
+select question_id, {stamp.format('lost')}, null, 'expire', 'expired', who, null, null, null, {stamp.format('lost')}
+from w_expired where touched or {untouched}"""
+
+
+oracle("lease_fold", _walk_sql("true"), _WALK)
+oracle("lease_stream", _walk_sql("lost <= (select max(moment) - interval 1 minute from w_events)"), _WALK)
+oracle("live_by_reviewer", "select reviewer, count(*) as reviews from v_reviews group by reviewer")
+oracle("live_over_time", """
+select strftime(reviewed_at, '%Y-%m-%d') as date, count(*) as reviews from v_reviews group by 1""")
+oracle("incremental_ingest", f"""
+select cast(substr(file, 2) as bigint) as batch_id, count(*) filter (({_STORE}) is null) as imported,
+       count(*) filter (({_STORE}) is not null) as skipped from i_tests group by file""", _TYPES)
+ORACLES["incremental_duplicates"] = ORACLES["rule_duplicate"]

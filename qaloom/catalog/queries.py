@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,10 +21,14 @@ from qaloom.operators import skew
 from qaloom.functions import segments as sg
 from qaloom.functions import tolerant_json as tj
 from qaloom.functions import validation as vd
-from qaloom.session import configure
+from qaloom.session import configure, shared_dir
 from qaloom.sources import documents as docs
 from qaloom.sources import failures as fl
 from qaloom.sources import imports as im
+from qaloom.streaming import ingest as ig
+from qaloom.streaming import lease_tracker as lt
+from qaloom.streaming import live
+from qaloom.streaming.lease_fold import fold_leases
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -515,3 +520,68 @@ def schema_lint(spark, d):
     tools = tl.with_tools(V.tool_records(spark, d))
     lint = tools.select("position", F.explode(tl.undeclared_required(F.col("tools"))).alias("t"))
     return lint.select("position", "t.name", _listed("t.undeclared").alias("undeclared"))
+
+
+# ---- streams ----------------------------------------------------------------
+
+def _work(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared place, for what a stream writes."""
+    return f"{shared_dir(spark)}/qaloom/{name}-{uuid.uuid4().hex}"
+
+
+def _outcomes(df: DataFrame) -> DataFrame:
+    shown = df.select(
+        "question_id", "at", "event_id", "action", "outcome", "reviewer", "decision", "notes",
+        "reason", "lease_expires_at",
+    )
+    return _text_time(shown, "at", "lease_expires_at")
+
+
+@query
+def lease_fold(spark, d):
+    return _outcomes(fold_leases(V.lease_events(spark, d)))
+
+
+@query
+def lease_stream(spark, d):
+    folder = _work(spark, "leases")
+    actions = V.as_lease_events(V.stream(spark, d, "events"))
+    lt.run_tracker(actions, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return _outcomes(spark.read.parquet(f"{folder}/out"))
+
+
+@query
+def live_by_reviewer(spark, d):
+    folder = _work(spark, "reviewers")
+    counts = live.reviewer_counts(V.as_reviews(V.stream(spark, d, "labels")))
+    live.keep_latest(counts, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return live.latest(spark, f"{folder}/out", "reviewer")
+
+
+@query
+def live_over_time(spark, d):
+    folder = _work(spark, "days")
+    counts = live.daily_counts(V.as_reviews(V.stream(spark, d, "labels")))
+    live.keep_latest(counts, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return live.latest(spark, f"{folder}/out", "date")
+
+
+@query
+def incremental_ingest(spark, d):
+    folder = _work(spark, "ingest")
+    raw = V.as_raw_texts(V.stream(spark, d, "events")).select(
+        F.substring("file", 2, 20).cast("bigint").alias("batch_id"), "row", "line"
+    )
+    ig.ingest_chunks(raw, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out/chunks").groupBy("batch_id").agg(
+        F.sum("imported").alias("imported"), F.sum("skipped").alias("skipped")
+    )
+
+
+@query
+def incremental_duplicates(spark, d):
+    folder = _work(spark, "repeats")
+    arriving = V.as_records(V.as_questions(V.stream(spark, d, "documents")))
+    ig.mark_arriving(arriving, f"{folder}/out", f"{folder}/state").awaitTermination()
+    marked = spark.read.parquet(f"{folder}/out/marked")
+    return marked.where("is_repeat").select("position", "source_id")

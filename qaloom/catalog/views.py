@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a stream of its files."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def at(text: str) -> Column:
     return F.lit(text).cast("timestamp")
 
@@ -70,8 +76,12 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_questions(table(spark, sf_dir, "documents"))
+
+
+def as_questions(documents: DataFrame) -> DataFrame:
     """Every document as a question; the output is its text without stops and commas."""
-    return table(spark, sf_dir, "documents").select(
+    return documents.select(
         F.col("doc_id").alias("id"),
         F.substring("source", 4, 10).cast("bigint").alias("batch_id"),
         (F.col("doc_id") % 500).cast("string").alias("source_id"),
@@ -82,14 +92,22 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def question_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same documents in the shape the checker reads."""
-    return questions(spark, sf_dir).select(
+    return as_records(questions(spark, sf_dir))
+
+
+def as_records(asked: DataFrame) -> DataFrame:
+    """Questions in the shape the checker reads."""
+    return asked.select(
         F.col("id").alias("position"), "source_id", "instruction", "input", "output"
     )
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "labels").select(
+    return as_reviews(table(spark, sf_dir, "labels"))
+
+
+def as_reviews(labels: DataFrame) -> DataFrame:
+    return labels.select(
         (F.col("doc_id") + 1).alias("id"),
         F.col("doc_id").alias("question_id"),
         F.when(F.col("quality") == 1, "Pass").otherwise("Fail").alias("decision"),
@@ -160,13 +178,17 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lease_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_lease_events(table(spark, sf_dir, "events"))
+
+
+def as_lease_events(events: DataFrame) -> DataFrame:
     """The event table as a log of review actions, in event order, one per second."""
     k = F.get_json_object("props", "$.k").cast("bigint")
     action = (
         F.when(F.col("event_type") == "signup", "claim").when(F.col("event_type") == "view", "renew")
         .when(F.col("event_type") == "error", "skip").otherwise("submit")
     )
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         "event_id",
         after("2024-01-01 00:00:00", F.col("event_id")).alias("at"),
         (F.col("user_id") * 10 + F.floor(k / 10)).alias("question_id"),
@@ -180,6 +202,10 @@ def lease_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_raw_texts(table(spark, sf_dir, "events"))
+
+
+def as_raw_texts(events: DataFrame) -> DataFrame:
     """Every event as the JSON text of an upload record; most kinds have a flaw.
 
     A user's events form one file, and 50 users' files repeat those of others.
@@ -198,7 +224,7 @@ def raw_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
             head, F.lit(', "instruction": "i", "input": ["a", '), "props", F.lit('], "output": "ok"}')))
         .otherwise(F.concat(F.lit("["), "props", F.lit("]")))
     )
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file"),
         F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".json")).alias("filename"),
         (F.col("event_id") + 1).alias("row"), text.alias("line"),

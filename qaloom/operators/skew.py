@@ -71,36 +71,44 @@ def hash_rank(
     return ranked if first is None else ranked.where(F.col(rank) <= first)
 
 
-def sessions(
-    df: DataFrame, key: str, moment: str, gap: str, cut: str = "hour"
-) -> DataFrame:
+def _numbered(frame: DataFrame, by: list[str], start: str, end: str, gap: str) -> DataFrame:
+    """Add ``_run``: a number that grows where ``gap`` or more lies since the last end."""
+    w = W.partitionBy(*by).orderBy(start)
+    new = F.coalesce(
+        F.col(start) >= F.lag(end).over(w) + F.expr(f"interval {gap}"), F.lit(True)
+    )
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    return frame.withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(upto)).drop("_new")
+
+
+def _cells(df: DataFrame, key: str, moment: str, gap: str, cut: str) -> tuple[DataFrame, DataFrame]:
+    """(rows numbered inside (key, calendar unit), those partial runs merged per key)."""
+    cells = df.withColumn("_cell", F.date_trunc(cut, moment))
+    rows = _numbered(cells, [key, "_cell"], moment, moment, gap)
+    partial = rows.groupBy(key, "_cell", "_run").agg(
+        F.min(moment).alias("_from"), F.max(moment).alias("_to"), F.count(F.lit(1)).alias("_n")
+    ).withColumnRenamed("_run", "_inner")
+    merged = _numbered(partial, [key], "_from", "_to", gap).withColumnRenamed("_run", "session_no")
+    return rows, merged
+
+
+def sessions(df: DataFrame, key: str, moment: str, gap: str, cut: str = "hour") -> DataFrame:
     """Runs of rows of one key with less than ``gap`` between neighbours.
 
     Two levels: runs are first built inside (key, calendar unit), which spreads a
     hot key over its hours, and only those partial runs are merged per key. A key
     has at most a few partial runs per unit of time, however many rows it has.
     """
-    def numbered(frame: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
-        w = W.partitionBy(*by).orderBy(start)
-        new = F.coalesce(
-            F.col(start) >= F.lag(end).over(w) + F.expr(f"interval {gap}"), F.lit(True)
-        )
-        return frame.withColumn("_new", new.cast("int")).withColumn(
-            "_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))
-        )
-
-    cells = df.select(key, F.col(moment).alias("_at"), F.date_trunc(cut, moment).alias("_cell"))
-    partial = (
-        numbered(cells, [key, "_cell"], "_at", "_at")
-        .groupBy(key, "_cell", "_run")
-        .agg(F.min("_at").alias("_from"), F.max("_at").alias("_to"), F.count(F.lit(1)).alias("_n"))
-    )
-    return (
-        numbered(partial.drop("_run"), [key], "_from", "_to")
-        .groupBy(key, F.col("_run").alias("session_no"))
-        .agg(
-            F.min("_from").alias("started_at"),
-            F.max("_to").alias("last_at"),
-            F.sum("_n").alias("events"),
-        )
+    _, merged = _cells(df.select(key, moment), key, moment, gap, cut)
+    return merged.groupBy(key, "session_no").agg(
+        F.min("_from").alias("started_at"),
+        F.max("_to").alias("last_at"),
+        F.sum("_n").alias("events"),
     )
+
+
+def with_sessions(df: DataFrame, key: str, moment: str, gap: str, cut: str = "hour") -> DataFrame:
+    """Add ``session_no``, the number of a row's run within its key."""
+    rows, merged = _cells(df, key, moment, gap, cut)
+    numbers = merged.select(key, "_cell", F.col("_inner").alias("_run"), "session_no")
+    return join_unique(rows, numbers, [key, "_cell", "_run"]).drop("_cell", "_run")
