@@ -49,10 +49,15 @@ def is_text(record: Column, name: str) -> Column:
 
 
 def is_parts(record: Column) -> Column:
-    """A string, or an array that holds nothing but strings (an empty one too)."""
+    """A string, or an array that holds nothing but strings (an empty one too).
+
+    The schema of an array passes over its nulls, so those are looked for.
+    """
     shape = kind(record, "input")
-    empty = (shape == "ARRAY<VOID>") & F.try_variant_get(record, "$.input[0]", "variant").isNull()
-    return F.coalesce(shape.isin("STRING", "ARRAY<STRING>") | empty, F.lit(False))
+    listed = F.try_variant_get(record, "$.input", "array<string>")
+    strings = (shape == "ARRAY<STRING>") & F.forall(listed, lambda p: p.isNotNull())
+    empty = (shape == "ARRAY<VOID>") & (F.size(listed) == 0)
+    return F.coalesce((shape == "STRING") | strings | empty, F.lit(False))
 
 
 def is_integer(record: Column) -> Column:
@@ -67,7 +72,7 @@ def is_whole_number(record: Column) -> Column:
     value = F.try_variant_get(record, "$.id", "double")
     shape = kind(record, "id")
     number = (shape == "BIGINT") | (shape == "DOUBLE") | shape.startswith("DECIMAL(")
-    return F.coalesce(number & (value == F.floor(value)), F.lit(False))
+    return F.coalesce(number & (value % 1 == 0), F.lit(False))
 
 
 def _first(*checks: tuple[Column, str | Column]) -> Column:
@@ -147,7 +152,7 @@ def source_id(record: Column) -> Column:
     return (
         F.when(shape.isNull(), "").when(shape == "VOID", "None")
         .when(shape == "BOOLEAN", F.initcap(text))
-        .when((shape == "DOUBLE") & (whole == F.floor(whole)), F.floor(whole).cast("string"))
+        .when((shape == "DOUBLE") & (whole % 1 == 0), whole.cast("decimal(38,0)").cast("string"))
         .otherwise(text)
     )
 

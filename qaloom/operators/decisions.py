@@ -10,6 +10,7 @@ from qaloom.operators import audit
 from qaloom.operators.analytics import AUTOMATIC_REVIEWER, batch_counts
 from qaloom.operators.leases import INACTIVE, OWNER, Changes
 from qaloom.operators.skew import join_unique, mark_repeats
+from qaloom.session import cut
 
 # Refusal messages.
 BAD_DECISION = "Decision must be 'Pass' or 'Fail'."
@@ -106,8 +107,9 @@ def bulk_fail(
     Only ids and hashes travel: the text is digested where it is read. A failed
     question stays as it is, a passed one is rewritten with its old review kept in
     the audit log, an unreviewed one gets its review. Running it again changes nothing.
+    The items and the matched questions are written once; every change set reads those.
     """
-    wanted = latest_items(items, order)
+    wanted = cut(latest_items(items, order))
     keyed = questions.select(
         F.col("id").alias("question_id"), "source_id",
         tx.row_hash(F.col("instruction"), F.col("input"), F.col("output")).alias("row_hash"),
@@ -116,14 +118,14 @@ def bulk_fail(
     old = reviews.select(
         "question_id", F.col("id").alias("review_id"), "decision", "notes", "reviewer", "reviewed_at"
     )
-    actions = matched.join(old, "question_id", "left").withColumn(
+    actions = cut(matched.join(old, "question_id", "left").withColumn(
         "action",
         F.when(F.col("decision") == "Fail", "already_failed")
         .when(F.col("decision") == "Pass", "overwritten").otherwise("failed"),
-    )
+    ))
     failed = actions.where("action = 'failed'")
     overwritten = actions.where("action = 'overwritten'")
-    found = matched.select("source_id", "row_hash").distinct()
+    found = actions.select("source_id", "row_hash").distinct()
 
     def verdict(rows: DataFrame, *ids: str) -> DataFrame:
         return rows.select(

@@ -121,7 +121,8 @@ def assign(claims: DataFrame, pool: DataFrame, seed: str) -> DataFrame:
     Both sides are put in a seeded random order and joined on their rank. A claim
     that meets the question it excludes passes it on: such claims swap questions in
     a ring; a single one takes the first question nobody got, and leaves its own to
-    the first claim without a question that may have it.
+    the first claim without a question that may have it. As the order is random, the
+    number of such claims is about one, whatever the number of claims.
     """
     session = _digest(seed, "reviewer", "session_id")
     asking = hash_rank(claims.withColumn("_digest", session), "_digest", "rank").drop("_digest")
@@ -129,34 +130,46 @@ def assign(claims: DataFrame, pool: DataFrame, seed: str) -> DataFrame:
         pool.withColumn("_digest", _digest(seed, "id")), "_digest", "rank",
         first=asking.select(F.max("rank") + 1).scalar(),
     ).select("rank", F.col("id").alias("question_id"))
-    # One row per claim, and one more for the first question nobody got. All that
-    # follows reads these few rows several times, so they are kept.
+    # One row per claim, and one more for the first question nobody got. What
+    # follows reads these few rows more than once, so they are kept.
     paired = cut(asking.join(offered, "rank", "full"))
-    asked = F.col("claim_id").isNotNull()
-    clash = asked & F.coalesce(F.col("question_id") == F.col("exclude_question_id"), F.lit(False))
+    clashes = paired.where(_clash()).count()
+    if clashes == 1:
+        paired = _pass_on(paired)
+    elif clashes > 1:
+        paired = _swap_in_ring(paired, session)
+    return paired.where(F.col("claim_id").isNotNull()).drop("rank")
 
-    ring = hash_rank(
-        paired.where(clash).withColumn("_digest", session), "_digest", "ring"
-    ).select("rank", "ring", "question_id")
+
+def _clash() -> Column:
+    same = F.col("question_id") == F.col("exclude_question_id")
+    return F.col("claim_id").isNotNull() & F.coalesce(same, F.lit(False))
+
+
+def _pass_on(paired: DataFrame) -> DataFrame:
+    """The one clashing claim takes the spare question; without one, it leaves its own."""
+    asked, clash = F.col("claim_id").isNotNull(), _clash()
+    spare = paired.where(~asked).select(F.min("question_id")).scalar()
+    left_over = paired.where(clash).select(F.min("question_id")).scalar()
+    may_have = ~F.coalesce(F.col("exclude_question_id") == left_over, F.lit(False))
+    heir = paired.where(asked & F.col("question_id").isNull() & spare.isNull() & may_have)
+    given = F.when(clash, spare).when(
+        F.col("rank") == heir.select(F.min("rank")).scalar(), left_over
+    ).otherwise(F.col("question_id"))
+    return paired.withColumn("question_id", given)
+
+
+def _swap_in_ring(paired: DataFrame, session: Column) -> DataFrame:
+    """Each clashing claim takes the question of the next one; none may meet its own."""
+    ring = cut(hash_rank(
+        paired.where(_clash()).withColumn("_digest", session), "_digest", "ring"
+    ).select("rank", "ring", "question_id"))
     members = ring.select(F.count(F.lit(1))).scalar()
     moved = ring.select("rank", (F.col("ring") % members + 1).alias("ring")).join(
         ring.select("ring", F.col("question_id").alias("swapped")), "ring"
     ).select("rank", "swapped")
-
-    spare = paired.where(~asked).select(F.min("question_id")).scalar()
-    left_over = ring.select(F.min("question_id")).scalar()
-    heir = paired.where(
-        asked & F.col("question_id").isNull() & (members == 1) & spare.isNull()
-        & ~F.coalesce(F.col("exclude_question_id") == left_over, F.lit(False))
-    ).select(F.min("rank")).scalar()
-    given = (
-        F.when(clash & (members == 1), spare).when(clash, F.col("swapped"))
-        .when(F.col("rank") == heir, left_over).otherwise(F.col("question_id"))
-    )
-    return (
-        paired.join(moved, "rank", "left").where(asked)
-        .withColumn("question_id", given).drop("rank", "swapped")
-    )
+    swapped = F.coalesce("swapped", "question_id")
+    return paired.join(moved, "rank", "left").withColumn("question_id", swapped).drop("swapped")
 
 
 def claim(

@@ -51,7 +51,8 @@ def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Whole JSON files: file, filename, file_hash, data, error; one row per file.
 
     A file is one task, so a load scales by its number of files. A single very
-    large upload belongs in JSON Lines, which splits.
+    large upload belongs in JSON Lines, which splits. Spark passes over files of
+    zero bytes, so those give no row.
     """
     files = spark.read.format("binaryFile").load(path).select(
         F.col("path").alias("file"),
