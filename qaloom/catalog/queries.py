@@ -21,7 +21,7 @@ from qaloom.operators import skew
 from qaloom.functions import segments as sg
 from qaloom.functions import tolerant_json as tj
 from qaloom.functions import validation as vd
-from qaloom.session import configure, shared_dir
+from qaloom.session import configure, shared_dir, spread
 from qaloom.sources import documents as docs
 from qaloom.sources import failures as fl
 from qaloom.sources import imports as im
@@ -51,7 +51,7 @@ def _listed(column) -> F.Column:
 
 @query
 def punctuation_set(spark, d):
-    return V.table(spark, d, "documents").select(
+    return spread(V.table(spark, d, "documents")).select(
         "doc_id", F.array_join(tx.punctuation_set(F.col("text")), "").alias("marks")
     )
 
@@ -59,7 +59,7 @@ def punctuation_set(spark, d):
 @query
 def words(spark, d):
     found = tx.words(F.col("text"))
-    return V.table(spark, d, "documents").select("doc_id", found.alias("w")).select(
+    return spread(V.table(spark, d, "documents")).select("doc_id", found.alias("w")).select(
         "doc_id", F.size("w").cast("bigint").alias("n_words"),
         F.sha2(F.array_join("w", " "), 256).alias("words_hash"),
     )
@@ -74,7 +74,7 @@ def row_hash(spark, d):
 
 @query
 def text_flags(spark, d):
-    return V.table(spark, d, "documents").select(
+    return spread(V.table(spark, d, "documents")).select(
         "doc_id",
         tx.has_latin_letter(F.col("text")).cast("int").alias("latin"),
         tx.has_punctuation(F.col("text")).cast("int").alias("marks"),
@@ -98,7 +98,8 @@ def rule_duplicate(spark, d):
 
 def _single(name: str, rule: Callable, view: Callable) -> None:
     def build(spark, d):
-        return view(spark, d).where(rule()).select("position", "source_id")
+        flagged = view(spark, d).select("position", "source_id", rule().alias("hit"))
+        return skew.fixed(flagged, "hit").where("hit").select("position", "source_id")
 
     build.__name__ = name
     query(build)
@@ -472,7 +473,7 @@ def relaxed_json(spark, d):
 
 @query
 def contains_json(spark, d):
-    split = sg.segments(V.table(spark, d, "events"), "props")
+    split = sg.segments(spread(V.table(spark, d, "events")), "props")
     return split.select("event_id", sg.contains_json(F.col("segments")).cast("int").alias("has_json"))
 
 
@@ -485,16 +486,20 @@ def json_segments(spark, d):
         F.lit(f"]\n{fence} end [unclosed"),
     )
     rows = sg.json_segments(
-        V.table(spark, d, "events").select("event_id", line.alias("line")), ["event_id"], "line"
+        spread(V.table(spark, d, "events")).select("event_id", line.alias("line")), ["event_id"], "line"
     )
     return rows.select("event_id", F.col("ix").cast("bigint").alias("ix"), "text",
                        F.col("is_json").cast("int").alias("is_json"))
 
 
+def _exploded(df: DataFrame, column: str, name: str) -> DataFrame:
+    """One row per element. An outer explode lets no filter repeat the work below it."""
+    return df.select("position", F.explode_outer(column).alias(name)).where(F.col(name).isNotNull())
+
+
 @query
 def tool_catalog(spark, d):
-    tools = tl.with_tools(V.tool_records(spark, d)).select("position", F.explode("tools").alias("t"))
-    return tools.select(
+    return _exploded(tl.with_tools(V.tool_records(spark, d)), "tools", "t").select(
         "position", "t.name", _listed(F.array_sort("t.properties")).alias("properties"),
         _listed("t.required").alias("required"),
     )
@@ -502,8 +507,7 @@ def tool_catalog(spark, d):
 
 @query
 def tool_calls(spark, d):
-    calls = tl.with_calls(V.tool_records(spark, d)).select("position", F.explode("calls").alias("c"))
-    return calls.select("position", "c.name", _listed(F.array_sort("c.arguments")).alias("arguments"))
+    return _exploded(tl.with_calls(V.tool_records(spark, d)), "calls", "c").select("position", "c.name", _listed(F.array_sort("c.arguments")).alias("arguments"))
 
 
 @query
@@ -518,8 +522,8 @@ def tool_catalog_params(spark, d):
 @query
 def schema_lint(spark, d):
     tools = tl.with_tools(V.tool_records(spark, d))
-    lint = tools.select("position", F.explode(tl.undeclared_required(F.col("tools"))).alias("t"))
-    return lint.select("position", "t.name", _listed("t.undeclared").alias("undeclared"))
+    lint = tools.withColumn("lint", tl.undeclared_required(F.col("tools")))
+    return _exploded(lint, "lint", "t").select("position", "t.name", _listed("t.undeclared").alias("undeclared"))
 
 
 # ---- streams ----------------------------------------------------------------

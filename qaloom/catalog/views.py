@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qaloom.operators.skew import join_unique
+from qaloom.session import spread
 
 LEASE_MINUTES = 30
 AS_OF = "2024-01-10 00:45:00"
@@ -92,7 +93,7 @@ def as_questions(documents: DataFrame) -> DataFrame:
 
 
 def question_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_records(questions(spark, sf_dir))
+    return as_records(as_questions(spread(table(spark, sf_dir, "documents"))))
 
 
 def as_records(asked: DataFrame) -> DataFrame:
@@ -137,7 +138,7 @@ def leases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tool_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a tool call against one schema with a comment and loose commas."""
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events")).select(
         F.col("event_id").alias("position"),
         F.col("event_id").cast("string").alias("source_id"),
         F.when(F.col("event_id") % 17 == 0, "no tools").otherwise(TOOL_SCHEMA).alias("instruction"),
@@ -202,7 +203,7 @@ def as_lease_events(events: DataFrame) -> DataFrame:
 
 
 def raw_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_raw_texts(table(spark, sf_dir, "events"))
+    return as_raw_texts(spread(table(spark, sf_dir, "events")))
 
 
 def as_raw_texts(events: DataFrame) -> DataFrame:

@@ -20,7 +20,9 @@ LATIN_NAME_ONLY = (  # named LATIN, but unknown to Java 17 or of another script
     r"\x{2C2E}\x{2C5E}\x{A7C0}\x{A7C1}\x{A7D0}\x{A7D1}\x{A7D3}\x{A7D5}-\x{A7D9}"
     r"\x{1DF00}-\x{1DF1E}\x{1DF25}-\x{1DF2A}"
 )
-SPACE = r"\s\x1c-\x1f"  # under (?U): every Unicode white space and U+001C to U+001F
+SPACE = (  # every Unicode white space and the four separators U+001C to U+001F
+    r"\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+)
 
 # Marks that are written differently in Arabic and Latin script.
 FOLDED_MARKS = "؟،؛٪٫٬۔«»“”‘’–—…"
@@ -29,15 +31,16 @@ PLAIN_MARKS = "?,;%.,.\"\"\"\"''--."
 UNIT_SEPARATOR = "\x1f"
 PART_SEPARATOR = "\x1e"
 
-_LATIN_LETTER = rf"[\p{{IsLatin}}&&\p{{L}}&&[^{LATIN_SCRIPT_ONLY}]]|[{LATIN_NAME_ONLY}]"
+_LATIN_LETTER = rf"[[\p{{IsLatin}}&&\p{{L}}]{LATIN_NAME_ONLY}](?<![{LATIN_SCRIPT_ONLY}])"
 _MARK = f"[{PUNCTUATION}]"
-# A run of marks that touches white space (or an end of the text) on one side.
-# Possessive runs that start only where a run starts keep this linear.
-_EDGE_MARKS = (
-    rf"(?U)(?<![^{SPACE}]){_MARK}++|(?<!{_MARK}){_MARK}++(?![^{SPACE}])"
+# Every pattern asks first whether a character is of the wanted class and only then
+# looks behind it; runs are possessive and start only where a run starts, so that
+# a text is read in linear time.
+_EDGE_MARKS = (  # a run of marks with white space, or an end of the text, on one side
+    rf"{_MARK}(?:(?<![^{SPACE}]{_MARK}){_MARK}*+|(?<!{_MARK}{_MARK}){_MARK}*+(?![^{SPACE}]))"
 )
-_END_MARKS = rf"^{_MARK}++|(?<!{_MARK}){_MARK}++\z"
-_END_SPACE = rf"(?U)^[{SPACE}]++|(?<![{SPACE}])[{SPACE}]++\z"
+_END_MARKS = rf"^{_MARK}++|{_MARK}(?<!{_MARK}{_MARK}){_MARK}*+\z"
+_END_SPACE = rf"^[{SPACE}]++|[{SPACE}](?<![{SPACE}]{{2}})[{SPACE}]*+\z"
 
 
 def has_punctuation(text: Column) -> Column:
@@ -68,7 +71,7 @@ def words(text: Column) -> Column:
     runs per word.
     """
     bare = F.regexp_replace(text, _EDGE_MARKS, "")
-    return F.filter(F.split(bare, rf"(?U)[{SPACE}]+"), lambda w: w != "")
+    return F.filter(F.split(bare, f"[{SPACE}]+"), lambda w: w != "")
 
 
 def strip(text: Column) -> Column:

@@ -9,11 +9,13 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from qaloom.functions.text import SPACE
+
 # A JSON string literal, closed or running to the end. Possessive, so that a long
 # literal is read without backtracking and without deep recursion.
 _LITERAL = r'("[^"\\]*+(?:\\[\s\S]?[^"\\]*+)*+(?:"|\z))'
 _COMMENT = r"//[^\n]*+|/\*[\s\S]*?(?:\*/|\z)"
-_TRAILING_COMMA = r"(?U),(?=[\s\x1c-\x1f]*+[}\]])"
+_TRAILING_COMMA = rf",(?=[{SPACE}]*+[}}\]])"
 
 
 def strip_comments(text: Column) -> Column:

@@ -33,18 +33,15 @@ def _text(value: Column, path: str) -> Column:
     return F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(value, path, "string"))
 
 
-def _is_object(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT<"), F.lit(False))
+def _is_object(value: Column, path: str = "$") -> Column:
+    return F.try_variant_get(value, path, "map<string,variant>").isNotNull()
 
 
 def definition(entry: Column) -> Column:
     """The function definition in one array entry, wrapped or bare, else null."""
-    wrapped = _get(entry, "$.function")
     return F.when(
-        _is_object(wrapped) & _text(wrapped, "$.name").isNotNull(), wrapped
-    ).when(
-        _text(entry, "$.name").isNotNull() & _is_object(_get(entry, "$.parameters")), entry
-    )
+        _text(entry, "$.function.name").isNotNull(), _get(entry, "$.function")
+    ).when(_text(entry, "$.name").isNotNull() & _is_object(entry, "$.parameters"), entry)
 
 
 def definitions(value: Column) -> Column:
@@ -152,15 +149,13 @@ def catalog(df: DataFrame, keys: list[str], definitions_col: str = "definitions"
     A function without parameters keeps one row with a null parameter. Missing or
     non-text names, types and descriptions become empty text; empty names stay.
     """
-    fns = df.select(*keys, F.posexplode(definitions_col).alias("fn_ix", "fn"))
+    fns = df.select(*keys, F.posexplode_outer(definitions_col).alias("fn_ix", "fn")).where("fn_ix is not null")
     fns = fns.select(
         *keys, "fn_ix",
         F.coalesce(_text(F.col("fn"), "$.name"), F.lit("")).alias("name"),
         F.coalesce(_text(F.col("fn"), "$.description"), F.lit("")).alias("description"),
         required_names(F.col("fn")).alias("required_names"),
-        F.when(_is_object(_get(F.col("fn"), "$.parameters.properties")), F.try_variant_get(
-            _get(F.col("fn"), "$.parameters.properties"), "$", "map<string,variant>"
-        )).alias("properties"),
+        F.try_variant_get("fn", "$.parameters.properties", "map<string,variant>").alias("properties"),
     )
     long = fns.select("*", F.explode_outer("properties").alias("param", "spec"))
     return long.select(

@@ -41,7 +41,7 @@ def kind(record: Column, name: str) -> Column:
 
 
 def is_object(record: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(record).startswith("OBJECT<"), F.lit(False))
+    return F.try_variant_get(record, "$", "map<string,variant>").isNotNull()
 
 
 def is_text(record: Column, name: str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from qaloom.functions import text as tx
 from qaloom.functions import tools as tl
-from qaloom.operators.skew import mark_repeats
+from qaloom.operators.skew import fixed, mark_repeats
 
 # Rule keys and the note recorded for each, in rule order.
 NOTES = {
@@ -124,7 +124,8 @@ def apply_rules(records: DataFrame, data_type: str | Column) -> DataFrame:
             reversed(types), unknown.cast("array<string>" if i == 0 else "string"),
         )
         fired, reason = pick(0), pick(1)
-    return records.select(*kept, fired.alias("fired"), reason.alias("reason"))
+    ruled = records.select(*kept, fired.alias("fired"), reason.alias("reason"))
+    return fixed(ruled, "fired", "reason")
 
 
 def mark_duplicates(records: DataFrame, flag: str = "is_repeat") -> DataFrame:
@@ -140,8 +141,7 @@ def mark_duplicates(records: DataFrame, flag: str = "is_repeat") -> DataFrame:
 def judge(records: DataFrame, data_type: str | Column) -> DataFrame:
     """Records with ``fired`` (a repeat first, then rules) and ``reason``.
 
-    Rules run below the join that finds repeats, so a filter on the outcome is
-    applied to finished values and no rule is evaluated a second time.
+    A record repeats an earlier one of its file, or of all when none is named.
     """
     ruled = mark_duplicates(apply_rules(records, data_type), "_repeat")
     fired = F.when(

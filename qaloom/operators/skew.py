@@ -1,4 +1,4 @@
-"""Joins and ranks that hold when one key owns a large share of the rows."""
+"""Joins, ranks and runs that hold when one key owns a large share of the rows."""
 
 from __future__ import annotations
 
@@ -7,6 +7,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def fixed(df: DataFrame, *columns: str) -> DataFrame:
+    """The same frame, with costly computed columns fixed where they are computed.
+
+    A later filter on them would be pushed down together with their expressions,
+    which would then run twice. No filter passes a generator, here one of one row.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*columns)))).select(*df.columns)
+
+
 def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join a side that may be skewed to a side that holds one row per key.
 

@@ -61,3 +61,15 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/qaloom/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer tasks than cores, dealt out to all cores.
+
+    For small inputs under costly work per row. A scan that already has a task for
+    every core, as any large table has, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from qaloom.functions import text as tx
 from qaloom.operators.rules import mark_duplicates
 from qaloom.operators.skew import join_unique
+from qaloom.session import cut
 from qaloom.sources import documents as docs
 
 
@@ -32,11 +33,13 @@ def ingest_chunks(raw: DataFrame, path: str, checkpoint: str, profile: str = "st
     Chunk counts go to ``chunks``, ready for the counts of an open upload.
     """
     def write(lines: DataFrame, batch: int) -> None:
-        judged = docs.validated(lines.withColumn("record", F.try_parse_json("line")).drop("line"), profile)
-        ok = F.col("message").isNull()
-        docs.fields(judged.where(ok)).write.mode("overwrite").parquet(_folder(path, "questions", batch))
-        judged.where(~ok).drop("record").write.mode("overwrite").parquet(_folder(path, "refused", batch))
-        judged.groupBy("batch_id").agg(
+        raw_rows = lines.withColumn("record", F.try_parse_json("line")).drop("line")
+        judged = docs.validated(raw_rows, profile).withColumnRenamed("message", "refusal")
+        typed = cut(docs.fields(judged))
+        ok = F.col("refusal").isNull()
+        typed.where(ok).drop("refusal").write.mode("overwrite").parquet(_folder(path, "questions", batch))
+        typed.where(~ok).write.mode("overwrite").parquet(_folder(path, "refused", batch))
+        typed.groupBy("batch_id").agg(
             F.count_if(ok).alias("imported"), F.count_if(~ok).alias("skipped")
         ).write.mode("overwrite").parquet(_folder(path, "chunks", batch))
 

@@ -29,7 +29,7 @@ def test_character_classes_hold_for_every_assigned_character(spark):
     assert wrong == []
 
 
-ALPHABET = st.sampled_from(list("ab.,!?-«؟… \n\t\x1f　é\"'_$"))
+ALPHABET = st.sampled_from(list("ab.,!?-«؟… \n\t\x1f　é\"'_$\U00010f86\U0001d400🔥ك"))
 TEXTS = st.lists(st.text(ALPHABET, max_size=24), min_size=20, max_size=40)
 SLOW = settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 
