@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 # Fixed values. Unicode 15.1 is the pinned version; Java 17 knows an older one, so
 # its classes are completed (or narrowed) by the code points listed here.
-PUNCTUATION = (
-    r"\p{P}\x{61D}\x{1B7D}\x{1B7E}\x{2E53}-\x{2E5D}\x{10F86}-\x{10F89}\x{116B9}"
-    r"\x{11B00}-\x{11B09}\x{11F43}-\x{11F4F}\x{12FF1}\x{12FF2}"
+PUNCTUATION = (  # the characters beyond U+FFFF are not escaped: Java looks behind them only then
+    r"\p{P}\x{61D}\x{1B7D}\x{1B7E}\x{2E53}-\x{2E5D}"
+    "\U00010F86-\U00010F89\U000116B9\U00011B00-\U00011B09\U00011F43-\U00011F4F\U00012FF1\U00012FF2"
 )
 LATIN_SCRIPT_ONLY = (  # Latin script in Java, but not named LATIN
     r"\x{AA}\x{BA}\x{2B0}-\x{2B8}\x{2E0}-\x{2E4}\x{1D2C}-\x{1D5C}\x{1D9B}-\x{1DBE}"
