@@ -128,26 +128,36 @@ def apply_rules(records: DataFrame, data_type: str | Column) -> DataFrame:
     return fixed(ruled, "fired", "reason")
 
 
+def _keyed(records: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Records with the digest of their question, and the columns that tell repeats."""
+    keyed = records.withColumn("_key", tx.question_key(F.col("instruction"), F.col("input")))
+    return keyed, [*[c for c in records.columns if c == "file"], "_key"]
+
+
 def mark_duplicates(records: DataFrame, flag: str = "is_repeat") -> DataFrame:
     """Add ``flag`` to every record whose instruction and input came before.
 
     Records that name their ``file`` are compared within it.
     """
-    keyed = records.withColumn("_key", tx.question_key(F.col("instruction"), F.col("input")))
-    within = [c for c in records.columns if c == "file"]
-    return mark_repeats(keyed, [*within, "_key"], F.col("position"), flag).drop("_key")
+    keyed, keys = _keyed(records)
+    return mark_repeats(keyed, keys, F.col("position"), flag).drop("_key")
 
 
 def judge(records: DataFrame, data_type: str | Column) -> DataFrame:
     """Records with ``fired`` (a repeat first, then rules) and ``reason``.
 
-    A record repeats an earlier one of its file, or of all when none is named.
+    A record repeats an earlier one of its file, or of all when none is named. The
+    rules run where the text is read, so what the join moves is only what is asked
+    for of the result.
     """
-    ruled = mark_duplicates(apply_rules(records, data_type), "_repeat")
+    keyed, keys = _keyed(records)
+    ruled = mark_repeats(
+        apply_rules(keyed, data_type), keys, F.col("position"), "_repeat", among=keyed
+    )
     fired = F.when(
         F.col("_repeat"), F.concat(F.array(F.lit("duplicate")), F.col("fired"))
     ).otherwise(F.col("fired"))
-    return ruled.withColumn("fired", fired).drop("_repeat")
+    return ruled.withColumn("fired", fired).drop("_repeat", "_key")
 
 
 def note_of(check: Column) -> Column:

@@ -33,16 +33,20 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return joined.drop("_spread")
 
 
-def mark_repeats(df: DataFrame, keys: list[str], order: Column, flag: str = "is_repeat") -> DataFrame:
+def mark_repeats(
+    df: DataFrame, keys: list[str], order: Column, flag: str = "is_repeat",
+    among: DataFrame | None = None,
+) -> DataFrame:
     """Add ``flag``: true for every row that is not the first of its key.
 
     A partial minimum runs before the shuffle, so a key with any number of rows
     reaches its reducer as one row per task. Keys that occur once never enter the
-    join. ``order`` must be unique within a key.
+    join. ``order`` must be unique within a key. ``among`` is the same rows before
+    costly columns were added to them, to find the first ones in.
     """
     ordered = df.withColumn("_order", order)
     firsts = (
-        ordered.groupBy(*keys)
+        (df if among is None else among).withColumn("_order", order).groupBy(*keys)
         .agg(F.min("_order").alias("_first"), F.count(F.lit(1)).alias("_n"))
         .where("_n > 1")
         .drop("_n")

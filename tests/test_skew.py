@@ -70,10 +70,6 @@ def test_sessions_meet_across_hours_and_end_at_exactly_the_gap(spark):
     assert [r.session_no for r in rows] == [1, 1, 1, 1, 1, 2, 2, 3, 4]
 
 
-def plan(df):
-    return df._jdf.queryExecution().optimizedPlan().toString()
-
-
 def test_no_text_is_shuffled_for_repeats(spark):
     """The aggregate that finds repeats carries digests and positions only."""
     text = R.mark_duplicates(V.question_records(spark, SF)).where("is_repeat").select("position")
@@ -82,5 +78,7 @@ def test_no_text_is_shuffled_for_repeats(spark):
 
 
 def test_rules_run_once_under_a_filter_on_their_outcome(spark):
-    failures = plan(R.failure_rows(R.judge(V.records(spark, SF), "arabizi")))
-    assert failures.count("IsLatin") == 1
+    failures = R.failure_rows(R.judge(V.records(spark, SF), "arabizi"))
+    assert failures._jdf.queryExecution().executedPlan().toString().count("IsLatin") == 1
+    unchecked = R.unchecked_rows(R.judge(V.tool_records(spark, SF), "tool_calling"))
+    assert unchecked._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 2
