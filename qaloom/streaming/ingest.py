@@ -64,12 +64,10 @@ def mark_arriving(records: DataFrame, path: str, checkpoint: str):
         judged = join_unique(marked, seen, ["key"]).withColumn(
             "is_repeat", F.col("_repeat") | F.coalesce("_seen", F.lit(False))
         )
-        judged.drop("_repeat", "_seen", "key").write.mode("overwrite").parquet(
-            _folder(path, "marked", batch)
-        )
-        judged.where(~F.col("is_repeat")).select("key").write.mode("overwrite").parquet(
-            _folder(path, "keys", batch)
-        )
+        folder = _folder(path, "marked", batch)
+        judged.drop("_repeat", "_seen").write.mode("overwrite").parquet(folder)
+        new = spark.read.schema(judged.schema).parquet(folder).where(~F.col("is_repeat"))
+        new.select("key").write.mode("overwrite").parquet(_folder(path, "keys", batch))
 
     return (
         records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
