@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,16 +40,17 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "qaloom") ->
     return configure(spark)
 
 
+@cache
+def _test_folder() -> str:
+    return tempfile.mkdtemp(prefix="qaloom-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
     Only a session that names none (a local test) gets a temporary folder.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="qaloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return spark.conf.get("spark.checkpoint.dir", None) or _test_folder()
 
 
 def cut(df: DataFrame) -> DataFrame:
