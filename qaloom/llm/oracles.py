@@ -1,3 +1,47 @@
 """DuckDB SQL for the queries of the subpackage that SQL can express."""
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op6_host_rules"] = r"""
+with docs as (
+  select row_number() over () as rid, doc_id, source, coalesce(text, '') as text from documents
+), split as (
+  select rid, doc_id, source, text,
+         [x for x in regexp_split_to_array(text, '[\x20\x09-\x0D]+') if x <> ''] as ws,
+         [x for x in string_split(text, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] as ls
+  from docs
+), grams as (
+  select rid, unnest(range(1, len(ws) - 1)) as i, ws from split where len(ws) >= 3
+), named as (
+  select rid, i, ws[i] || chr(32) || ws[i + 1] || chr(32) || ws[i + 2] as g from grams
+), twice as (
+  select rid, i from (select rid, i, count(*) over (partition by rid, g) as n from named) where n > 1
+), covered as (
+  select rid, count(distinct p) as n_repeat_words
+  from (select rid, unnest([i, i + 1, i + 2]) as p from twice) group by rid
+), counted as (
+  select doc_id, source, len(ws)::bigint as n_words,
+         coalesce(length(array_to_string(ws, '')), 0)::bigint as word_chars,
+         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+         (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines,
+         coalesce(n_repeat_words, 0)::bigint as n_repeat_words, len(ls)::bigint as n_lines
+  from split left join covered using (rid)
+), based as (
+  select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from counted
+), marked as (
+  select *, base_failed or 100 * n_symbols > 10 * word_chars or 100 * n_dup_lines > 30 * n_lines as junk from based
+), hosts as (
+  select source, count(*)::double as n, (count(*) filter (junk))::double as k from marked group by source
+), moments as (
+  select sum(k) / sum(n) as m, avg((k / n) * (k / n)) - avg(k / n) * avg(k / n) as v, avg(1 / n) as inv from hosts
+), prior as (
+  select m, case when v - m * (1 - m) * inv <= 0 then 10000.0
+                 else greatest(1.0, least(10000.0, m * (1 - m) / (v - m * (1 - m) * inv) - 1)) end as weight
+  from moments
+), verdicts as (
+  select source, (k + weight * m) / (n + weight) > 0.5 as host_failed from hosts, prior
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not base_failed and not host_failed as kept, host_failed
+from marked join verdicts on marked.source is not distinct from verdicts.source
+"""

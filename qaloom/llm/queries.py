@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaloom.llm import simhash
+from qaloom.llm import host_rules, simhash, token_counts
 from qaloom.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,3 +40,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_simhash(spark, d):
     found = simhash.near_duplicates(table(spark, d, "documents"))
     return found.select("doc_id", simhash.hex_column(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op6_host_rules(spark, d):
+    judged = host_rules.judge(host_rules.document_counts(table(spark, d, "documents")))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "host_failed",
+    )
+
+
+@query
+def op7_token_counts(spark, d):
+    return token_counts.token_counts(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
