@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries of the subpackage that SQL can express."""
 
+from qaloom.llm.licenses import CAPITALS, COVERED, SLACK, SMALL, STRETCH, template_grams
+
 ORACLES: dict[str, str] = {}
 
 ORACLES["op6_host_rules"] = r"""
@@ -45,3 +47,55 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        not base_failed and not host_failed as kept, host_failed
 from marked join verdicts on marked.source is not distinct from verdicts.source
 """
+
+_GRAMS = ", ".join(
+    f"({number}, '{label}', {str(base).lower()}, {n}, {at}, '{gram}')"
+    for number, label, base, n, at, gram in template_grams()
+)
+
+ORACLES["op9_license_scan"] = rf"""
+with docs as (
+  select row_number() over () as rid, doc_id,
+         [x for x in regexp_split_to_array(
+            translate(coalesce(text, ''), '{CAPITALS}', '{SMALL}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> ''] as ws
+  from documents
+), places as (
+  select rid, unnest(range(1, len(ws) - 1)) as i, ws from docs where len(ws) >= 3
+), grams as (
+  select rid, i - 1 as pos, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as gram from places
+), templates(template, label, is_base, n, tpos, gram) as (values {_GRAMS}),
+hits as (
+  select rid, template, label, is_base, n, tpos, pos - tpos as diagonal from grams join templates using (gram)
+), votes as (
+  select rid, template, label, is_base, n, diagonal, list(tpos) as seen, min(tpos) as lo, max(tpos) as hi
+  from hits group by all
+), gaps as (
+  select *, coalesce((diagonal - lag(diagonal) over (partition by rid, template order by diagonal) > {SLACK})::int, 0) as new
+  from votes
+), runs as (
+  select *, sum(new) over (partition by rid, template order by diagonal) as run from gaps
+), merged as (
+  select rid, template, label, is_base, n, run, list_distinct(flatten(list(seen))) as seen,
+         min(diagonal + lo) as f, max(diagonal + hi + 2) as l,
+         count(*) filter (len(seen) = n - 2) as whole,
+         min(diagonal) filter (len(seen) = n - 2) as p0, max(diagonal) filter (len(seen) = n - 2) as p1
+  from runs group by all
+), scored as (
+  select *, len(list_distinct(flatten([[t, t + 1, t + 2] for t in seen]))) / n as coverage from merged
+), labelled as (
+  select *, case when is_base and whole > 0 then label end as base_label,
+         case when (is_base and whole > 0) or (coverage >= {COVERED} and l - f + 1 <= {STRETCH} * n) then label end as any_label
+  from scored
+), summed as (
+  select rid, sum(case when is_base then whole else 0 end)::bigint as n_base,
+         min(p0) filter (is_base) as first_word, max(p1) filter (is_base) as last_word,
+         coalesce(array_to_string(list_sort(list(distinct base_label) filter (base_label is not null)), ','), '') as base_labels,
+         coalesce(array_to_string(list_sort(list(distinct any_label) filter (any_label is not null)), ','), '') as labels,
+         max(coverage) as score
+  from labelled group by rid
+)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base,
+       first_word::bigint as first_word, last_word::bigint as last_word,
+       coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, round(coalesce(score, 0)::double, 6) as score
+from docs left join summed using (rid)
+"""

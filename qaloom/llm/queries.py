@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaloom.llm import host_rules, simhash, token_counts
+from qaloom.llm import host_rules, licenses, simhash, token_counts
 from qaloom.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,3 +54,8 @@ def op6_host_rules(spark, d):
 @query
 def op7_token_counts(spark, d):
     return token_counts.token_counts(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op9_license_scan(spark, d):
+    return licenses.license_labels(table(spark, d, "documents"))
