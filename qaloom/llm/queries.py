@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaloom.llm import host_rules, licenses, simhash, token_counts
+from qaloom.llm import host_rules, licenses, rule_ensemble, simhash, token_counts
 from qaloom.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,3 +59,8 @@ def op7_token_counts(spark, d):
 @query
 def op9_license_scan(spark, d):
     return licenses.license_labels(table(spark, d, "documents"))
+
+
+@query
+def op8_rule_ensemble(spark, d):
+    return rule_ensemble.quality_scores(table(spark, d, "documents"), table(spark, d, "labels"))
