@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaloom.llm import host_rules, licenses, rule_ensemble, simhash, token_counts, toxicity
+from qaloom.llm import decontamination, host_rules, licenses, rule_ensemble, simhash, token_counts, toxicity
 from qaloom.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,3 +69,8 @@ def op8_rule_ensemble(spark, d):
 @query
 def op10_toxicity(spark, d):
     return toxicity.toxicity_scores(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query
+def op5_decontamination(spark, d):
+    return decontamination.contaminations(table(spark, d, "documents"), table(spark, d, "benchmark"))
