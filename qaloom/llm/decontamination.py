@@ -110,37 +110,40 @@ class Block:
         self.seen = np.zeros(1 << bits, bool)
         self.seen[(flat >> self.shift).astype(np.int64)] = True
         sizes = np.array([len(c) for c in self.codes])
+        self.longest = int(sizes.max())
         self.most = (BUDGET * sizes).astype(np.int64)
         self.bound = np.maximum(sizes - Q + 1 - self.most * Q, 1)
 
-    def _hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, diagonal) of every q-gram of the text that is one of an item."""
+    def _hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, diagonal, place in the item) of every q-gram of the text that is one of an item."""
         maybe = np.flatnonzero(self.seen[(hashes >> self.shift).astype(np.int64)])
         wanted = hashes[maybe]
         lo = np.searchsorted(self.hashes, wanted, "left")
         n = np.searchsorted(self.hashes, wanted, "right") - lo
         maybe, lo, n = maybe[n > 0], lo[n > 0], n[n > 0]
         at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        return self.owner[at], np.repeat(maybe, n) - self.place[at]
+        return self.owner[at], np.repeat(maybe, n) - self.place[at], self.place[at]
 
     def regions(self, hashes: np.ndarray, length: int) -> list[tuple[int, int, int]]:
         """(item, lowest, highest diagonal) of the bands that reach the bound."""
-        item, diagonal = self._hits(hashes)
+        item, diagonal, place = self._hits(hashes)
         if not len(item):
             return []
         # An item with fewer hits in the whole text than its bound has no band that reaches it.
         enough = np.bincount(item, minlength=len(self.ids)) >= self.bound
         live = enough[item]
-        item, diagonal = item[live], diagonal[live]
+        item, diagonal, place = item[live], diagonal[live], place[live]
         if not len(item):
             return []
         # Twice the budget: the edits of the match, and as many by which q-grams may stray from its diagonal.
         step = 2 * self.most[item] + 1
-        base = int(max(len(c) for c in self.codes)) + 1
+        base = self.longest + 1
         found = []
         for half in (0, 1):
             band = (diagonal + base + half * step // 2 + step) // step
-            key, count = np.unique(item * np.int64(length + 4 * base) + band, return_counts=True)
+            # Each q-gram of an item counts once in a band, however often the text repeats it.
+            once = np.unique((item * np.int64(length + 4 * base) + band) * base + place) // base
+            key, count = np.unique(once, return_counts=True)
             owner = key // (length + 4 * base)
             for k in np.flatnonzero(count >= self.bound[owner]):
                 i = int(owner[k])
@@ -153,7 +156,7 @@ class Block:
         """(item id, edits, start, end) of the best place of each item in a normalised text."""
         best: dict[int, tuple] = {}
         codes = letters(text)
-        reach = 2 * max(len(c) for c in self.codes) + 2
+        reach = 2 * self.longest + 2
         for begin in range(0, max(1, len(codes)), PIECE):
             piece = codes[begin:begin + PIECE + reach]
             for i, low, high in self.regions(gram_hashes(piece), len(piece)):
