@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaloom.llm import decontamination, host_rules, licenses, rule_ensemble, simhash, token_counts, toxicity
+from qaloom.llm import decontamination, host_rules, licenses, rule_ensemble, sentencepieces, simhash, token_counts, toxicity
 from qaloom.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,3 +74,9 @@ def op10_toxicity(spark, d):
 @query
 def op5_decontamination(spark, d):
     return decontamination.contaminations(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query
+def op2_sentencepiece(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return sentencepieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
