@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaloom.llm import decontamination, host_rules, licenses, rule_ensemble, sentencepieces, simhash, token_counts, toxicity
+from qaloom.llm import decontamination, host_rules, licenses, rule_ensemble, sentencepieces, simhash, surrogates, token_counts, toxicity
 from qaloom.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +80,13 @@ def op5_decontamination(spark, d):
 def op2_sentencepiece(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     return sentencepieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
+#: The secret that surrogates are drawn with, here for tests; a job names its own.
+PII_KEY = "test key"
+
+
+@query
+def op4_pii_surrogates(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return surrogates.replace_entities(docs, PII_KEY, count="n_entities")
