@@ -99,3 +99,45 @@ select doc_id, len(ws)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base
        coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, round(coalesce(score, 0)::double, 6) as score
 from docs left join summed using (rid)
 """
+
+ORACLES["op3_warc_revisits"] = r"""
+with raw as (
+  select page_id as p, url, coalesce(html, '') as html,
+         regexp_replace(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') as bare
+  from pages
+), split as (
+  select *, split_part(bare, '?', 1) as place,
+         list_sort([x for x in string_split(case when contains(bare, '?') then substr(bare, strpos(bare, '?') + 1) else '' end, '&')
+                    if x <> '' and not regexp_matches(x, '^(utm_\w+|gclid|fbclid)=')]) as params
+  from raw
+), keyed as (
+  select p, html, '"' || md5(html)[1:16] || '"' as tag,
+         regexp_replace(regexp_replace(lower(split_part(place, '/', 1)), '^.*@', ''), ':(80|443)$', '')
+         || regexp_replace(regexp_extract(place, '^[^/]*(/.*)$', 1), '/+$', '')
+         || case when len(params) > 0 then '?' || array_to_string(params, '&') else '' end as k,
+         p * 60 as t, p * 60 + case when p % 13 = 0 then -86400 * 90 else 86400 * 7 end as seen
+  from split
+), stamped as (
+  select *, strftime(make_timestamp((1704067200 + t) * 1000000), '%Y-%m-%dT%H:%M:%SZ') as made,
+         strftime(make_timestamp((1704067200 + seen) * 1000000), '%Y-%m-%dT%H:%M:%SZ') as at_text,
+         case when p % 7 = 0 then '"gone"' when p % 5 = 0 then 'W/' || tag
+              when p % 3 = 0 or p % 11 = 0 then null else tag end as sent
+  from keyed
+), ranked as (
+  select v.p, v.k, v.sent, v.made, v.at_text, r.p as rp, r.tag as rtag, r.made as rmade, r.html as rhtml,
+         row_number() over (partition by v.p order by r.t desc nulls last, r.p desc) as n
+  from stamped v left join stamped r on v.k = r.k and r.t < v.seen
+), judged as (
+  select *, case when rp is null then 'no_response'
+                 when sent is not null then case when replace(sent, 'W/', '') = rtag then 'resolved' else 'mismatch' end
+                 when p % 3 = 0 then case when made = rmade then 'resolved' else 'mismatch' end
+                 else 'unvalidated' end as outcome
+  from ranked where n = 1
+)
+select 'v' || p as record_id, k as canonical_url, 'r' || rp as response_id, outcome,
+       case when outcome = 'resolved' then 'cache-control: max-age=120' || chr(10) || 'content-length: ' || strlen(rhtml) || chr(10)
+         || 'content-type: text/html' || chr(10) || 'date: ' || at_text || chr(10) || 'etag: ' || coalesce(sent, rtag) || chr(10)
+         || 'last-modified: ' || rmade end as headers,
+       case when outcome = 'resolved' then 'md5:' || md5(rhtml) end as digest
+from judged
+"""

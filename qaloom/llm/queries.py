@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaloom.llm import decontamination, host_rules, licenses, rule_ensemble, sentencepieces, simhash, surrogates, token_counts, toxicity
+from qaloom.llm import decontamination, host_rules, licenses, revisits, rule_ensemble, sentencepieces, simhash, surrogates, token_counts, toxicity
 from qaloom.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +90,49 @@ PII_KEY = "test key"
 def op4_pii_surrogates(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     return surrogates.replace_entities(docs, PII_KEY, count="n_entities")
+
+
+def warc_heads(pages: DataFrame) -> DataFrame:
+    """(head): two WARC records of each page, a response and a later not-modified revisit, as header blocks.
+
+    The revisits differ in their validators: strong, weak, wrong or missing ETags, or only a date; some
+    come before any response.
+    """
+    p = F.col("page_id")
+    tag = F.concat(F.lit('"'), F.substring(F.md5(F.coalesce("html", F.lit(""))), 1, 16), F.lit('"'))
+
+    def stamp(seconds: F.Column, form: str = "yyyy-MM-dd'T'HH:mm:ss'Z'") -> F.Column:
+        return F.date_format(F.timestamp_seconds(F.lit(1704067200) + seconds), form)
+
+    made = stamp(p * 60)
+    response = F.concat_ws(
+        "\n", F.lit("WARC/1.1"), F.lit("WARC-Type: response"), F.concat(F.lit("WARC-Record-ID: r"), p),
+        F.concat(F.lit("WARC-Target-URI: "), F.col("url")), F.concat(F.lit("WARC-Date: "), made),
+        F.concat(F.lit("WARC-Payload-Digest: md5:"), F.md5(F.coalesce("html", F.lit("")))), F.lit(""),
+        F.lit("HTTP/1.1 200 OK"), F.lit("Content-Type: text/html"), F.concat(F.lit("ETag: "), tag),
+        F.concat(F.lit("Last-Modified: "), made), F.lit("Cache-Control: max-age=60"),
+        F.concat(F.lit("Content-Length: "), F.octet_length(F.coalesce("html", F.lit("")))),
+    )
+    sent = (
+        F.when(p % 7 == 0, F.lit('ETag: "gone"')).when(p % 5 == 0, F.concat(F.lit("ETag: W/"), tag))
+        .when((p % 3 == 0) | (p % 11 == 0), F.lit(None).cast("string")).otherwise(F.concat(F.lit("ETag: "), tag))
+    )
+    seen = p * 60 + F.when(p % 13 == 0, -86400 * 90).otherwise(86400 * 7)
+    revisit = F.concat_ws(
+        "\n", F.lit("WARC/1.1"), F.lit("WARC-Type: revisit"), F.concat(F.lit("WARC-Record-ID: v"), p),
+        F.concat(F.lit("WARC-Target-URI: "), F.col("url")), F.concat(F.lit("WARC-Date: "), stamp(seen)),
+        F.lit(f"WARC-Profile: {revisits.NOT_MODIFIED}"), F.lit(""),
+        F.lit("HTTP/1.1 304 Not Modified"), sent, F.when(p % 3 == 0, F.concat(F.lit("Last-Modified: "), made)),
+        F.lit("Cache-Control: max-age=120"), F.concat(F.lit("Date: "), stamp(seen)), F.lit("Content-Length: 0"),
+        F.lit("Connection: close"),
+    )
+    return pages.select(F.explode(F.array(response, revisit)).alias("head"))
+
+
+@query
+def op3_warc_revisits(spark, d):
+    heads = warc_heads(table(spark, d, "pages"))
+    resolved = revisits.resolve_revisits(revisits.parse_heads(heads))
+    return resolved.select(
+        "record_id", "canonical_url", "response_id", "outcome", revisits.header_text(F.col("headers")).alias("headers"), "digest"
+    )
