@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: q-gram length, edits per item character, characters of benchmark text in a block, shortest item that is looked for.
 Q, BUDGET, BLOCK_CHARS, SHORTEST = 8, 0.1, 2_000_000, 24
@@ -202,6 +203,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
     held = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") >= SHORTEST)
     kind, item_kind = dict(held.dtypes)["doc_id"], dict(benchmark.dtypes)[item_id]
     schema = f"doc_id {kind}, item_id {item_kind}, edits int, region string"
+    types = [to_arrow_type(f.dataType) for f in (held.schema["doc_id"], benchmark.schema[item_id])] + [pa.int32(), pa.string()]
     spark = docs.sparkSession
     out = spark.createDataFrame([], schema)
     for items in blocks(benchmark, item_id):
@@ -209,17 +211,14 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = Block(shared.value)
-            arrow = None
             for batch in batches:
                 rows = []
                 for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     clean = normal(raw)
                     rows += [(key, i, edits, clean[a:b]) for i, edits, a, b in block.search(clean)]
-                columns = list(zip(*rows)) or [[], [], [], []]
-                arrow = arrow or [batch.schema.field(0).type, None, pa.int32(), pa.string()]
-                ids = pa.array(list(columns[1])) if rows else pa.array([], pa.int64())
+                columns = list(zip(*rows)) or [()] * 4
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(columns[0]), arrow[0]), ids, pa.array(list(columns[2]), pa.int32()), pa.array(list(columns[3]), pa.string())],
+                    [pa.array(list(values), kind) for values, kind in zip(columns, types)],
                     names=["doc_id", "item_id", "edits", "region"])
 
         out = out.unionByName(held.mapInArrow(run, schema))

@@ -24,14 +24,14 @@ TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mit", "the software is provided as is without warranty of any kind express or implied"),
     ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("cc-by-nc", "creative commons attribution noncommercial 4 0 international license"),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-sa", "creative commons attribution sharealike 4 0 international license"),
+    ("cc-by-nc", "commons attribution noncommercial 4 0 international"),
+    ("cc-by", "commons attribution 4 0 international"),
+    ("cc-by-sa", "commons attribution sharealike 4 0 international"),
     ("cc0", "cc0 1 0 universal public domain dedication"),
-    ("gpl-3", "licensed under the gnu general public license version 3"),
-    ("gpl-2", "licensed under the gnu general public license version 2"),
+    ("gpl-3", "gnu general public license version 3"),
+    ("gpl-2", "gnu general public license version 2"),
     ("gpl", "under the terms of the gnu general public license as published by the free software foundation"),
-    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("lgpl", "gnu lesser general public license"),
     ("mpl-2", "subject to the terms of the mozilla public license v 2 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
@@ -39,7 +39,7 @@ TEMPLATES = [
 ]
 GRAM = 3
 #: Diagonals this close are one span; it must cover this share of the template's words, and be no longer than so many times the template.
-SLACK, COVERED, STRETCH = 2, 0.8, 1.5
+SLACK, COVERED, STRETCH = 2, 0.85, 1.5
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 

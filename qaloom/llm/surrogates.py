@@ -248,7 +248,9 @@ def _rendered(mention: Column, kind: Column, drawn: Column) -> Column:
         lambda c, i: F.when(c != " ", F.substring(
             only, F.length(F.regexp_replace(F.substring(mention, F.lit(1), i + 1), " ", "")), F.lit(1))).otherwise(c),
     ), "")
-    cased = F.when(mention == F.upper(mention), F.upper(only)).otherwise(only)
+    letters = F.split(mention, "")
+    cased = F.array_join(F.transform(
+        F.split(only, ""), lambda c, i: F.when(F.get(letters, i).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
     title = F.regexp_extract(mention, rf"^((?:{'|'.join(_TITLE)})\.? )", 1)
     return (
         F.when(kind.isin(*DIGIT_KINDS), digits).when(kind == "iban", blanks).when(kind.isin("email", "ipv6"), cased)
