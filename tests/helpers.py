@@ -22,7 +22,7 @@ def records(spark, *rows):
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], schema.RECORDS)
 
 
-def rec(instruction="حول", parts=("",), output="", source_id="1"):
+def rec(instruction="انقل", parts=("",), output="", source_id="1"):
     return (source_id, instruction, list(parts), output)
 
 
@@ -42,7 +42,7 @@ def store(spark, batches=(), questions=(), leases=(), reviews=()):
     }
 
 
-def question(id, source_id="42", batch=1, instruction="حول", parts=("مدخل",), output="مخرج"):
+def question(id, source_id="42", batch=1, instruction="لخص", parts=("نص",), output="ملخص"):
     return (id, batch, source_id, instruction, list(parts), output)
 
 

@@ -148,7 +148,7 @@ def test_submit(spark):
 def item(spark, *items):
     """(source id, output, notes) in order."""
     df = spark.createDataFrame(list(enumerate(items)), "ord bigint, i struct<source_id string, output string, notes string>")
-    digest = tx.row_hash(F.lit("حول"), F.array(F.lit("مدخل")), F.col("i.output"))
+    digest = tx.row_hash(F.lit("لخص"), F.array(F.lit("نص")), F.col("i.output"))
     return df.select("ord", "i.source_id", "i.notes", digest.alias("row_hash"))
 
 
@@ -164,9 +164,9 @@ def test_bulk_fail_in_every_state(spark):
                    question(8, "both"), question(9, "both", 2)],
         leases=[(4, "محمد", "s", "2099-01-01T00:00:00"), (2, "x", "x", LATER)],
         reviews=[(20, 2, "Fail", "ملاحظة", "محمد", NOON), (30, 3, "Pass", "", "محمد", NOON)])
-    items = item(spark, ("new", "مخرج", "first"), ("new", "مخرج", "last"), ("failed", "مخرج", "n"),
-                 ("passed", "مخرج", "سؤال مكرر"), ("leased", "مخرج", "n"), ("changed", "مختلف", "n"),
-                 ("twice", "مخرج", "n"), ("both", "مخرج", "n"), ("absent", "مخرج", "n"))
+    items = item(spark, ("new", "ملخص", "first"), ("new", "ملخص", "last"), ("failed", "ملخص", "n"),
+                 ("passed", "ملخص", "سؤال مكرر"), ("leased", "ملخص", "n"), ("changed", "مختلف", "n"),
+                 ("twice", "ملخص", "n"), ("both", "ملخص", "n"), ("absent", "ملخص", "n"))
     changes = bulk(spark, t, items)
     assert rows(changes["actions"], "question_id", "action") == [
         (1, "failed"), (2, "already_failed"), (3, "overwritten"), (4, "failed"), (6, "failed"),
@@ -285,7 +285,7 @@ def test_search_and_export(spark):
     export = S.export_rows(t["reviews"], t["questions"])
     assert export.columns == ["instruction", "question", "output", "pass/fail", "notes"]
     assert [tuple(r)[1:4] for r in export.collect()] == [
-        ("Line one\nLine two", "مخرج", "Pass"), ("مدخل", "a\\b", "Fail")]
+        ("Line one\nLine two", "ملخص", "Pass"), ("نص", "a\\b", "Fail")]
     assert S.export_rows(t["reviews"], t["questions"], batch_id=2).count() == 1
 
 
