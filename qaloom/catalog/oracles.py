@@ -11,7 +11,7 @@ from qaloom.sources import imports as im
 
 VIEWS = {
     "v_records": """
-  select conv_id*1000+turn as position, cast(conv_id as varchar) as source_id,
+  select conv_id*4294967296+turn as position, cast(conv_id as varchar) as source_id,
          coalesce(sys,'') as instruction, text as input_text, nt as output
   from (select conv_id, turn, role, text,
                lead(role) over (partition by conv_id order by turn) nr,
@@ -363,16 +363,20 @@ oracle("claim_resume", """
 select distinct r.reviewer, r.session_id, l.question_id
 from v_requests r join l_held l on l.reviewer = r.reviewer and l.session_id = r.session_id""", _HELD)
 oracle("claim_batch", """
-select reviewer, session_id, claim_id, exclude_question_id, question_id, 'resumed' as outcome from c_valid
+select trim(v.reviewer) as reviewer, v.session_id, v.claim_id, v.exclude_question_id, a.question_id,
+       case when v.claim_id <> a.claim_id and a.outcome = 'claimed' then 'resumed' else a.outcome end as outcome
+from v_claims v join (
+select reviewer, session_id, claim_id, question_id, 'resumed' as outcome from c_valid
 where question_id is not null
 union all
-select p.reviewer, p.session_id, p.claim_id, p.exclude_question_id, given,
+select p.reviewer, p.session_id, p.claim_id, given as question_id,
        case when given is null then 'none' else 'claimed' end
 from (
   select p.*, case when clash and c.n = 1 then s.spare when clash then k.question_id
                    when p.rank = h.heir then c.only_question else p.question_id end as given
   from c_pairs p cross join c_clash c cross join c_spare s cross join c_heir h
-  left join c_ring g on g.rank = p.rank left join c_ring k on k.ring = g.ring % c.n + 1) p""",
+  left join c_ring g on g.rank = p.rank left join c_ring k on k.ring = g.ring % c.n + 1) p
+) a on a.reviewer = trim(v.reviewer) and a.session_id = v.session_id""",
 _HELD + f""",
 c_one as (
   select trim(reviewer) as reviewer, session_id, min(claim_id) as claim_id,
@@ -535,9 +539,10 @@ _IMPORT = _TYPES + f""",
 i_files as (
   select file, file_hash, row_number() over (order by file_hash)
            + (select max(id) from v_batches) as batch_id
-  from (select file, sha256(cast(cast(substr(file, 2) as bigint) % 100 as varchar)) as file_hash,
-               row_number() over (partition by cast(substr(file, 2) as bigint) % 100 order by file) as n
-        from (select distinct file from v_raw))
+  from (select file, sha256(cast(same as varchar)) as file_hash,
+               row_number() over (partition by same order by file) as n
+        from (select distinct file, number - (number % 4 = 3)::bigint as same
+              from (select file, cast(substr(file, 2) as bigint) as number from v_raw)))
   where n = 1)"""
 oracle("import_batches", f"""
 select batch_id as id, any_value(f.file || '.json') as filename, any_value(file_hash) as file_hash,

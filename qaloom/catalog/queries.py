@@ -21,7 +21,7 @@ from qaloom.operators import skew
 from qaloom.functions import segments as sg
 from qaloom.functions import tolerant_json as tj
 from qaloom.functions import validation as vd
-from qaloom.session import configure, shared_dir, spread
+from qaloom.session import configure, shared_dir
 from qaloom.sources import documents as docs
 from qaloom.sources import failures as fl
 from qaloom.sources import imports as im
@@ -51,7 +51,7 @@ def _listed(column) -> F.Column:
 
 @query
 def punctuation_set(spark, d):
-    return spread(V.table(spark, d, "documents")).select(
+    return V.table(spark, d, "documents").select(
         "doc_id", F.array_join(tx.punctuation_set(F.col("text")), "").alias("marks")
     )
 
@@ -59,7 +59,7 @@ def punctuation_set(spark, d):
 @query
 def words(spark, d):
     found = tx.words(F.col("text"))
-    return spread(V.table(spark, d, "documents")).select("doc_id", found.alias("w")).select(
+    return V.table(spark, d, "documents").select("doc_id", found.alias("w")).select(
         "doc_id", F.size("w").cast("bigint").alias("n_words"),
         F.sha2(F.array_join("w", " "), 256).alias("words_hash"),
     )
@@ -74,7 +74,7 @@ def row_hash(spark, d):
 
 @query
 def text_flags(spark, d):
-    return spread(V.table(spark, d, "documents")).select(
+    return V.table(spark, d, "documents").select(
         "doc_id",
         tx.has_latin_letter(F.col("text")).cast("int").alias("latin"),
         tx.has_punctuation(F.col("text")).cast("int").alias("marks"),
@@ -473,7 +473,7 @@ def relaxed_json(spark, d):
 
 @query
 def contains_json(spark, d):
-    split = sg.segments(spread(V.table(spark, d, "events")), "props")
+    split = sg.segments(V.table(spark, d, "events"), "props")
     return split.select("event_id", sg.contains_json(F.col("segments")).cast("int").alias("has_json"))
 
 
@@ -486,7 +486,7 @@ def json_segments(spark, d):
         F.lit(f"]\n{fence} end [unclosed"),
     )
     rows = sg.json_segments(
-        spread(V.table(spark, d, "events")).select("event_id", line.alias("line")), ["event_id"], "line"
+        V.table(spark, d, "events").select("event_id", line.alias("line")), ["event_id"], "line"
     )
     return rows.select("event_id", F.col("ix").cast("bigint").alias("ix"), "text",
                        F.col("is_json").cast("int").alias("is_json"))
@@ -574,7 +574,7 @@ def live_over_time(spark, d):
 def incremental_ingest(spark, d):
     folder = _work(spark, "ingest")
     raw = V.as_raw_texts(V.stream(spark, d, "events")).select(
-        F.substring("file", 2, 20).cast("bigint").alias("batch_id"), "row", "line"
+        F.expr("cast(substr(file, 2) as bigint)").alias("batch_id"), "row", "line"
     )
     ig.ingest_chunks(raw, f"{folder}/out", f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/out/chunks").groupBy("batch_id").agg(

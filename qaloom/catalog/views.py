@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qaloom.operators.skew import join_unique
-from qaloom.session import spread
 
 LEASE_MINUTES = 30
 AS_OF = "2024-01-10 00:45:00"
@@ -24,7 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The same table as a stream of its files."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    # As a pattern, the path may be one file or a folder of part files.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{{{name}}}.parquet")
 
 
 def at(text: str) -> Column:
@@ -50,7 +50,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     system = turns.where("role = 'system'").groupBy("conv_id").agg(F.max("text").alias("system"))
     paired = join_unique(users.join(answers, ["conv_id", "turn"]), system, ["conv_id"])
     return paired.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("position"),
+        (F.col("conv_id") * (1 << 32) + F.col("turn")).alias("position"),
         F.col("conv_id").cast("string").alias("source_id"),
         F.coalesce("system", F.lit("")).alias("instruction"),
         F.array("text").alias("input"),
@@ -60,7 +60,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One upload per document source; every tenth is still open."""
-    number = F.substring("source", 4, 10).cast("bigint")
+    number = F.expr("cast(substr(source, 4) as bigint)")
     return (
         table(spark, sf_dir, "documents").groupBy("source")
         .agg(F.count(F.lit(1)).alias("imported_count"))
@@ -84,7 +84,7 @@ def as_questions(documents: DataFrame) -> DataFrame:
     """Every document as a question; the output is its text without stops and commas."""
     return documents.select(
         F.col("doc_id").alias("id"),
-        F.substring("source", 4, 10).cast("bigint").alias("batch_id"),
+        F.expr("cast(substr(source, 4) as bigint)").alias("batch_id"),
         (F.col("doc_id") % 500).cast("string").alias("source_id"),
         F.col("lang").alias("instruction"),
         F.array("text").alias("input"),
@@ -93,7 +93,7 @@ def as_questions(documents: DataFrame) -> DataFrame:
 
 
 def question_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_records(as_questions(spread(table(spark, sf_dir, "documents"))))
+    return as_records(as_questions(table(spark, sf_dir, "documents")))
 
 
 def as_records(asked: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def leases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tool_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a tool call against one schema with a comment and loose commas."""
-    return spread(table(spark, sf_dir, "events")).select(
+    return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("position"),
         F.col("event_id").cast("string").alias("source_id"),
         F.when(F.col("event_id") % 17 == 0, "no tools").otherwise(TOOL_SCHEMA).alias("instruction"),
@@ -203,13 +203,13 @@ def as_lease_events(events: DataFrame) -> DataFrame:
 
 
 def raw_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_raw_texts(spread(table(spark, sf_dir, "events")))
+    return as_raw_texts(table(spark, sf_dir, "events"))
 
 
 def as_raw_texts(events: DataFrame) -> DataFrame:
     """Every event as the JSON text of an upload record; most kinds have a flaw.
 
-    A user's events form one file, and 50 users' files repeat those of others.
+    A user's events form one file.
     """
     head = F.concat(F.lit('{"id": '), F.col("event_id").cast("string"))
     text = (
@@ -237,7 +237,8 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upload_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    number = F.substring("file", 2, 20).cast("bigint")
+    """The files of the raw texts; every fourth has the content of the one before it."""
+    number = F.expr("cast(substr(file, 2) as bigint)")
     return raw_texts(spark, sf_dir).select("file", "filename").distinct().withColumn(
-        "file_hash", F.sha2((number % 100).cast("string"), 256)
+        "file_hash", F.sha2((number - (number % 4 == 3).cast("bigint")).cast("string"), 256)
     )

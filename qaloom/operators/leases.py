@@ -93,7 +93,7 @@ def claim_pool(
 
 
 def one_per_session(claims: DataFrame) -> DataFrame:
-    """Claims of one reviewer and session get one question: keep the earliest claim."""
+    """The earliest claim of each reviewer and session, which alone can get a new question."""
     cleaned = claims.withColumn("reviewer", tx.strip(F.col("reviewer")))
     return cleaned.groupBy("reviewer", "session_id").agg(
         F.min("claim_id").alias("claim_id"),
@@ -178,14 +178,16 @@ def claim(
 ) -> Changes:
     """Answer a batch of claims: resume one's own lease, else a new random question.
 
-    ``outcomes`` holds one row per reviewer and session; ``leases`` the rows to add
-    in place of older ones of the same question; ``audit`` the expiries found.
+    ``outcomes`` holds one row per claim: a later claim of a reviewer and session resumes what
+    the earliest got. ``leases`` holds the rows to add in place of older ones of the same
+    question; ``audit`` the expiries found.
     """
     swept = sweep(leases, as_of)
-    asked = one_per_session(claims)
-    blank = (F.col("reviewer") == "") | (F.coalesce("session_id", F.lit("")) == "")
+    cleaned = claims.select("claim_id", tx.strip(F.col("reviewer")).alias("reviewer"), "session_id", "exclude_question_id")
+    blank = F.coalesce(F.col("reviewer"), F.lit("")).eqNullSafe("") | (F.coalesce("session_id", F.lit("")) == "")
     who = ["reviewer", "session_id"]
-    valid = join_unique(asked.where(~blank), resumable(reviews, leases, as_of), who)
+    first = one_per_session(cleaned.where(~blank))
+    valid = join_unique(first, resumable(reviews, leases, as_of), who)
     resumed = valid.where(F.col("question_id").isNotNull()).withColumn("outcome", F.lit("resumed"))
     fresh = valid.where(F.col("question_id").isNull()).drop("question_id", "assigned_at")
     pool = claim_pool(questions, reviews, leases, as_of, batches)
@@ -193,14 +195,18 @@ def claim(
         *who, "claim_id", "exclude_question_id", "question_id", as_of.alias("assigned_at"),
         F.when(F.col("question_id").isNull(), "none").otherwise("claimed").alias("outcome"),
     )
-    refused = asked.where(blank).select(
+    refused = cleaned.where(blank).select(
         *who, "claim_id", "exclude_question_id", F.lit(None).cast("bigint").alias("question_id"),
-        F.lit(None).cast("timestamp").alias("assigned_at"), F.lit("refused").alias("outcome"),
+        F.lit("refused").alias("outcome"),
     )
-    outcomes = resumed.unionByName(given).unionByName(refused)
-    held = outcomes.where(F.col("outcome").isin("resumed", "claimed"))
+    answered = resumed.unionByName(given)
+    held = answered.where(F.col("outcome").isin("resumed", "claimed"))
+    answer = answered.select(*who, F.col("claim_id").alias("_first"), "question_id", "outcome")
+    each = join_unique(cleaned.where(~blank), answer, who, "inner").withColumn(
+        "outcome", F.when((F.col("claim_id") != F.col("_first")) & (F.col("outcome") == "claimed"), "resumed").otherwise(F.col("outcome"))
+    ).drop("_first")
     return {
-        "outcomes": outcomes.drop("assigned_at"),
+        "outcomes": each.unionByName(refused),
         "leases": _new_lease(held, as_of, F.col("assigned_at")),
         "dropped": swept["dropped"],
         "audit": swept["audit"],

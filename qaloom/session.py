@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -48,9 +49,14 @@ def _test_folder() -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only a session that names none (a local test) gets a temporary folder.
+    A cluster must name one; a session on a single machine that names none gets a temporary folder.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or _test_folder()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return _test_folder()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -64,14 +70,3 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """A scan of fewer tasks than cores, dealt out to all cores.
-
-    For small inputs under costly work per row. A scan that already has a task for
-    every core, as any large table has, is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)

@@ -22,8 +22,17 @@ def _wrapped(text: Column, inner: str) -> Column:
     return F.from_json(body, f"value {inner}, `end of text` int", _STRICT)
 
 
-def _whole(parsed: Column) -> Column:
-    return F.coalesce(parsed["end of text"] == 1, F.lit(False))
+def _whole(parsed: Column, text: Column) -> Column:
+    """Whether the text is one JSON value and nothing else.
+
+    Beside the closing field, the wrapper must hold nothing that the text has put there. For
+    that it is read once more with field names made from the text's own digest, which no text can hold.
+    """
+    digest = F.sha2(text, 256)
+    body = F.concat(F.lit('{"'), digest, F.lit('":'), text, F.lit(',"end '), digest, F.lit('":1}'))
+    names = F.map_keys(F.from_json(body, "map<string,string>", _STRICT))
+    alone = names == F.array(digest, F.concat(F.lit("end "), digest))
+    return F.coalesce(parsed["end of text"] == 1, F.lit(False)) & F.coalesce(alone, F.lit(False))
 
 
 def parse_documents(files: DataFrame, text: str = "text") -> DataFrame:
@@ -36,11 +45,11 @@ def parse_documents(files: DataFrame, text: str = "text") -> DataFrame:
     return (
         files.withColumn("_plain", plain)
         .withColumn("_doc", _wrapped(F.col("_plain"), "struct<data array<variant>>"))
-        .withColumn("data", F.when(_whole(F.col("_doc")), F.col("_doc.value.data")))
+        .withColumn("data", F.when(_whole(F.col("_doc"), F.col("_plain")), F.col("_doc.value.data")))
         .withColumn(
             "error",
             F.when(F.col("data").isNotNull(), F.lit(None))
-            .when(_whole(_wrapped(F.col("_plain"), "variant")), NO_DATA)
+            .when(_whole(_wrapped(F.col("_plain"), "variant"), F.col("_plain")), NO_DATA)
             .otherwise(NOT_JSON),
         )
         .drop("_plain", "_doc")
@@ -92,14 +101,15 @@ def read_json_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     before = W.partitionBy("file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = W.partitionBy("file", "_block").orderBy("_order")
-    parsed = _wrapped(F.regexp_replace("line", r"^\x{FEFF}", ""), "variant")
+    plain = F.regexp_replace("line", r"^\x{FEFF}", "")
+    parsed = _wrapped(plain, "variant")
     return (
         lines.join(starts, ["file", "_block"])
         .withColumn("row", (F.row_number().over(inside) + F.col("_start")).cast("int"))
         .withColumn("_parsed", parsed)
         .select(
             "file", "filename", "row",
-            F.when(_whole(F.col("_parsed")), F.col("_parsed.value")).alias("record"),
+            F.when(_whole(F.col("_parsed"), plain), F.col("_parsed.value")).alias("record"),
             F.xxhash64("row", "line").alias("line_hash"),
         )
     )

@@ -22,7 +22,7 @@ def records(spark, *rows):
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], schema.RECORDS)
 
 
-def rec(instruction="انقل", parts=("",), output="", source_id="1"):
+def rec(instruction="لخص", parts=("",), output="", source_id="1"):
     return (source_id, instruction, list(parts), output)
 
 

@@ -187,3 +187,15 @@ def test_export_sink(spark, tmp_path):
     df = spark.createDataFrame([("i", "a\nb", "o", "Pass", "")], ["instruction", "question", "output", "pass/fail", "notes"])
     sinks.write_export(df, str(tmp_path / "e"), "json")
     assert spark.read.json(str(tmp_path / "e")).first()["pass/fail"] == "Pass"
+
+
+def test_text_that_only_completes_the_wrapper_is_not_json(spark):
+    texts = ['{"data":[1]}, "x": 2', '{"data":[1]}, "data": 5', '{"data":[1]},"value":{"data":[2]}', '{"data":[1]} , "end of text": 1', '{"data":[1]}}, {"a": {', "", '{"data":[1]}']
+    got = docs.parse_documents(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert [r.error for r in got] == [docs.NOT_JSON] * 6 + [None]
+
+
+def test_json_lines_hold_one_value_each(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"id":1}, "x": 2\n{"id":1}\n[1] [2]\n"t", "value": 3\n7\n')
+    got = docs.read_json_lines(spark, str(tmp_path / "a.jsonl")).orderBy("row").collect()
+    assert [r.record is None for r in got] == [True, False, True, True, False]

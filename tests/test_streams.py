@@ -101,3 +101,24 @@ def test_chunks_are_stored_and_refused(spark, tmp_path):
         (7, 0, "1", ["q"]), (7, 10, "1", ["q"]), (7, 11, "1", ["q"])]
     assert rows(spark.read.parquet(f"{tmp_path}/out/refused"), "row") == [(1,), (12,)]
     assert rows(spark.read.parquet(f"{tmp_path}/out/chunks"), "batch", "imported", "skipped") == [(0, 1, 1), (1, 2, 1)]
+
+
+def test_streams_read_tables_that_are_folders(spark, tmp_path):
+    from qaloom.catalog.queries import QUERIES
+
+    source = "/root/testdata/sf0.001"
+    for name in ("events", "documents", "labels"):
+        spark.read.parquet(f"{source}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("lease_stream", "live_by_reviewer", "live_over_time", "incremental_ingest", "incremental_duplicates"):
+        whole, parts = QUERIES[name](spark, source), QUERIES[name](spark, str(tmp_path))
+        assert rows(whole, *whole.columns) == rows(parts, *whole.columns) != []
+
+
+def test_days_are_complete_whatever_the_order_of_arrival(spark, tmp_path):
+    days = ["2024-01-10", "2024-01-05", "2024-01-10", "2024-02-01", "2024-01-05"]
+    for n, day in enumerate(days):
+        spark.createDataFrame([(n, n, "Pass", "", "r", ts(day))], REVIEWS).write.mode("append").parquet(f"{tmp_path}/in")
+        counts = live.daily_counts(spark.readStream.schema(REVIEWS).parquet(f"{tmp_path}/in"))
+        live.keep_latest(counts, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    assert rows(live.latest(spark, f"{tmp_path}/out", "date"), "date", "reviews") == [
+        ("2024-01-05", 2), ("2024-01-10", 2), ("2024-02-01", 1)]

@@ -294,3 +294,13 @@ def test_versions_of_the_tables(spark, tmp_path):
     state.save(t, str(tmp_path), 1)
     state.save({**t, "questions": t["questions"].where("false")}, str(tmp_path), 2)
     assert state.load(spark, str(tmp_path))["questions"].count() == 0
+
+
+def test_every_claim_is_answered(spark):
+    t = store(spark, batches=[(1, "ready")], questions=[question(k) for k in range(1, 4)])
+    asked = claims(spark, ("Cem", "c", None), (" Cem", "c", 2), ("Dora", "d", None), ("Cem", "c", None), ("", "x", None), ("", "x", 1), ("Eli", "", None), ("Cem", "other", None))
+    changes = claim(t, asked)
+    got = {r.claim_id: (r.outcome, r.question_id) for r in changes["outcomes"].collect()}
+    assert len(got) == 8 and changes["leases"].count() == 3
+    assert [got[k][0] for k in (0, 1, 2, 3, 4, 5, 6, 7)] == ["claimed", "resumed", "claimed", "resumed", "refused", "refused", "refused", "claimed"]
+    assert got[0][1] == got[1][1] == got[3][1] and len({got[k][1] for k in (0, 2, 7)}) == 3
