@@ -289,10 +289,13 @@ def claim_resume(spark, d):
 
 def _bulk_items(spark, d):
     """Repeats among the stored questions, and every failed conversation record."""
-    stored = R.mark_duplicates(V.question_records(spark, d)).where("is_repeat").select(
-        "source_id", F.lit(R.NOTES["duplicate"]).alias("notes"),
+    # Digests are taken where the texts are read; only they meet in the join.
+    hashed = V.question_records(spark, d).select(
+        "source_id", "position", tx.question_key(F.col("instruction"), F.col("input")).alias("key"),
         tx.row_hash(F.col("instruction"), F.col("input"), F.col("output")).alias("row_hash"),
-        F.col("position").alias("ord"),
+    )
+    stored = skew.mark_repeats(hashed, ["key"], F.col("position")).where("is_repeat").select(
+        "source_id", F.lit(R.NOTES["duplicate"]).alias("notes"), "row_hash", F.col("position").alias("ord"),
     )
     other = R.failure_rows(R.judge(V.records(spark, d), "arabizi")).select(
         "source_id", "notes", "row_hash", F.col("position").alias("ord")

@@ -66,7 +66,18 @@ def cut(df: DataFrame) -> DataFrame:
     optimizer of what follows.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/qaloom/cut-{uuid.uuid4().hex}"
+    path = f"{_cuts(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
+
+def _cuts(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{shared_dir(spark)}/qaloom/cuts-{spark.sparkContext.applicationId}"
+
+
+def clear_cuts(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application, once no frame that reads one is needed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_cuts(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+

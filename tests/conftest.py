@@ -5,11 +5,12 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from qaloom.session import local_session  # noqa: E402
+from qaloom.session import clear_cuts, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session("8", 4, "tests")
     yield session
+    clear_cuts(session)
     session.stop()

@@ -82,3 +82,15 @@ def test_rules_run_once_under_a_filter_on_their_outcome(spark):
     assert failures._jdf.queryExecution().executedPlan().toString().count("IsLatin") == 1
     unchecked = R.unchecked_rows(R.judge(V.tool_records(spark, SF), "tool_calling"))
     assert unchecked._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 2
+
+
+def test_intermediate_tables_can_be_cleared(spark):
+    from pathlib import Path
+
+    from qaloom import session
+
+    kept = session.cut(spark.range(5))
+    folder = Path(session._cuts(spark).removeprefix("file:"))
+    assert kept.count() == 5 and any(folder.iterdir())
+    session.clear_cuts(spark)
+    assert not folder.exists() and session.cut(spark.range(3)).count() == 3
