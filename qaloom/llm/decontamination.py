@@ -193,17 +193,13 @@ def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -
         yield held
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                   item_id: str = "item_id") -> DataFrame:
-    """(doc_id, item_id, edits, region): each item found in each text, with the best place's words.
-
-    Null and empty texts hold nothing. A repeated row gives its rows again, a repeated item too; other
-    columns are ignored. An empty benchmark or table gives an empty result.
-    """
-    held = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") >= SHORTEST)
+def _found(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id: str) -> DataFrame:
+    """``contaminations`` with a digest of each text."""
+    held = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("digest"))
+    held = held.where(F.length("text") >= SHORTEST)
     kind, item_kind = dict(held.dtypes)["doc_id"], dict(benchmark.dtypes)[item_id]
-    schema = f"doc_id {kind}, item_id {item_kind}, edits int, region string"
-    types = [to_arrow_type(f.dataType) for f in (held.schema["doc_id"], benchmark.schema[item_id])] + [pa.int32(), pa.string()]
+    schema = f"doc_id {kind}, digest bigint, item_id {item_kind}, edits int, region string"
+    types = [to_arrow_type(held.schema["doc_id"].dataType), pa.int64(), to_arrow_type(benchmark.schema[item_id].dataType), pa.int32(), pa.string()]
     spark = docs.sparkSession
     out = spark.createDataFrame([], schema)
     for items in blocks(benchmark, item_id):
@@ -213,19 +209,31 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
             block = Block(shared.value)
             for batch in batches:
                 rows = []
-                for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for key, raw, digest in zip(*(c.to_pylist() for c in batch.columns)):
                     clean = normal(raw)
-                    rows += [(key, i, edits, clean[a:b]) for i, edits, a, b in block.search(clean)]
-                columns = list(zip(*rows)) or [()] * 4
+                    rows += [(key, digest, i, edits, clean[a:b]) for i, edits, a, b in block.search(clean)]
+                columns = list(zip(*rows)) or [()] * 5
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(values), kind) for values, kind in zip(columns, types)],
-                    names=["doc_id", "item_id", "edits", "region"])
+                    names=["doc_id", "digest", "item_id", "edits", "region"])
 
         out = out.unionByName(held.mapInArrow(run, schema))
     return out
 
 
+def contaminations(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                   item_id: str = "item_id") -> DataFrame:
+    """(doc_id, item_id, edits, region): each item found in each text, with the best place's words.
+
+    Null and empty texts hold nothing. A repeated row gives its rows again, a repeated item too; other
+    columns are ignored. An empty benchmark or table gives an empty result.
+    """
+    return _found(docs, benchmark, doc_id, text, item_id).drop("digest")
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that hold no benchmark item; a document without an id goes only if all such hold one."""
-    found = contaminations(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(found, docs[doc_id] == F.col("__leak"), "left_anti").select(*docs.columns)
+    """The documents that hold no benchmark item, with their columns; a null id is an id like any other."""
+    leaks = _found(docs, benchmark, doc_id, text, "item_id").select(
+        F.col("doc_id").alias("__leak"), F.col("digest").alias("__digest")).distinct()
+    same = docs[doc_id].eqNullSafe(F.col("__leak")) & (F.xxhash64(docs[text]) == F.col("__digest"))
+    return docs.join(leaks, same, "left_anti").select(*docs.columns)
