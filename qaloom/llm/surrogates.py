@@ -34,7 +34,7 @@ SURNAMES = {
     "cyrillic": "Кузнецов Соколов Лебедев Новиков Морозов Волков Зайцев Павлов",
 }
 SYLLABLES = {"latin": "ba do fe ki lo ma ne ri so tu va wen", "cyrillic": "ба до ве ки ло ма не ри со ту ва ян"}
-_NAME = r"\p{Lu}[\p{L}'’]+(?:-\p{Lu}[\p{L}'’]+)*"
+_NAME = r"\p{Lu}[\p{L}'’]+(?:-\p{Lu}[\p{L}'’]+){0,3}"
 _GIVEN_ALL = "|".join(sorted({n for names in GIVEN.values() for n in names.split()}))
 
 _OPEN, _CLOSE = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
@@ -42,7 +42,7 @@ _OPEN, _CLOSE = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 #: Runs are possessive or start at a boundary: no word is read more than once for a pattern.
 _AFTER_QUOTE = r"(?<=[\"'])(?<=(?i:token|secret|password|passwd|key)[^\p{L}\p{N}\n]{0,8}[=:][^\p{L}\p{N}\n]{0,8}[\"'])[^\"'\s]{8,}+(?=[\"'])"
 _AT_WORD = [
-    r"(?<![._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
+    r"(?<![._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++){1,126}",
     rf"[0-9a-fA-F]{{32,}}+{_CLOSE}", rf"(?:AKIA|ASIA)[A-Z0-9]{{16}}{_CLOSE}", r"(?:ghp|gho|sk|pk)_[A-Za-z0-9]{16,}+",
     rf"(?<!:)(?:[0-9a-fA-F]{{1,4}}:){{7}}[0-9a-fA-F]{{1,4}}(?![\p{{L}}\p{{N}}:])",
     rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?{_CLOSE}",
@@ -269,13 +269,12 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text", count: str |
     stays empty. The same key gives the same surrogates for the same set of entities.
     """
     own = docs.columns
+    body = F.col("row")[text]
     marked = cut(docs.select(
-        F.struct(*own).alias("row"), F.col(text).alias("text"),
+        F.struct(*own).alias("row"),
         F.coalesce(F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>")).alias("mentions"),
     ))
-    hit = marked.where(F.size("mentions") > 0).withColumns({
-        "digest": F.sha2("text", 256),
-    })
+    hit = marked.where(F.size("mentions") > 0).withColumn("digest", F.sha2(body, 256))
     # A text that stands in several rows is looked at once.
     texts = hit.select("digest", "mentions").dropDuplicates(["digest"])
     mentions = texts.select("digest", F.posexplode("mentions").alias("pos", "mention")).withColumn("of", _kind(F.col("mention")))
@@ -292,9 +291,9 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text", count: str |
     listed = each.groupBy("digest").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "new"))), lambda s: s["new"]).alias("news")
     )
-    between = F.split("text", PATTERN, -1)
+    between = F.split(body, PATTERN, -1)
     rebuilt = F.array_join(F.zip_with(between, F.col("news"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     replaced = join_unique(hit, listed, ["digest"], "inner").select("row", rebuilt.alias("text"), F.size("mentions").alias("n"))
-    plain = marked.where(F.size("mentions") == 0).select("row", "text", F.lit(0).alias("n"))
+    plain = marked.where(F.size("mentions") == 0).select("row", body.alias("text"), F.lit(0).alias("n"))
     columns = [F.col("text").alias(text) if c == text else F.col(f"row.`{c}`") for c in own]
     return plain.unionByName(replaced).select(*columns, *([F.col("n").alias(count)] if count else []))
