@@ -34,13 +34,24 @@ SURNAMES = {
     "cyrillic": "Кузнецов Соколов Лебедев Новиков Морозов Волков Зайцев Павлов",
 }
 SYLLABLES = {"latin": "ba do fe ki lo ma ne ri so tu va wen", "cyrillic": "ба до ве ки ло ма не ри со ту ва ян"}
+#: Letters without case are drawn from common ones of their script; those of other scripts become Latin.
+UNCASED = [
+    ("人大中上下山水火木金土日月天心手口目耳足", r"\p{IsHan}"), ("あいうえおかきくけこさしすせそたちつてと", r"\p{IsHiragana}"),
+    ("アイウエオカキクケコサシスセソタチツテト", r"[\p{IsKatakana}ー]"), ("가나다라마바사아자차카타파하거너더러머버", r"\p{IsHangul}"),
+    ("ابتثجحخدذرزسشصضطعغفقكلمنهوي", r"\p{IsArabic}"), ("אבגדהוזחטיכלמנסעפצקרשת", r"\p{IsHebrew}"),
+    ("กขคงจฉชซดตถทนบปผพฟมยรลวสหอ", r"\p{IsThai}"), ("कखगघचछजझटठडढतथदधनपफबभमयरलवशसह", r"\p{IsDevanagari}"),
+]
 _NAME = r"\p{Lu}[\p{L}'’]+(?:-\p{Lu}[\p{L}'’]+){0,3}"
 _GIVEN_ALL = "|".join(sorted({n for names in GIVEN.values() for n in names.split()}))
 
 _OPEN, _CLOSE = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 #: The patterns of mentions, grouped by what must stand in front, so that most places of a text are passed over by one look.
 #: Runs are possessive or start at a boundary: no word is read more than once for a pattern.
-_AFTER_QUOTE = r"(?<=[\"'])(?<=(?i:token|secret|password|passwd|key)[^\p{L}\p{N}\n]{0,8}[=:][^\p{L}\p{N}\n]{0,8}[\"'])[^\"'\s]{8,}+(?=[\"'])"
+#: A value that repeats one sign, as in "********", is masked already and no mention.
+_AFTER_QUOTE = (
+    r"(?<=[\"'])(?<=(?i:token|secret|password|passwd|key)[^\p{L}\p{N}\n]{0,8}[=:][^\p{L}\p{N}\n]{0,8}[\"'])"
+    r"(?!([^\p{L}\p{N}\s\"'])\1*+[\"'])[^\"'\s]{8,}+(?=[\"'])"
+)
 _AT_WORD = [
     r"(?<![._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++){1,126}",
     rf"[0-9a-fA-F]{{32,}}+{_CLOSE}", rf"(?:AKIA|ASIA)[A-Z0-9]{{16}}{_CLOSE}", r"(?:ghp|gho|sk|pk)_[A-Za-z0-9]{16,}+",
@@ -128,19 +139,29 @@ def _draw(key: str, what: Column, size: Column) -> Column:
 
 
 def _letters(text: Column, drawn: Column, hexadecimal: Column) -> Column:
-    """Each letter and digit replaced by a drawn one of its kind and script; other characters stay."""
+    """Each letter and digit replaced by a drawn one of its kind and script; other characters stay.
+
+    A text without letters and digits has no such form; each of its characters becomes a letter.
+    """
     alphabets = [
         ("0123456789", r"[0-9]"), ("abcdefghijklmnopqrstuvwxyz", r"[\p{Ll}&&\P{IsCyrillic}]"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"[\p{Lu}&&\P{IsCyrillic}]"),
         ("абвгдежзиклмнопрстуфхцчшэюя", r"[\p{Ll}&&\p{IsCyrillic}]"), ("АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", r"[\p{Lu}&&\p{IsCyrillic}]"),
     ]
+    latin = alphabets[1][0]
+
+    def pick(alphabet: str, n: Column) -> Column:
+        return F.substring(F.lit(alphabet), n % len(alphabet) + 1, F.lit(1))
 
     def one(c: Column, i: Column) -> Column:
         n = F.get(drawn, i)
         out = F.when(hexadecimal & c.rlike("[0-9a-f]") & ~text.rlike("[A-F]"), F.substring(F.lit("0123456789abcdef"), n % 16 + 1, F.lit(1)))
         out = out.when(hexadecimal & c.rlike("[0-9A-F]") & ~text.rlike("[a-f]"), F.substring(F.lit("0123456789ABCDEF"), n % 16 + 1, F.lit(1)))
         for alphabet, pattern in alphabets:
-            out = out.when(c.rlike(pattern), F.substring(F.lit(alphabet), n % len(alphabet) + 1, F.lit(1)))
-        return out.otherwise(c)
+            out = out.when(c.rlike(pattern), pick(alphabet, n))
+        out = out.when(~c.rlike(r"[\p{L}\p{N}]"), F.when(text.rlike(r"[\p{L}\p{N}]") | (c == ""), c).otherwise(pick(latin, n)))
+        for alphabet, pattern in UNCASED:
+            out = out.when(c.rlike(r"\p{L}") & c.rlike(pattern), pick(alphabet, n))
+        return out.when(c.rlike(r"\p{N}"), pick(alphabets[0][0], n)).otherwise(pick(latin, n))
 
     return F.array_join(F.transform(F.split(text, ""), one), "")
 

@@ -79,3 +79,17 @@ def test_same_rows_and_null_ids(spark):
     docs = frame(spark, ["ip 8.8.8.8"] * 3 + [None], [1, 1, None, 4])
     got = surrogates.replace_entities(docs, KEY)
     assert got.columns == docs.columns and len({r.text for r in got.collect() if r.text}) == 1 and got.count() == 4
+
+
+def test_values_without_cased_letters_have_a_surrogate(spark):
+    masked = ['"password": "********"', 'key = "--------"', "token: '••••••••••'"]
+    secrets = ["ひらがなのひみつ", "カタカナノヒミツー", "密码密码密码密码", "كلمةالسرهنا", "סיסמהסודית", "รหัสผ่านลับ", "ꀀꀁꀂꀃꀄꀅꀆꀇ", "!@#$%^&*()", "٣٤٥٦٧٨٩٠"]
+    texts = masked + [f'"key": "{s}"' for s in secrets] + ["an 张三@例子.中国 b", "and _@-.com", "Ann.B7@mail.example.com"]
+    got = replaced(spark, texts)
+    assert [got[k].text for k in range(3)] == masked and not any(got[k].n_entities for k in range(3))
+    new = [re.fullmatch(r'"key": "([^"]+)"', got[3 + k].text).group(1) for k in range(len(secrets))]
+    assert all(len(a) == len(b) and a != b for a, b in zip(new, secrets)) and len(set(new)) == len(new)
+    assert not set(new[0]) - set(surrogates.UNCASED[1][0]) and not set(new[2]) - set(surrogates.UNCASED[0][0])
+    assert re.fullmatch(r"[a-z]{8}", new[6]) and re.fullmatch(r"[a-z]{10}", new[7]) and re.fullmatch(r"[0-9]{8}", new[8])
+    assert re.fullmatch(r"an [^ -~]{2}@[^ -~]{2}\.中国 b", got[12].text) and got[12].text != texts[12]
+    assert re.fullmatch(r"and [a-z]@[a-z]\.com", got[13].text) and got[14].n_entities == 1 and got[14].text != texts[14]
