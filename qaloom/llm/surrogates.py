@@ -68,13 +68,14 @@ _AT_NUMBER = [
 ]
 PATTERN = rf"{_OPEN}(?=[\p{{L}}\p{{N}}._%+-])(?:{'|'.join(_AT_WORD)})|(?<!\d)(?=[\d(+])(?:{'|'.join(_AT_NUMBER)})|{_AFTER_QUOTE}"
 DIGIT_KINDS = ("phone", "ssn", "card")
-ROUNDS = 64
+#: Draws within an entity's own form; each one after that is from a wider form, so every entity gets a surrogate however full its form is.
+ROUNDS = 16
 
 
 def _kind(mention: Column) -> Column:
     """The kind of a mention, by its form alone."""
     whole = {
-        "email": r"^[^@\s]+@[^@\s]+$",
+        "email": r"^[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+$",
         "ipv6": r"^(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}$",
         "ip": rf"^(?:{_OCTET}\.){{3}}{_OCTET}$",
         "ssn": r"^\d{3}-\d{2}-\d{4}$",
@@ -182,10 +183,19 @@ def _pick(words: str, n: Column) -> Column:
 
 
 def _surrogate(key: str) -> Column:
-    """The surrogate of an entity (kind, norm, gender, script) at its ``attempt``."""
+    """The surrogate of an entity (kind, norm, gender, script) at its ``attempt``.
+
+    From attempt ``ROUNDS`` on the form is wider: one more symbol at each attempt; for addresses the
+    private block 10.0.0.0/8 (or any public first octet), and at last unique local IPv6 addresses.
+    """
     kind, norm, attempt = F.col("kind"), F.col("norm"), F.col("attempt")
     what = F.concat_ws("\x1f", kind, norm, attempt.cast("string"))
-    drawn = _draw(key, what, F.greatest(F.length(norm), F.lit(8)))
+    base = F.greatest(F.length(norm), F.lit(8))
+    wider = F.greatest(attempt - ROUNDS + 1, F.lit(0))
+    drawn = _draw(key, what, base + wider)
+    added = F.slice(drawn, base + 1, wider)
+    digits = F.array_join(F.transform(added, lambda n: (n % 10).cast("string")), "")
+    letters = F.array_join(F.transform(added, lambda n: F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), n % 26 + 1, F.lit(1))), "")
     hexadecimal = norm.rlike(r"^[0-9a-fA-F:]+$") & kind.isin("secret", "ipv6")
     shaped = _letters(norm, drawn, hexadecimal)
     # A domain is drawn on its own, so that addresses of one domain stay together; its last label stays.
@@ -194,7 +204,7 @@ def _surrogate(key: str) -> Column:
     host = F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1)
     host_drawn = _draw(key, F.concat_ws("\x1f", F.lit("domain"), domain), F.greatest(F.length(domain), F.lit(8)))
     local = F.substring_index(norm, "@", 1)
-    email = F.concat(_letters(local, drawn, F.lit(False)), F.lit("@"), _letters(host, host_drawn, F.lit(False)), F.lit("."), top)
+    email = F.concat(_letters(local, drawn, F.lit(False)), letters, F.lit("@"), _letters(host, host_drawn, F.lit(False)), F.lit("."), top)
     octets = F.split(norm, r"\.")
     first = F.get(octets, F.lit(0)).cast("int")
     ip = F.concat_ws(
@@ -202,12 +212,22 @@ def _surrogate(key: str) -> Column:
         F.when(first.isin(172, 192), F.get(octets, F.lit(1))).otherwise((F.get(drawn, F.lit(1)) % 254 + 1).cast("string")),
         (F.get(drawn, F.lit(2)) % 254 + 1).cast("string"), (F.get(drawn, F.lit(3)) % 254 + 1).cast("string"),
     )
+    public = F.get(drawn, F.lit(0)) % 222 + 1
+    block = F.when(first.isin(10, 127, 172, 192), F.lit(10)).otherwise(public + (public >= 10).cast("int"))
+    ip_wider = F.concat_ws(".", block.cast("string"), *[(F.get(drawn, F.lit(k)) % 254 + 1).cast("string") for k in (1, 2, 3)])
+    local_v6 = F.concat(F.lit("fd"), F.substring(F.array_join(F.transform(
+        F.slice(drawn, 1, 8), lambda n: F.concat(F.lit(":"), F.lower(F.lpad(F.hex(n), 4, "0")))), ""), 4, 99))
+    ip = F.when(attempt < ROUNDS, ip).when(attempt < ROUNDS + 8, ip_wider).otherwise(local_v6)
     # The first digit (network, country) and the check remainder of a card stay.
-    body = F.concat(F.substring(norm, 1, 1), F.substring(shaped, F.lit(2), F.length(norm) - 2))
+    body = F.concat(F.substring(norm, 1, 1), F.substring(shaped, F.lit(2), F.length(norm) - 2), digits)
     last = (_luhn(norm) - _luhn(F.concat(body, F.lit("0"))) + 10) % 10
     card = F.concat(body, last.cast("string"))
-    phone = F.concat(F.substring(norm, 1, 1), F.substring(shaped, F.lit(2), F.length(norm)))
-    iban = F.concat(F.substring(norm, 1, 2), F.substring(shaped, F.lit(3), F.length(norm)))
+    # A phone number first gives up its first digit, and then its length.
+    phone = F.concat(F.substring(F.when(attempt < ROUNDS, norm).otherwise(shaped), 1, 1), F.substring(shaped, F.lit(2), F.length(norm)),
+                     F.when(attempt >= ROUNDS + 8, digits).otherwise(""))
+    iban = F.concat(F.substring(norm, 1, 2), F.substring(shaped, F.lit(3), F.length(norm)), digits)
+    ipv6 = F.when(attempt < ROUNDS, shaped).otherwise(local_v6)
+    shaped = F.concat(shaped, F.when(hexadecimal | (kind == "ssn"), digits).otherwise(letters))
     one = F.get(drawn, F.lit(0))
     given = F.lit(None).cast("string")
     for (script, gender), names in GIVEN.items():
@@ -218,14 +238,14 @@ def _surrogate(key: str) -> Column:
         surname = F.when(same, _pick(SURNAMES[script], one)).otherwise(surname)
         # Past the list, names grow by drawn syllables in front of their ending.
         grown = F.array_join(F.transform(
-            F.slice(drawn, 2, F.least(F.floor(attempt / 2).cast("int"), F.lit(6))), lambda n: _pick(SYLLABLES[script], n)), "")
+            F.slice(drawn, 2, F.least(F.floor(attempt / 2).cast("int"), F.lit(6)) + wider), lambda n: _pick(SYLLABLES[script], n)), "")
         more = F.when(same, grown).otherwise(more)
     female = F.col("gender") == "f"
     end = F.when(F.col("script") == "cyrillic", F.when(female, "на").otherwise("ан")).otherwise(F.when(female, "na").otherwise("on"))
     given = F.when(attempt < 2, given).otherwise(F.concat(F.initcap(more), end))
     surname = F.when(attempt < 2, surname).otherwise(F.concat(surname, more))
     return (
-        F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card)
+        F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "ipv6", ipv6).when(kind == "card", card)
         .when(kind == "phone", phone).when(kind == "iban", iban)
         .when(kind == "given", given).when(kind == "surname", surname).otherwise(shaped)
     )
@@ -235,10 +255,11 @@ def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, norm, surrogate): one distinct surrogate for each entity (kind, norm, gender, script).
 
     In every round the entities whose draw is a real entity's form, or was also drawn by one
-    that comes before it, draw again. Forms are compared in lower case.
+    that comes before it, draw again. Forms are compared in lower case. The form grows with
+    the draws past ``ROUNDS``, so this ends for any number of entities.
     """
     now = cut(entities.withColumn("attempt", F.lit(0)).withColumn("surrogate", _surrogate(key)))
-    for _ in range(ROUNDS):
+    while True:
         form = F.lower("surrogate")
         drawn = now.select(form.alias("form"), F.struct("attempt", "kind", "norm").alias("who"), F.lit(False).alias("real"))
         real = now.select(F.lower("norm").alias("form"), F.struct("attempt", "kind", "norm").alias("who"), F.lit(True).alias("real"))
@@ -257,12 +278,15 @@ def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
         if new.where("again").isEmpty():
             return new.select("kind", "norm", "surrogate")
         now = new.drop("again")
-    raise ValueError("no distinct surrogates were found; a kind of entity has used up its form")
 
 
 def _rendered(mention: Column, kind: Column, drawn: Column) -> Column:
-    """Surrogates written in the notation of a mention: its separators, title and letter case."""
+    """Surrogates written in the notation of a mention: its separators, title and letter case; what is longer follows."""
     only = F.get(drawn, F.lit(0))
+
+    def beyond(separators: str) -> Column:
+        return F.substring(only, F.length(F.regexp_replace(mention, separators, "")) + 1, F.length(only))
+
     digits = F.array_join(F.transform(
         F.split(mention, ""),
         lambda c, i: F.when(c.rlike(r"\d"), F.substring(
@@ -278,7 +302,7 @@ def _rendered(mention: Column, kind: Column, drawn: Column) -> Column:
         F.split(only, ""), lambda c, i: F.when(F.get(letters, i).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
     title = F.regexp_extract(mention, rf"^((?:{'|'.join(_TITLE)})\.? )", 1)
     return (
-        F.when(kind.isin(*DIGIT_KINDS), digits).when(kind == "iban", blanks).when(kind.isin("email", "ipv6"), cased)
+        F.when(kind.isin(*DIGIT_KINDS), F.concat(digits, beyond(r"\D"))).when(kind == "iban", F.concat(blanks, beyond(" "))).when(kind.isin("email", "ipv6"), cased)
         .when(kind == "person", F.concat(title, F.array_join(drawn, " "))).otherwise(only)
     )
 

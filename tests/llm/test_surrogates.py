@@ -93,3 +93,19 @@ def test_values_without_cased_letters_have_a_surrogate(spark):
     assert re.fullmatch(r"[a-z]{8}", new[6]) and re.fullmatch(r"[a-z]{10}", new[7]) and re.fullmatch(r"[0-9]{8}", new[8])
     assert re.fullmatch(r"an [^ -~]{2}@[^ -~]{2}\.中国 b", got[12].text) and got[12].text != texts[12]
     assert re.fullmatch(r"and [a-z]@[a-z]\.com", got[13].text) and got[14].n_entities == 1 and got[14].text != texts[14]
+
+
+def test_a_full_form_grows(spark):
+    # Every form of one digit or letter is a real entity, and so is most of a private block: 64,516 forms.
+    block = [("ip", f"192.168.{a}.{b}") for a in range(1, 255) for b in range(1, 255)]
+    small = [("secret", str(k)) for k in range(10)] + [("ssn", str(k)) for k in range(10, 20)] + [("email", f"{c}@b.c") for c in "abcdefghijklmnopqrstuvwxyz"]
+    small += [("phone", str(k)) for k in range(100)]
+    entities = spark.createDataFrame(block[::3] + block[1::3] + small, "kind string, norm string").repartition(4)
+    entities = entities.withColumn("gender", surrogates.F.lit(None).cast("string")).withColumn("script", surrogates.F.lit("latin"))
+    drawn = surrogates.draw_surrogates(entities, KEY).collect()
+    forms = {r.surrogate for r in drawn}
+    assert len(forms) == len(drawn) == entities.count() and not forms & {r.norm for r in drawn}
+    ips = [r.surrogate for r in drawn if r.kind == "ip"]
+    assert all(x.startswith(("192.168.", "10.")) for x in ips) and any(x.startswith("10.") for x in ips)
+    longer = spark.createDataFrame([("555-1234", ["55598761"])], "m string, d array<string>")
+    assert longer.select(surrogates._rendered(surrogates.F.col("m"), surrogates.F.lit("phone"), surrogates.F.col("d"))).scalar() == "555-98761"
