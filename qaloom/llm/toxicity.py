@@ -30,8 +30,10 @@ FOLDS, HELD_OUT = 4, 2
 SAMPLE_ROWS, SAMPLE_BYTES = 4_000, 16_000_000
 LEAST, MOST = 3, 6
 BUCKETS, WIDTH = 1 << 18, 4
-#: Training: rounds, steps in each, rate, documents that an n-gram needs to speak freely, weight of a standing-out word, words trained on.
-ROUNDS, STEPS, RATE, SUPPORT, BOOST, VOCABULARY = 3, 25, 6.0, 4.0, 4.0, 80_000
+#: Training: rounds, steps in each, rate, documents that an n-gram needs to speak freely, weight of a standing-out word.
+ROUNDS, STEPS, RATE, SUPPORT, BOOST = 3, 25, 6.0, 4.0, 4.0
+#: Words whose n-grams are laid out at once; all words of the sample are trained on, in as many batches as they need.
+CHUNK = 50_000
 THRESHOLD = 0.3
 TOP = 3
 #: Words whose score a task remembers; past that it starts anew.
@@ -83,6 +85,27 @@ def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return all_buckets[order], np.cumsum(counts) - counts
 
 
+def bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``ngrams`` of any number of words, made in batches and held in four bytes each."""
+    made = [ngrams(words[k:k + CHUNK]) for k in range(0, len(words), CHUNK)]
+    ends = np.cumsum([0, *(len(b) for b, _ in made)])
+    return np.concatenate([b.astype(np.int32) for b, _ in made]), np.concatenate([s + e for (_, s), e in zip(made, ends)])
+
+
+def batches_of(starts: np.ndarray, total: int) -> Iterator[tuple[slice, slice]]:
+    """(words, n-grams) of each batch."""
+    for k in range(0, len(starts), CHUNK):
+        end = starts[k + CHUNK] if k + CHUNK < len(starts) else total
+        yield slice(k, min(k + CHUNK, len(starts))), slice(starts[k], end)
+
+
+def averages(table: np.ndarray, buckets: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The average number of each bag."""
+    sizes = np.diff(np.r_[starts, len(buckets)])
+    return np.concatenate([
+        np.add.reduceat(table[buckets[grams]], starts[own] - grams.start) / sizes[own] for own, grams in batches_of(starts, len(buckets))])
+
+
 @dataclass(frozen=True)
 class Model:
     """One number per n-gram bucket, the bias of a word, and the step from words to a document."""
@@ -96,9 +119,8 @@ class Model:
         """The log-odds of toxic of each word."""
         if not words:
             return np.zeros(0)
-        buckets, starts = ngrams(words)
-        sizes = np.diff(np.r_[starts, len(buckets)])
-        return np.add.reduceat(self.table[buckets], starts) / sizes + self.bias
+        buckets, starts = bags(words)
+        return averages(self.table, buckets, starts) + self.bias
 
     def document(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(features @ np.array(self.weights) + self.intercept, -35, 35)))
@@ -117,26 +139,37 @@ def train_words(buckets: np.ndarray, starts: np.ndarray, positive: np.ndarray, n
     A step moves an n-gram by its mean slope, held back where few documents speak for it.
     """
     rng = np.random.default_rng(seed)
-    used, local = np.unique(buckets, return_inverse=True)
+    used = np.flatnonzero(np.bincount(buckets, minlength=BUCKETS))
+    place = np.zeros(BUCKETS, np.int32)
+    place[used] = np.arange(len(used))
     sizes = np.diff(np.r_[starts, len(buckets)])
-    owner = np.repeat(np.arange(len(starts)), sizes)
     embed = rng.normal(0, 0.01, (len(used), WIDTH))
     soft = np.sqrt(1 / WIDTH) * np.stack([-np.ones(WIDTH), np.ones(WIDTH)], 1) + rng.normal(0, 0.05, (WIDTH, 2))
     bias = np.zeros(2)
     weight = np.c_[negative, positive]
     total = weight.sum(1)
-    support = np.bincount(local, (total / sizes)[owner], len(used))
+    local = place[buckets]
+    support = np.zeros(len(used))
+    for own, grams in batches_of(starts, len(buckets)):
+        support += np.bincount(local[grams], np.repeat(total[own] / sizes[own], sizes[own]), len(used))
     held_back = (RATE / (support + SUPPORT))[:, None]
     for _ in range(STEPS):
-        mean = np.stack([np.add.reduceat(embed[:, k][local], starts) for k in range(WIDTH)], 1) / sizes[:, None]
-        logits = mean @ soft + bias
-        p = np.exp(logits - logits.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        slope = p * total[:, None] - weight
-        back = (slope @ soft.T) / sizes[:, None]
-        embed -= held_back * np.stack([np.bincount(local, back[:, k][owner], len(used)) for k in range(WIDTH)], 1)
-        soft -= 0.1 * (mean.T @ slope) / total.sum()
-        bias -= slope.sum(0) / total.sum()
+        moved, turned, shifted = np.zeros_like(embed), np.zeros_like(soft), np.zeros(2)
+        for own, grams in batches_of(starts, len(buckets)):
+            at, size = local[grams], sizes[own]
+            mean = np.stack([np.add.reduceat(embed[:, k][at], starts[own] - grams.start) for k in range(WIDTH)], 1) / size[:, None]
+            logits = mean @ soft + bias
+            p = np.exp(logits - logits.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            slope = p * total[own, None] - weight[own]
+            back = (slope @ soft.T) / size[:, None]
+            for k in range(WIDTH):
+                moved[:, k] += np.bincount(at, np.repeat(back[:, k], size), len(used))
+            turned += mean.T @ slope
+            shifted += slope.sum(0)
+        embed -= held_back * moved
+        soft -= 0.1 * turned / total.sum()
+        bias -= shifted / total.sum()
     table = np.zeros(BUCKETS)
     table[used] = embed @ (soft[:, 1] - soft[:, 0])
     return table, float(bias[1] - bias[0])
@@ -145,12 +178,11 @@ def train_words(buckets: np.ndarray, starts: np.ndarray, positive: np.ndarray, n
 def _learn(docs: list[np.ndarray], labels: np.ndarray, words: list[str], seed: int) -> Model:
     """Rounds of training on the given documents' words (indices into ``words``)."""
     counts = np.bincount(np.concatenate(docs), minlength=len(words))
-    used = np.sort(np.argsort(-counts, kind="stable")[: min(VOCABULARY, int((counts > 0).sum()))])
+    used = np.flatnonzero(counts)
     place = np.full(len(words), -1)
     place[used] = np.arange(len(used))
-    local = [place[d][place[d] >= 0] for d in docs]
-    buckets, starts = ngrams([words[k] for k in used])
-    sizes = np.diff(np.r_[starts, len(buckets)])
+    local = [place[d] for d in docs]
+    buckets, starts = bags([words[k] for k in used])
     good = [d for d, y in zip(local, labels) if not y]
     bad = [d for d, y in zip(local, labels) if y]
     negative = np.bincount(np.concatenate(good), minlength=len(used)).astype(float)
@@ -159,7 +191,7 @@ def _learn(docs: list[np.ndarray], labels: np.ndarray, words: list[str], seed: i
     positive *= negative.sum() / max(positive.sum(), 1)
     for _ in range(ROUNDS):
         table, bias = train_words(buckets, starts, positive, negative, seed)
-        odds = np.add.reduceat(table[buckets], starts) / sizes + bias
+        odds = averages(table, buckets, starts) + bias
         positive = np.zeros(len(used))
         for d in bad:
             if len(d):

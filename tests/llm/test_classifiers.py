@@ -98,3 +98,17 @@ def test_ngrams_of_a_word_do_not_depend_on_its_neighbours():
     alone = [toxicity.ngrams([w])[0] for w in ("a", "word", "größe")]
     both, starts = toxicity.ngrams(["a", "word", "größe"])
     assert [sorted(x.tolist()) for x in np.split(both, starts[1:])] == [sorted(x.tolist()) for x in alone]
+
+
+def test_all_words_of_the_sample_are_trained_on(monkeypatch):
+    # 90,000 common words of two documents each, and one of a single toxic document.
+    common = [f"w{k}" for k in range(90_000)]
+    docs = [np.arange(90_000), np.arange(90_000), np.array([90_000])]
+    model = toxicity._learn(docs, np.array([0.0, 0.0, 1.0]), [*common, "zqxjkvbzz"], 5)
+    used, _ = toxicity.ngrams(["zqxjkvbzz"])
+    assert (model.table[used] != 0).all() and model.words(["zqxjkvbzz"])[0] > model.words(common[:1000]).max()
+    # Batches change nothing but the order of sums.
+    small = [d[:300] for d in docs[:2]] + [docs[2]]
+    whole = toxicity._learn(small, np.array([0.0, 0.0, 1.0]), [*common, "zqxjkvbzz"], 5)
+    monkeypatch.setattr(toxicity, "CHUNK", 70)
+    assert np.allclose(whole.table, toxicity._learn(small, np.array([0.0, 0.0, 1.0]), [*common, "zqxjkvbzz"], 5).table)
