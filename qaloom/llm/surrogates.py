@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qaloom.operators.skew import join_unique
+from qaloom.operators.skew import fixed, join_unique
 from qaloom.session import cut
 
 #: What may stand between the groups of a phone number: a few characters, none of them a letter or digit.
@@ -21,7 +21,10 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _TITLE = {
     "Mr": "m", "Mister": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Господин": "m",
     "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Señora": "f", "Госпожа": "f",
+    "Dr": "", "Prof": "", "Doctor": "", "Professor": "", "Mx": "", "Доктор": "", "Профессор": "",
 }
+#: Words that may stand between the names of a person; they stay.
+PARTICLES = "da de dei del della den der di do dos du la las le los ten ter van von vom y zu zum zur al bin ibn".split()
 #: Given names by script and gender, and surnames by script: known names, and those that surrogates are drawn from.
 GIVEN = {
     ("latin", "m"): "John Michael David Thomas Robert Daniel Peter Stefan Jürgen Pierre Antoine Carlos Javier Miguel",
@@ -41,7 +44,11 @@ UNCASED = [
     ("ابتثجحخدذرزسشصضطعغفقكلمنهوي", r"\p{IsArabic}"), ("אבגדהוזחטיכלמנסעפצקרשת", r"\p{IsHebrew}"),
     ("กขคงจฉชซดตถทนบปผพฟมยรลวสหอ", r"\p{IsThai}"), ("कखगघचछजझटठडढतथदधनपफबभमयरलवशसह", r"\p{IsDevanagari}"),
 ]
-_NAME = r"\p{Lu}[\p{L}'’]+(?:-\p{Lu}[\p{L}'’]+){0,3}"
+_LETTERS = r"\p{Lu}(?:\p{L}|['’](?!s?(?!\p{L})))++"
+_NAME = rf"{_LETTERS}(?:-{_LETTERS}){{0,3}}+"
+_TITLES = rf"(?:(?:{'|'.join(_TITLE)})\.? )"
+#: Further names of a mention, with initials and particles between them; the runs are possessive, so they take no stack.
+_NEXT = rf"(?:(?:\p{{Lu}}\.|{'|'.join(PARTICLES)}) )*+(?!(?:{'|'.join(_TITLE)})(?![\p{{L}}\p{{N}}])){_NAME}"
 _GIVEN_ALL = "|".join(sorted({n for names in GIVEN.values() for n in names.split()}))
 
 _OPEN, _CLOSE = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
@@ -57,7 +64,7 @@ _AT_WORD = [
     rf"[0-9a-fA-F]{{32,}}+{_CLOSE}", rf"(?:AKIA|ASIA)[A-Z0-9]{{16}}{_CLOSE}", r"(?:ghp|gho|sk|pk)_[A-Za-z0-9]{16,}+",
     rf"(?<!:)(?:[0-9a-fA-F]{{1,4}}:){{7}}[0-9a-fA-F]{{1,4}}(?![\p{{L}}\p{{N}}:])",
     rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?{_CLOSE}",
-    rf"(?=\p{{Lu}})(?:(?:{'|'.join(_TITLE)})\.? (?:{_NAME} )?{_NAME}|(?:{_GIVEN_ALL}) {_NAME})",
+    rf"(?=\p{{Lu}})(?:{_TITLES}++{_NEXT}(?: {_NEXT})*+|(?:{_GIVEN_ALL})(?: {_NEXT})++)",
 ]
 _AT_NUMBER = [
     rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
@@ -67,6 +74,7 @@ _AT_NUMBER = [
     r"\d(?:[ -]?\d){12,18}(?!\d)",
 ]
 PATTERN = rf"{_OPEN}(?=[\p{{L}}\p{{N}}._%+-])(?:{'|'.join(_AT_WORD)})|(?<!\d)(?=[\d(+])(?:{'|'.join(_AT_NUMBER)})|{_AFTER_QUOTE}"
+PERSON = rf"^(?:{_TITLES}|(?:{_GIVEN_ALL}) )"
 DIGIT_KINDS = ("phone", "ssn", "card")
 #: Draws within an entity's own form; each one after that is from a wider form, so every entity gets a surrogate however full its form is.
 ROUNDS = 16
@@ -82,7 +90,7 @@ def _kind(mention: Column) -> Column:
         "phone": r"^(?:\+\d[\d\W_]*|\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}|\d{3}-\d{4})$",
         "card": r"^\d(?:[ -]?\d){12,18}$",
         "iban": r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?$",
-        "person": rf"^(?:(?:{'|'.join(_TITLE)})\.? |(?:{_GIVEN_ALL}) )",
+        "person": PERSON,
     }
     out = F.when(mention.rlike(r"^[0-9a-fA-F]{32,}$"), F.lit("secret"))
     for kind, pattern in whole.items():
@@ -104,16 +112,42 @@ def _gender(mention: Column, given: Column) -> Column:
     return out.when(given.rlike("[aаяe]$"), "f").otherwise("m")
 
 
+def _surnames(mentions: Column) -> Column:
+    """The last names of the persons mentioned, longer ones first; a given name alone is none."""
+    bare = F.transform(F.filter(mentions, lambda m: m.rlike(PERSON)), lambda m: F.regexp_replace(m, rf"^{_TITLES}+", ""))
+    last = F.transform(F.filter(bare, lambda m: ~m.isin(_GIVEN_ALL.split("|"))), lambda m: F.substring_index(m, " ", -1))
+    ordered = F.array_sort(F.transform(F.array_distinct(last), lambda m: F.struct((-F.length(m)).alias("size"), m.alias("name"))))
+    return F.transform(ordered, lambda m: m["name"])
+
+
+def _with_bare(surnames: Column) -> Column:
+    """The pattern of mentions, and of these surnames where they stand alone."""
+    return F.concat(F.lit(PATTERN + rf"|{_OPEN}(?=\p{{Lu}})(?:"), F.array_join(surnames, "|"), F.lit(f"){_CLOSE}"))
+
+
+def _named(mentions: DataFrame) -> DataFrame:
+    """Add what all parts of a mention share, once for each mention: its words, whether it has a title, its gender."""
+    mention = F.col("mention")
+    tokens = F.split(F.regexp_replace(mention, rf"^{_TITLES}+", ""), " ")
+    given = F.get(F.filter(F.col("tokens"), lambda t: ~t.rlike(r"^\p{Lu}\.$") & ~t.isin(*PARTICLES)), F.lit(0))
+    split = fixed(mentions.withColumn("tokens", F.when(F.col("of") == "person", tokens)), "tokens")
+    whole = split.withColumn("titled", mention.rlike(rf"^{_TITLES}")).withColumn("whose", _gender(mention, given))
+    return fixed(whole.withColumn("last", F.size("tokens") - 1), "titled", "whose", "last")
+
+
 def _parts(mention: Column, kind: Column) -> Column:
-    """The entities of a mention: two for a given name and a surname, else one."""
-    bare = F.regexp_replace(mention, rf"^(?:{'|'.join(_TITLE)})\.? ", "")
-    given = F.when(F.instr(bare, " ") > 0, F.substring_index(bare, " ", 1)).otherwise(
-        F.when(bare.isin(_GIVEN_ALL.split("|")), bare))
-    surname = F.when(F.instr(bare, " ") > 0, F.substring_index(bare, " ", -1)).otherwise(F.when(given.isNull(), bare))
+    """The entities of a mention of ``_named``: for a person one for each name, initial and particle, the last one the surname."""
     none = F.lit(None).cast("string")
 
-    def part(name: str, norm: Column, gender: Column) -> Column:
-        return F.struct(F.lit(name).alias("kind"), norm.alias("norm"), gender.alias("gender"), _script(norm).alias("script"))
+    def part(token: Column, i: Column) -> Column:
+        alone = (F.col("last") == 0) & F.col("titled") & token.isin(_GIVEN_ALL.split("|"))
+        name = (
+            F.when(token.rlike(r"^\p{Lu}\.$"), F.lit("initial")).when(token.isin(*PARTICLES), F.lit("particle"))
+            .when((i == F.col("last")) & ~alone, F.lit("surname")).otherwise(F.lit("given"))
+        )
+        return F.struct(
+            name.alias("kind"), token.alias("norm"), F.when(name == "given", F.col("whose")).alias("gender"),
+            _script(token).alias("script"))
 
     norm = (
         F.when(kind.isin(*DIGIT_KINDS), F.regexp_replace(mention, r"\D", ""))
@@ -122,10 +156,7 @@ def _parts(mention: Column, kind: Column) -> Column:
         .otherwise(mention)
     )
     single = F.array(F.struct(kind.alias("kind"), norm.alias("norm"), none.alias("gender"), _script(norm).alias("script")))
-    named = F.filter(
-        F.array(part("given", given, _gender(mention, given)), part("surname", surname, none)), lambda p: p["norm"].isNotNull()
-    )
-    return F.when(kind == "person", named).otherwise(single)
+    return F.when(kind == "person", F.transform("tokens", part)).otherwise(single)
 
 
 def _draw(key: str, what: Column, size: Column) -> Column:
@@ -251,6 +282,14 @@ def _surrogate(key: str) -> Column:
     )
 
 
+def _initial(norm: Column, key: str) -> Column:
+    """Another initial of the same script: no entity, as there are few and many share one."""
+    n = F.get(_draw(key, F.concat_ws("\x1f", F.lit("initial"), norm), F.lit(8)), F.lit(0))
+    latin, cyrillic = ([F.lit(f"{c}.") for c in letters] for letters in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"))
+    letters = F.array_remove(F.when(_script(norm) == "cyrillic", F.array(*cyrillic)).otherwise(F.array(*latin)), norm)
+    return F.get(letters, n % F.size(letters))
+
+
 def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, norm, surrogate): one distinct surrogate for each entity (kind, norm, gender, script).
 
@@ -300,7 +339,7 @@ def _rendered(mention: Column, kind: Column, drawn: Column) -> Column:
     letters = F.split(mention, "")
     cased = F.array_join(F.transform(
         F.split(only, ""), lambda c, i: F.when(F.get(letters, i).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
-    title = F.regexp_extract(mention, rf"^((?:{'|'.join(_TITLE)})\.? )", 1)
+    title = F.regexp_extract(mention, rf"^({_TITLES}+)", 1)
     return (
         F.when(kind.isin(*DIGIT_KINDS), F.concat(digits, beyond(r"\D"))).when(kind == "iban", F.concat(blanks, beyond(" "))).when(kind.isin("email", "ipv6"), cased)
         .when(kind == "person", F.concat(title, F.array_join(drawn, " "))).otherwise(only)
@@ -315,30 +354,36 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text", count: str |
     """
     own = docs.columns
     body = F.col("row")[text]
-    marked = cut(docs.select(
+    listed = fixed(docs.select(
         F.struct(*own).alias("row"),
         F.coalesce(F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>")).alias("mentions"),
-    ))
+    ), "mentions")
+    # A surname that a text gives with a title or given name is also a mention where it stands alone in that text.
+    marked = cut(fixed(listed.withColumn("surnames", _surnames(F.col("mentions"))), "surnames").withColumn("mentions", F.when(
+        F.size("surnames") > 0, F.regexp_extract_all(body, _with_bare(F.col("surnames")), F.lit(0))).otherwise(F.col("mentions"))))
     hit = marked.where(F.size("mentions") > 0).withColumn("digest", F.sha2(body, 256))
     # A text that stands in several rows is looked at once.
-    texts = hit.select("digest", "mentions").dropDuplicates(["digest"])
-    mentions = texts.select("digest", F.posexplode("mentions").alias("pos", "mention")).withColumn("of", _kind(F.col("mention")))
-    parts = cut(mentions.select(
+    texts = hit.select("digest", "mentions", "surnames").dropDuplicates(["digest"])
+    mentions = texts.select("digest", "surnames", F.posexplode("mentions").alias("pos", "mention")).select(
+        "digest", "pos", "mention", F.when(F.col("mention").rlike(rf"^{_NAME}$") & F.array_contains("surnames", F.col("mention")), F.lit("person"))
+        .otherwise(_kind(F.col("mention"))).alias("of"))
+    parts = cut(_named(mentions).select(
         "digest", "pos", "mention", "of", F.posexplode(_parts(F.col("mention"), F.col("of"))).alias("part", "entity")
     ).select("digest", "pos", "mention", "of", "part", "entity.*"))
-    entities = parts.groupBy("kind", "norm").agg(F.min("gender").alias("gender"), F.min("script").alias("script"))
+    entities = parts.where(~F.col("kind").isin("initial", "particle")).groupBy("kind", "norm").agg(F.min("gender").alias("gender"), F.min("script").alias("script"))
     drawn = draw_surrogates(entities, key)
-    placed = join_unique(parts, drawn, ["kind", "norm"], "inner")
+    placed = join_unique(parts, drawn, ["kind", "norm"]).withColumn("surrogate", F.when(F.col("kind") == "initial", _initial(F.col("norm"), key))
+        .otherwise(F.coalesce("surrogate", "norm")))
     # All groups below are of one text, so no larger than it.
     each = placed.groupBy("digest", "pos", "mention", "of").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("part", "surrogate"))), lambda s: s["surrogate"]).alias("drawn")
     ).select("digest", "pos", _rendered(F.col("mention"), F.col("of"), F.col("drawn")).alias("new"))
-    listed = each.groupBy("digest").agg(
+    rendered = each.groupBy("digest").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "new"))), lambda s: s["new"]).alias("news")
     )
-    between = F.split(body, PATTERN, -1)
+    between = F.when(F.size("surnames") > 0, F.split(body, _with_bare(F.col("surnames")), -1)).otherwise(F.split(body, PATTERN, -1))
     rebuilt = F.array_join(F.zip_with(between, F.col("news"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    replaced = join_unique(hit, listed, ["digest"], "inner").select("row", rebuilt.alias("text"), F.size("mentions").alias("n"))
+    replaced = join_unique(hit, rendered, ["digest"], "inner").select("row", rebuilt.alias("text"), F.size("mentions").alias("n"))
     plain = marked.where(F.size("mentions") == 0).select("row", body.alias("text"), F.lit(0).alias("n"))
     columns = [F.col("text").alias(text) if c == text else F.col(f"row.`{c}`") for c in own]
     return plain.unionByName(replaced).select(*columns, *([F.col("n").alias(count)] if count else []))

@@ -95,11 +95,11 @@ def test_values_without_cased_letters_have_a_surrogate(spark):
     assert re.fullmatch(r"and [a-z]@[a-z]\.com", got[13].text) and got[14].n_entities == 1 and got[14].text != texts[14]
 
 
-def test_a_full_form_grows(spark):
+def test_a_full_form_grows(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "ROUNDS", 2)
     # Every form of one digit or letter is a real entity, and so is most of a private block: 64,516 forms.
     block = [("ip", f"192.168.{a}.{b}") for a in range(1, 255) for b in range(1, 255)]
     small = [("secret", str(k)) for k in range(10)] + [("ssn", str(k)) for k in range(10, 20)] + [("email", f"{c}@b.c") for c in "abcdefghijklmnopqrstuvwxyz"]
-    small += [("phone", str(k)) for k in range(100)]
     entities = spark.createDataFrame(block[::3] + block[1::3] + small, "kind string, norm string").repartition(4)
     entities = entities.withColumn("gender", surrogates.F.lit(None).cast("string")).withColumn("script", surrogates.F.lit("latin"))
     drawn = surrogates.draw_surrogates(entities, KEY).collect()
@@ -108,4 +108,19 @@ def test_a_full_form_grows(spark):
     ips = [r.surrogate for r in drawn if r.kind == "ip"]
     assert all(x.startswith(("192.168.", "10.")) for x in ips) and any(x.startswith("10.") for x in ips)
     longer = spark.createDataFrame([("555-1234", ["55598761"])], "m string, d array<string>")
-    assert longer.select(surrogates._rendered(surrogates.F.col("m"), surrogates.F.lit("phone"), surrogates.F.col("d"))).scalar() == "555-98761"
+    assert longer.select(surrogates._rendered(surrogates.F.col("m"), surrogates.F.lit("phone"), surrogates.F.col("d"))).first()[0] == "555-98761"
+
+
+def test_whole_names_and_bare_surnames(spark):
+    texts = ["Mr. John Ronald Tolkien wrote. Mr. Tolkien's Tolkien is not Tolkienish.", "President John F. Kennedy and Mr. John F. Kennedy", "Carlos de la Cruz, Señor de la Cruz",
+             "Prof. Dr. Maria Stone saw Dr. Stone Mrs. Field", "Stone", "Mr. " + "Ab " * 20000 + "Zz"]
+    got = {i: r.text for i, r in replaced(spark, texts).items()}
+    a = re.fullmatch(r"Mr\. (\S+) (\S+) (\S+) wrote\. Mr\. (\S+)'s (\S+) is not Tolkienish\.", got[0]).groups()
+    assert a[2] == a[3] == a[4] and not {"John", "Ronald", "Tolkien"} & set(a)
+    b = re.fullmatch(r"President (\S+) ([A-Z])\. (\S+) and Mr\. (\S+) ([A-Z])\. (\S+)", got[1]).groups()
+    assert b[:3] == b[3:] and b[0] == a[0] and b[1] != "F" and b[2] != "Kennedy"
+    c = re.fullmatch(r"(\S+) de la (\S+), Señor de la (\S+)", got[2]).groups()
+    assert c[1] == c[2] and not {"Carlos", "Cruz"} & set(c)
+    d = re.fullmatch(r"Prof\. Dr\. (\S+) (\S+) saw Dr\. (\S+) Mrs\. (\S+)", got[3]).groups()
+    assert d[1] == d[2] and not {"Maria", "Stone", "Field"} & set(d) and got[4] == "Stone"
+    assert " Ab" not in got[5] and "Zz" not in got[5]
