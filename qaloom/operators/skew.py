@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from qaloom.session import cut
+
 
 def fixed(df: DataFrame, *columns: str) -> DataFrame:
     """The same frame, with costly computed columns fixed where they are computed.
@@ -85,6 +87,23 @@ def hash_rank(
     return ranked if first is None else ranked.where(F.col(rank) <= first)
 
 
+def range_rank(df: DataFrame, keys: list[str], rank: str) -> DataFrame:
+    """Add ``rank``: the 0-based global place of each row in the order of ``keys`` (nulls first).
+
+    Rows are cut into ranges of the order, sorted in each range, and numbered there; only the counts of the
+    ranges pass through one task, and are what is broadcast. Rows with equal keys are numbered in any order.
+    The numbered rows are written once.
+    """
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranges = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = cut(ranges.withColumn("_range", F.spark_partition_id()).withColumn("_at", inside))
+    below = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_offset"))
+    return placed.join(F.broadcast(offsets), "_range").withColumn(rank, F.col("_at") + F.col("_offset")).drop(
+        "_range", "_at", "_offset")
+
+
 def _numbered(frame: DataFrame, by: list[str], start: str, end: str, gap: str) -> DataFrame:
     """Add ``_run``: a number that grows where ``gap`` or more lies since the last end."""
     w = W.partitionBy(*by).orderBy(start)
