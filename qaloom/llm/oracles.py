@@ -1,5 +1,6 @@
 """DuckDB SQL for the queries of the subpackage that SQL can express."""
 
+from qaloom.llm import merkle
 from qaloom.llm.licenses import CAPITALS, COVERED, SLACK, SMALL, STRETCH, template_grams
 
 ORACLES: dict[str, str] = {}
@@ -141,3 +142,63 @@ select 'v' || p as record_id, k as canonical_url, 'r' || rp as response_id, outc
        case when outcome = 'resolved' then 'md5:' || md5(rhtml) end as digest
 from judged
 """
+
+
+def _merkle(levels: int = 5) -> str:
+    """Trees of up to ``16 ** levels`` leaves, level by level; a tree of one node stays as it is."""
+    def field(column: str) -> str:
+        return f"coalesce(strlen({column}::varchar) || ':' || {column}::varchar, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+    n, parts = merkle.ARITY, [f"""crc(c) as (
+  select list(x order by i) from (select i, list_reduce(list_prepend(i, range(8)),
+    lambda x, k: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end) as x from range(256) r(i))
+), docs as (
+  select *, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)),
+    lambda x, b: xor(c[(xor(x, b) & 255) + 1], x >> 8))) % 5 = 0 as tampered
+  from documents, crc
+), own as (
+  select doc_id, coalesce('+' || source, '') as key, {leaf("text")} as leaf,
+         case when tampered then {leaf(f"translate(text, '{CAPITALS}', '{SMALL}')")} end as shown
+  from docs
+), s_leaves as (
+  select *, (row_number() over (partition by key order by doc_id nulls first, leaf)) - 1 as place from own
+), s0 as (select key, place, leaf as h from s_leaves)"""]
+
+    def rise(name: str) -> None:
+        for k in range(levels):
+            parts.append(f"""{name}{k}r as (
+  select key, place // {n} as up, list(h order by place) as hs, count(*) over (partition by key) as runs from {name}{k} group by key, place // {n}
+), {name}{k + 1} as (
+  select key, up as place, case when runs = 1 and len(hs) = 1 then hs[1] else sha256(array_to_string(hs, '')) end as h from {name}{k}r
+)""")
+
+    def steps(name: str, rows: str, place: str) -> str:
+        """(siblings so far, folded so far) of the rows after all levels of a tree."""
+        for k in range(levels):
+            at = f"({place} // {n ** k}) % {n} + 1"
+            alone = f"(r.runs = 1 and len(r.hs) = 1)"
+            left, right = f"array_to_string(r.hs[:{at} - 1], '')", f"array_to_string(r.hs[{at} + 1:], '')"
+            parts.append(f"""{rows}{name}{k} as (
+  select x.* exclude (proof, folded), proof || {left} || {right} as proof,
+         case when {alone} then folded else sha256({left} || folded || {right}) end as folded
+  from {rows if k == 0 else f"{rows}{name}{k - 1}"} x join {name}{k}r r on r.key = x.{name}key and r.up = x.{place} // {n ** (k + 1)}
+)""")
+        return f"{rows}{name}{levels - 1}"
+
+    rise("s")
+    parts.append(f"""t0 as (select 0 as key, row_number() over (order by key) - 1 as place, key as skey, h from s{levels} where place = 0)""")
+    rise("t")
+    parts.append("""walk as (
+  select l.doc_id, l.leaf, l.key as skey, 0 as tkey, l.place, t.place as tree, t.h as subroot, '' as proof, coalesce(shown, leaf) as folded
+  from s_leaves l join t0 t on t.skey = l.key
+)""")
+    last = steps("t", steps("s", "walk", "place"), "tree")
+    return "with " + ", ".join(parts) + f"""
+select doc_id, leaf, subroot, root.h as root, sha256(proof) as proof_sha256, folded as folded_root, folded = root.h as verified
+from {last}, t{levels} root"""
+
+
+ORACLES["op11_merkle_manifest"] = _merkle()

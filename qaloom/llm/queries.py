@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaloom.llm import decontamination, host_rules, licenses, revisits, rule_ensemble, sentencepieces, simhash, surrogates, token_counts, toxicity
+from qaloom.llm import decontamination, host_rules, licenses, merkle, revisits, rule_ensemble, sentencepieces, simhash, surrogates, token_counts, toxicity
 from qaloom.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 @query
 def op1_simhash(spark, d):
     found = simhash.near_duplicates(table(spark, d, "documents"))
@@ -136,3 +139,10 @@ def op3_warc_revisits(spark, d):
     return resolved.select(
         "record_id", "canonical_url", "response_id", "outcome", revisits.header_text(F.col("headers")).alias("headers"), "digest"
     )
+
+
+@query
+def op11_merkle_manifest(spark, d):
+    docs = table(spark, d, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.translate("text", CAPITALS, CAPITALS.lower()))
+    return merkle.verify(merkle.manifest(merkle.leaves(docs, tampered)))
