@@ -202,3 +202,24 @@ from {last}, t{levels} root"""
 
 
 ORACLES["op11_merkle_manifest"] = _merkle()
+
+ORACLES["op12_ranked_search"] = rf"""
+with split as (
+  select doc_id, unnest(regexp_extract_all(translate(text, '{CAPITALS}', '{SMALL}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term, rid
+  from (select *, row_number() over () as rid from documents)
+), tf as (select rid, doc_id, term, count(*) as tf from split group by all),
+lengths as (select rid, sum(tf)::bigint as n from tf group by rid),
+corpus as (select count(*) as docs, sum(n)::bigint as total from lengths),
+items as (
+  select distinct item_id, unnest(regexp_extract_all(translate(text, '{CAPITALS}', '{SMALL}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from benchmark
+), weights as (
+  select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from tf, corpus group by term, docs
+), scores as (
+  select item_id, rid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total))))::bigint as score
+  from items join weights using (term) join tf using (term) join lengths using (rid), corpus group by item_id, rid, doc_id
+)
+select item_id, rank::int as rank, doc_id, score from (
+  select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scores where score > 0
+) where rank <= 50
+"""

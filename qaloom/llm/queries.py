@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaloom.llm import decontamination, host_rules, licenses, merkle, revisits, rule_ensemble, sentencepieces, simhash, surrogates, token_counts, toxicity
+from qaloom.llm import decontamination, host_rules, licenses, merkle, ranked_search, revisits, rule_ensemble, sentencepieces, simhash, surrogates, token_counts, toxicity
 from qaloom.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,3 +146,8 @@ def op11_merkle_manifest(spark, d):
     docs = table(spark, d, "documents")
     tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.translate("text", CAPITALS, CAPITALS.lower()))
     return merkle.verify(merkle.manifest(merkle.leaves(docs, tampered)))
+
+
+@query
+def op12_ranked_search(spark, d):
+    return ranked_search.search(table(spark, d, "documents"), table(spark, d, "benchmark"))
