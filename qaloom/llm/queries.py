@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaloom.llm import decontamination, host_rules, licenses, merkle, ranked_search, revisits, rule_ensemble, sentencepieces, simhash, surrogates, token_counts, toxicity
+from qaloom.llm import decontamination, host_rules, licenses, merkle, minhash, ranked_search, revisits, rule_ensemble, sentencepieces, simhash, surrogates, token_counts, toxicity
 from qaloom.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,3 +151,8 @@ def op11_merkle_manifest(spark, d):
 @query
 def op12_ranked_search(spark, d):
     return ranked_search.search(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query
+def op13_minhash(spark, d):
+    return minhash.fingerprints(table(spark, d, "documents"))
