@@ -122,18 +122,19 @@ def _pairs(shingler: Shingler, texts: list[str], following: list[str]) -> tuple[
     return kept(np.minimum(found[:, 0], found[:, 1])), kept(np.minimum(found[:, 0], found[:, 2])), digests
 
 
-def hexed(signatures: np.ndarray) -> list[str]:
-    return [row.astype(">u2").tobytes().hex() for row in signatures]
+def packed(signatures: np.ndarray) -> pa.Array:
+    """The signatures in bytes, as they are kept in intermediate tables."""
+    return pa.array([row.astype(">u2").tobytes() for row in signatures], pa.binary())
 
 
-FOUND = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+FOUND = "n_chars bigint, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _columns(texts: list[str], own: np.ndarray, new: np.ndarray, digests: list[str], after: np.ndarray) -> list[pa.Array]:
     """The columns of ``FOUND``."""
     return [
-        pa.array([len(t) for t in texts], pa.int64()), pa.array(digests, pa.string()), pa.array(hexed(own), pa.string()),
-        pa.array(hexed(new), pa.string()), pa.array(likeness(own, new), pa.float64()), pa.array(likeness(own, after), pa.float64())]
+        pa.array([len(t) for t in texts], pa.int64()), pa.array(digests, pa.string()), packed(own), packed(new),
+        pa.array(likeness(own, new), pa.float64()), pa.array(likeness(own, after), pa.float64())]
 
 
 def _signed(shingler: Shingler, text: str) -> np.ndarray:
@@ -159,7 +160,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     schema = f"range int, edge string, doc_id {kind}, text string, {FOUND}"
 
     def edge(where: int, name: str, key: pa.Scalar, text: str) -> pa.RecordBatch:
-        empty = [pa.nulls(1, k) for k in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
+        empty = [pa.nulls(1, k) for k in (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64())]
         return pa.RecordBatch.from_arrays(
             [pa.array([where], pa.int32()), pa.array([name]), pa.array([key], arrow_kind), pa.array([text], pa.string()), *empty], names=names)
 
@@ -200,7 +201,8 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     chain = firsts.select("range").withColumn("next", F.coalesce(F.lead("range").over(order), least_range))
     pairs = lasts.join(chain, "range").join(firsts.select(F.col("range").alias("next"), F.col("text").alias("following")), "next")
     edges = pairs.select("doc_id", "text", "following").mapInArrow(join, f"doc_id {kind}, {FOUND}")
-    return made.where("edge is null").drop("range", "edge", "text").unionByName(edges)
+    found = made.where("edge is null").drop("range", "edge", "text").unionByName(edges)
+    return found.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
 def _marked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
