@@ -104,44 +104,39 @@ def range_rank(df: DataFrame, keys: list[str], rank: str) -> DataFrame:
         "_range", "_at", "_offset")
 
 
-def _numbered(frame: DataFrame, by: list[str], start: str, end: str, gap: str) -> DataFrame:
-    """Add ``_run``: a number that grows where ``gap`` or more lies since the last end."""
-    w = W.partitionBy(*by).orderBy(start)
-    new = F.coalesce(
-        F.col(start) >= F.lag(end).over(w) + F.expr(f"interval {gap}"), F.lit(True)
-    )
+def _cells(df: DataFrame, key: str, moment: str, gap: str) -> DataFrame:
+    """(key, _cell, _from, _to, _n, session_no): what each key has in intervals of half the gap.
+
+    Two rows in one cell are less than the gap apart, so a cell lies in one run as a whole and its rows need no order.
+    """
+    cells = df.select(key, moment).groupBy(key, _cell(moment, gap).alias("_cell")).agg(
+        F.min(moment).alias("_from"), F.max(moment).alias("_to"), F.count(F.lit(1)).alias("_n"))
+    w = W.partitionBy(key).orderBy("_cell")
+    new = F.coalesce(F.col("_from") >= F.lag("_to").over(w) + F.expr(f"interval {gap}"), F.lit(True))
     upto = w.rowsBetween(W.unboundedPreceding, 0)
-    return frame.withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(upto)).drop("_new")
+    return cells.withColumn("_new", new.cast("int")).withColumn("session_no", F.sum("_new").over(upto)).drop("_new")
 
 
-def _cells(df: DataFrame, key: str, moment: str, gap: str, cut: str) -> tuple[DataFrame, DataFrame]:
-    """(rows numbered inside (key, calendar unit), those partial runs merged per key)."""
-    cells = df.withColumn("_cell", F.date_trunc(cut, moment))
-    rows = _numbered(cells, [key, "_cell"], moment, moment, gap)
-    partial = rows.groupBy(key, "_cell", "_run").agg(
-        F.min(moment).alias("_from"), F.max(moment).alias("_to"), F.count(F.lit(1)).alias("_n")
-    ).withColumnRenamed("_run", "_inner")
-    merged = _numbered(partial, [key], "_from", "_to", gap).withColumnRenamed("_run", "session_no")
-    return rows, merged
+def _cell(moment: str, gap: str) -> Column:
+    """The number of the half gap that a moment lies in."""
+    return F.expr(f"unix_micros({moment}) div (unix_micros(timestamp_micros(0) + interval {gap}) div 2)")
 
 
-def sessions(df: DataFrame, key: str, moment: str, gap: str, cut: str = "hour") -> DataFrame:
+def sessions(df: DataFrame, key: str, moment: str, gap: str) -> DataFrame:
     """Runs of rows of one key with less than ``gap`` between neighbours.
 
-    Two levels: runs are first built inside (key, calendar unit), which spreads a
-    hot key over its hours, and only those partial runs are merged per key. A key
-    has at most a few partial runs per unit of time, however many rows it has.
+    A partial aggregate per (key, half gap) runs before the shuffle, so a hot key reaches its reducers as one row per
+    task and half gap; only those cells are put in order. Rows without a moment form a run of their own, the first of their key.
     """
-    _, merged = _cells(df.select(key, moment), key, moment, gap, cut)
-    return merged.groupBy(key, "session_no").agg(
+    return _cells(df, key, moment, gap).groupBy(key, "session_no").agg(
         F.min("_from").alias("started_at"),
         F.max("_to").alias("last_at"),
         F.sum("_n").alias("events"),
     )
 
 
-def with_sessions(df: DataFrame, key: str, moment: str, gap: str, cut: str = "hour") -> DataFrame:
+def with_sessions(df: DataFrame, key: str, moment: str, gap: str) -> DataFrame:
     """Add ``session_no``, the number of a row's run within its key."""
-    rows, merged = _cells(df, key, moment, gap, cut)
-    numbers = merged.select(key, "_cell", F.col("_inner").alias("_run"), "session_no")
-    return join_unique(rows, numbers, [key, "_cell", "_run"]).drop("_cell", "_run")
+    numbers = _cells(df, key, moment, gap).select(key, F.coalesce("_cell", F.lit(-(1 << 62))).alias("_cell"), "session_no")
+    placed = df.withColumn("_cell", F.coalesce(_cell(moment, gap), F.lit(-(1 << 62))))
+    return join_unique(placed, numbers, [key, "_cell"]).drop("_cell")

@@ -70,6 +70,35 @@ def test_sessions_meet_across_hours_and_end_at_exactly_the_gap(spark):
     assert [r.session_no for r in rows] == [1, 1, 1, 1, 1, 2, 2, 3, 4]
 
 
+def test_a_hot_key_is_counted_before_its_runs_are_put_in_order(spark):
+    """Two thirds of the rows on one key: what reaches the window is one row per half gap."""
+    df = hot(spark).select("k", F.timestamp_seconds(F.col("id") % 20_000).alias("at"))
+    runs = skew.sessions(df, "k", "at", "30 minutes")
+    plan = runs._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Window"):]
+    assert "partial_min" in below and "partial_count" in below
+    assert skew._cells(df, "k", "at", "30 minutes").where("k = -1").count() == 23
+    (one,) = runs.where("k = -1").collect()
+    assert (one.session_no, one.events) == (1, 40_000)
+
+
+def test_runs_against_a_walk_of_all_rows(spark):
+    import random
+
+    rng = random.Random(4)
+    moments = [(rng.randrange(5), rng.choice([1800, 1799, 1801, 900, 60, 0]) * rng.randrange(40) - 20_000) for _ in range(400)]
+    df = spark.createDataFrame(moments + [(3, None)], "k int, s long").select("k", F.timestamp_seconds("s").alias("at"), "s")
+    want = {}
+    for key in range(5):
+        last, number = None, 1 if key == 3 else 0
+        for s in sorted(s for k, s in moments if k == key):
+            number += last is None or s - last >= 1800
+            last, want[key, s] = s, number
+    want[3, None] = 1
+    got = {(r.k, r.s): r.session_no for r in skew.with_sessions(df, "k", "at", "30 minutes").collect()}
+    assert got == want
+
+
 def test_no_text_is_shuffled_for_repeats(spark):
     """The aggregate that finds repeats carries digests and positions only."""
     text = R.mark_duplicates(V.question_records(spark, SF)).where("is_repeat").select("position")
