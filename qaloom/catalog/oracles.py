@@ -676,7 +676,7 @@ from w_expired where touched or {untouched}"""
 
 
 oracle("lease_fold", _walk_sql("true"), _WALK)
-oracle("lease_stream", _walk_sql("lost <= (select max(moment) - interval 1 minute from w_events)"), _WALK)
+oracle("lease_stream", _walk_sql("lost <= (select max(moment) from w_events)"), _WALK)
 oracle("live_by_reviewer", "select reviewer, count(*) as reviews from v_reviews group by reviewer")
 oracle("live_over_time", """
 select strftime(reviewed_at, '%Y-%m-%d') as date, count(*) as reviews from v_reviews group by 1""")

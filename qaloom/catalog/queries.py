@@ -553,8 +553,8 @@ def lease_fold(spark, d):
 def lease_stream(spark, d):
     folder = _work(spark, "leases")
     actions = V.as_lease_events(V.stream(spark, d, "events"))
-    lt.run_tracker(actions, f"{folder}/out", f"{folder}/state").awaitTermination()
-    return _outcomes(spark.read.parquet(f"{folder}/out"))
+    lt.run_tracker(actions, f"{folder}/out", f"{folder}/state", finish=True).awaitTermination()
+    return _outcomes(lt.read_outcomes(spark, f"{folder}/out"))
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Row
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql import types as T
 
-from qaloom.streaming.lease_rules import OUTCOMES, Lease, advance, expired, timed, with_micros
+from qaloom.functions.text import strip
+from qaloom.streaming.lease_rules import LENGTH, OUTCOMES, Lease, advance, expired, timed, with_micros
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ACTIONS = T.StructType([
@@ -24,7 +26,17 @@ _STATE = T.StructType([
 ])
 
 
+_WAITING = T.StructType([
+    T.StructField("at_us", T.LongType()), T.StructField("event_id", T.LongType()), *ACTIONS.fields[3:],
+])
+_PENDING = T.StructType([T.StructField("actions", T.ArrayType(_WAITING))])
+
 _OUTCOME = Row(*OUTCOMES.fieldNames())
+_EVENT = namedtuple("_EVENT", _WAITING.fieldNames())
+
+# Why a late action is refused; the action, and its question, that only moves the time.
+LATE = "The action arrived after its time was closed."
+MARK, NO_QUESTION = "mark", -(1 << 63)
 
 
 def _millis(micros: int) -> int:
@@ -33,46 +45,61 @@ def _millis(micros: int) -> int:
 
 
 class LeaseTracker(StatefulProcessor):
-    """One lease per question; a timer at its end reports it as expired."""
+    """One lease per question, and the actions on it whose time has not come.
+
+    Actions wait in a map by millisecond, each with a timer. Timers fire in order of time once the watermark has passed
+    them, so actions are judged in that order however they arrived, and no list of a question's actions is made. A lease can only end
+    half an hour after a claim or renewal; that moment gets its timer along with the action.
+    """
 
     def init(self, handle) -> None:
         self.handle = handle
         self.lease = handle.getValueState("lease", _STATE)
-
-    def _load(self) -> Lease:
-        return Lease(*self.lease.get()) if self.lease.exists() else Lease()
-
-    def _store(self, before: Lease, after: Lease) -> None:
-        if before.expires is not None and before.expires != after.expires:
-            self.handle.deleteTimer(_millis(before.expires))
-        if after.expires is not None and before.expires != after.expires:
-            self.handle.registerTimer(_millis(after.expires))
-        if after == Lease():
-            self.lease.clear()
-        else:
-            self.lease.update(tuple(after))
+        self.pending = handle.getMapState("pending", "ms bigint", _PENDING)
 
     def handleInputRows(self, key, rows, timerValues):
-        """Actions of one micro-batch, in order of time within it."""
-        before = lease = self._load()
-        for event in sorted(rows, key=lambda r: (r.at_us, r.event_id)):
-            lease, out = advance(key[0], lease, event)
-            for values in out:
-                yield _OUTCOME(*values)
-        self._store(before, lease)
+        for row in rows:
+            if row.action == MARK:
+                continue
+            ms = row.at_us // 1000
+            held = self.pending.getValue((ms,))
+            if held is None:
+                self.handle.registerTimer(ms)
+            self.pending.updateValue((ms,), ([*(held[0] if held else []), tuple(row[c] for c in _WAITING.fieldNames())],))
+            if row.action in ("claim", "renew"):
+                self.handle.registerTimer(_millis(row.at_us + LENGTH))
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        lease = self._load()
-        if lease.expires is not None and _millis(lease.expires) <= expiredTimerInfo.getExpiryTimeInMs():
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        before = lease = Lease(*self.lease.get()) if self.lease.exists() else Lease()
+        if lease.expires is not None and _millis(lease.expires) <= now:
             yield _OUTCOME(*expired(key[0], lease))
-            self._store(lease, Lease(reviewed=lease.reviewed))
+            lease = Lease(reviewed=lease.reviewed)
+        held = self.pending.getValue((now,))
+        if held is not None:
+            self.pending.removeKey((now,))
+            # Those of one millisecond.
+            for event in sorted((_EVENT(*x) for x in held[0]), key=lambda x: (x.at_us, x.event_id)):
+                lease, out = advance(key[0], lease, event)
+                for values in out:
+                    yield _OUTCOME(*values)
+        if lease != before:
+            if lease == Lease():
+                self.lease.clear()
+            else:
+                self.lease.update(tuple(lease))
 
     def close(self) -> None:
         pass
 
 
 def track_leases(actions: DataFrame, delay: str = "1 minute") -> DataFrame:
-    """Outcome stream of an action stream; actions later than ``delay`` are dropped."""
+    """Outcome stream of an action stream.
+
+    An action is judged when the watermark, ``delay`` behind the newest action, has passed it. Spark drops actions that come later than
+    that: ``run_tracker`` tells them apart in front.
+    """
     spark = actions.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
     outcomes = (
@@ -85,7 +112,7 @@ def track_leases(actions: DataFrame, delay: str = "1 minute") -> DataFrame:
 # Which outcomes belong to which table.
 TABLES = {
     "leases": ["claimed", "resumed", "renewed"], "reviews": ["submitted"],
-    "audit": ["expired", "skipped"], "refused": ["refused", "none"],
+    "audit": ["expired", "skipped"], "refused": ["refused", "none", "late"],
 }
 
 
@@ -107,10 +134,86 @@ def into_tables(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def run_tracker(actions: DataFrame, path: str, checkpoint: str, delay: str = "1 minute"):
-    """Track what has arrived and stop; call again for what arrives later."""
+def read_outcomes(spark, path: str) -> DataFrame:
+    """The outcome tables under ``path``, with the name of each row's ``table``; without rows too."""
+    fields = [f"{f.name} {'timestamp' if f.name in ('at', 'lease_expires_at') else f.dataType.simpleString()}" for f in OUTCOMES.fields]
+    return spark.read.schema(", ".join([*fields, "table string", "batch string"])).parquet(path)
+
+
+_TIMES = "newest bigint, closed bigint"
+
+
+def _interval_ms(delay: str):
+    return F.expr(f"unix_micros(timestamp_micros(0) + interval {delay}) div 1000")
+
+
+def _times(spark, *folders: str) -> tuple[int | None, int | None]:
+    return tuple(spark.read.schema(_TIMES).parquet(*folders).agg(F.max("newest"), F.max("closed")).first())
+
+
+def admit(actions: DataFrame, path: str, state: str, delay: str = "1 minute"):
+    """Split arriving actions into those whose time is open and late ones.
+
+    Time is closed up to ``delay`` before the newest action of the earlier micro-batches, the same moment that the watermark of what
+    reads the admitted actions can have reached at most. Late actions, and those without a time, go to the table of refused ones.
+    Each micro-batch replaces its own folders.
+    """
+    def write(arrived: DataFrame, batch: int) -> None:
+        spark = arrived.sparkSession
+        before = [f"{state}/times/finish", *([f"{state}/times/batch-{batch - 1}"] if batch else [])]
+        newest, closed = _times(spark, *before)
+        ms = F.floor(F.unix_micros("at") / 1000)
+        open_ = ms.isNotNull() & (F.lit(True) if closed is None else ms > closed)
+        folder = f"{state}/arrived/batch-{batch}"
+        shown = arrived.select(*ACTIONS.fieldNames(), (~open_).alias("late"))
+        shown.write.mode("overwrite").partitionBy("late").parquet(folder)
+        held = spark.read.schema(f"{ACTIONS.simpleString()[7:-1].replace(':', ' ')}, late boolean").parquet(folder)
+        notes = F.when(F.col("decision") == "Fail", strip(F.coalesce("notes", F.lit("")))).otherwise("")
+        held.where("late").select(
+            "question_id", "at", "event_id", "action", F.lit("late").alias("outcome"), strip(F.coalesce("reviewer", F.lit(""))).alias("reviewer"),
+            "session_id", "decision", notes.alias("notes"), F.lit(LATE).alias("reason"), F.lit(None).cast("timestamp").alias("lease_expires_at"),
+            F.lit("refused").alias("table"),
+        ).write.mode("overwrite").partitionBy("table").parquet(f"{path}/batch=late-{batch}")
+        top = F.greatest(F.max(F.floor(F.unix_micros("at") / 1000)), F.lit(newest).cast("bigint"))
+        held.where("not late").agg(top.alias("newest")).select(
+            "newest", F.greatest(F.col("newest") - _interval_ms(delay), F.lit(closed).cast("bigint")).alias("closed")
+        ).write.mode("overwrite").parquet(f"{state}/times/batch-{batch}")
+
+    spark = actions.sparkSession
+    spark.createDataFrame([(None, None)], _TIMES).write.mode("ignore").parquet(f"{state}/times/finish")
+    return (
+        actions.writeStream.foreachBatch(write).option("checkpointLocation", f"{state}/front")
+        .trigger(availableNow=True).start()
+    )
+
+
+def _close_time(spark, state: str, delay: str) -> None:
+    """Let all time up to the newest action be closed: nothing waits any longer, and what comes before it from now on is late."""
+    newest, _ = _times(spark, f"{state}/times/*")
+    if newest is None:
+        return
+    spark.createDataFrame([(newest, newest)], _TIMES).write.mode("overwrite").parquet(f"{state}/times/finish")
+    at = F.timestamp_micros((F.lit(newest) + _interval_ms(delay)) * 1000)
+    mark = spark.range(1).select(
+        F.lit(None).cast("bigint").alias("event_id"), at.alias("at"), F.lit(NO_QUESTION).alias("question_id"),
+        *[F.lit(MARK if c == "action" else None).cast("string").alias(c) for c in ACTIONS.fieldNames()[3:]])
+    mark.write.mode("overwrite").parquet(f"{state}/arrived/finish-{newest}/late=false")
+
+
+def run_tracker(actions: DataFrame, path: str, checkpoint: str, delay: str = "1 minute", finish: bool = False):
+    """Track what has arrived and stop; call again for what arrives later.
+
+    Every action ends up in one table under ``path``, in whatever order and batches it came: judged in order of time if it came no later than
+    ``delay`` after newer ones, else as a late one among the refused. Actions of the last ``delay`` wait for the next
+    call, unless ``finish`` says that there is none.
+    """
+    spark = actions.sparkSession
+    admit(actions, path, checkpoint, delay).awaitTermination()
+    if finish:
+        _close_time(spark, checkpoint, delay)
+    admitted = spark.readStream.schema(ACTIONS).parquet(f"{checkpoint}/arrived/*/late=false")
     return (
-        track_leases(actions, delay).writeStream.outputMode("append")
-        .foreachBatch(into_tables(path)).option("checkpointLocation", checkpoint)
+        track_leases(admitted, delay).writeStream.outputMode("append")
+        .foreachBatch(into_tables(path)).option("checkpointLocation", f"{checkpoint}/leases")
         .trigger(availableNow=True).start()
     )

@@ -46,22 +46,73 @@ def test_the_rules_of_a_lease(spark):
     assert [r.notes for r in got if r.outcome == "submitted"] == ["why"]
 
 
-def test_the_stream_agrees_with_the_fold_over_several_arrivals(spark, tmp_path):
+def lease_log(spark):
+    """The actions of the test tables, 20 seconds apart."""
     log = V.lease_events(spark, "/root/testdata/sf0.001").withColumn(
         "at", F.timestamp_seconds(F.unix_timestamp("at") + F.col("event_id") * 20)).select(*lt.ACTIONS.fieldNames())
-    log = log.cache()
+    return log.cache()
+
+
+def arrive(spark, log, tmp_path, delay="1 minute", finish=False):
+    log.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(lt.ACTIONS).parquet(f"{tmp_path}/in")
+    lt.run_tracker(stream, f"{tmp_path}/out", f"{tmp_path}/state", delay, finish).awaitTermination()
+    return lt.read_outcomes(spark, f"{tmp_path}/out")
+
+
+def test_the_stream_agrees_with_the_fold_over_several_arrivals(spark, tmp_path):
+    log = lease_log(spark)
     for i in range(3):
-        log.where(f"event_id div 400 = {i}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        stream = spark.readStream.schema(lt.ACTIONS).parquet(f"{tmp_path}/in")
-        lt.run_tracker(stream, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
-    got = spark.read.parquet(f"{tmp_path}/out")
+        got = arrive(spark, log.where(f"event_id div 400 = {i}"), tmp_path, finish=i == 2)
     assert {r.table for r in got.select("table").distinct().collect()} == set(lt.TABLES)
-    end = log.select(F.max("at") - F.expr("interval 1 minute")).scalar()
-    want = fold_leases(log, end)
+    want = fold_leases(log, log.select(F.max("at")).scalar())
     assert want.where("outcome = 'expired'").count() > 20
     assert rows(got, *SHOWN) == rows(want, *SHOWN)
 
 
+def test_arrivals_out_of_order_give_the_rows_of_the_fold(spark, tmp_path):
+    """Odd and even actions arrive apart; all are within the delay of the newest."""
+    log = lease_log(spark)
+    span = log.select((F.unix_timestamp(F.max("at")) - F.unix_timestamp(F.min("at")) + 60).alias("s")).first().s
+    for i in (1, 0):
+        got = arrive(spark, log.where(f"event_id % 2 = {i}"), tmp_path, f"{span} seconds", finish=i == 0)
+    want = fold_leases(log, log.select(F.max("at")).scalar())
+    assert rows(got, *SHOWN) == rows(want, *SHOWN)
+
+
+def test_late_actions_are_refused_and_every_action_has_a_row(spark, tmp_path):
+    log = lease_log(spark)
+    second = F.col("event_id").between(400, 700) | (F.col("event_id") % 50 == 3)
+    arrive(spark, log.where(~second), tmp_path)
+    got = arrive(spark, log.where(second), tmp_path, finish=True)
+    ids = [r.event_id for r in got.where("event_id is not null").select("event_id").collect()]
+    assert sorted(ids) == sorted(r.event_id for r in log.collect())
+    late = got.where("outcome = 'late'")
+    assert {r.table for r in late.collect()} == {"refused"} and rows(late.select("reason").distinct(), "reason") == [(lt.LATE,)]
+    newest = log.where(~second).select(F.max("at")).scalar()
+    expected = log.where(second & (F.col("at") <= newest - F.expr("interval 1 minute")))
+    assert rows(late, "event_id") == rows(expected, "event_id") != []
+    # The others are judged as if the late ones were not there.
+    want = fold_leases(log.join(expected, "event_id", "left_anti").select(*lt.ACTIONS.fieldNames()), log.select(F.max("at")).scalar())
+    assert rows(got.where("outcome <> 'late'"), *SHOWN) == rows(want, *SHOWN)
+
+
+def test_actions_wait_until_their_time_is_closed(spark, tmp_path):
+    first = actions(spark, (10, 1, "Amina", "submit", "Pass", ""), (12, 2, "Bader", "claim", None, None))
+    got = arrive(spark, first, tmp_path, "5 minutes")
+    assert got.count() == 0
+    late = actions(spark, (9, 1, "Amina", "claim", None, None), (6, 2, "Bader", "skip", None, None), (60, 3, "", "skip", None, None))
+    late = late.withColumn("event_id", F.col("event_id") + 10).unionByName(
+        late.limit(1).withColumns({"at": F.lit(None).cast("timestamp"), "event_id": F.lit(99).cast("bigint")}))
+    got = arrive(spark, late, tmp_path, "5 minutes")
+    assert rows(got, "event_id", "outcome") == sorted(
+        [(10, "claimed"), (0, "submitted"), (1, "claimed"), (None, "expired"), (11, "late"), (99, "late")], key=repr)
+    got = arrive(spark, first.limit(0), tmp_path, "5 minutes", finish=True)
+    assert rows(got.where("event_id = 12"), "outcome", "reason") == [("refused", INACTIVE)]
+    again = arrive(spark, first.withColumn("event_id", F.col("event_id") + 20), tmp_path, "5 minutes", finish=True)
+    assert rows(again.where("event_id >= 20 and event_id < 90"), "outcome") == [("late",), ("late",)] and again.count() == 9
+
+
 def test_live_counts_follow_arrivals(spark, tmp_path):
     days = ["2026-01-01", "2026-01-01", "2026-01-02"]
     for i, day in enumerate(days):
