@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql import types as T
 
 from qaloom.functions.text import strip
-from qaloom.streaming.lease_rules import LENGTH, OUTCOMES, Lease, advance, expired, timed, with_micros
+from qaloom.streaming.lease_rules import OUTCOMES, Lease, advance, expired, timed, with_micros
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ACTIONS = T.StructType([
@@ -23,6 +23,7 @@ ACTIONS = T.StructType([
 _STATE = T.StructType([
     T.StructField("reviewer", T.StringType()), T.StructField("session_id", T.StringType()),
     T.StructField("expires", T.LongType()), T.StructField("reviewed", T.BooleanType()),
+    T.StructField("last", T.LongType()),
 ])
 
 
@@ -48,8 +49,8 @@ class LeaseTracker(StatefulProcessor):
     """One lease per question, and the actions on it whose time has not come.
 
     Actions wait in a map by millisecond, each with a timer. Timers fire in order of time once the watermark has passed
-    them, so actions are judged in that order however they arrived, and no list of a question's actions is made. A lease can only end
-    half an hour after a claim or renewal; that moment gets its timer along with the action.
+    them, so actions are judged in that order however they arrived, and no list of a question's actions is made. A lease that ends after the
+    watermark gets a timer too; one that ended before is reported by the next action that waits, or at once if none does.
     """
 
     def init(self, handle) -> None:
@@ -57,7 +58,19 @@ class LeaseTracker(StatefulProcessor):
         self.lease = handle.getValueState("lease", _STATE)
         self.pending = handle.getMapState("pending", "ms bigint", _PENDING)
 
+    def _load(self) -> tuple[Lease, int | None]:
+        """(the lease, the last millisecond at which an action waits)."""
+        held = self.lease.get()
+        return (Lease(*held[:-1]), held[-1]) if held else (Lease(), None)
+
+    def _store(self, lease: Lease, last: int | None) -> None:
+        if lease == Lease() and last is None:
+            self.lease.clear()
+        else:
+            self.lease.update((*lease, last))
+
     def handleInputRows(self, key, rows, timerValues):
+        newest = None
         for row in rows:
             if row.action == MARK:
                 continue
@@ -66,17 +79,19 @@ class LeaseTracker(StatefulProcessor):
             if held is None:
                 self.handle.registerTimer(ms)
             self.pending.updateValue((ms,), ([*(held[0] if held else []), tuple(row[c] for c in _WAITING.fieldNames())],))
-            if row.action in ("claim", "renew"):
-                self.handle.registerTimer(_millis(row.at_us + LENGTH))
+            newest = ms if newest is None else max(newest, ms)
+        lease, last = self._load()
+        if newest is not None and (last is None or last < newest):
+            self._store(lease, newest)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = expiredTimerInfo.getExpiryTimeInMs()
-        before = lease = Lease(*self.lease.get()) if self.lease.exists() else Lease()
+        before = (lease, last) = self._load()
         if lease.expires is not None and _millis(lease.expires) <= now:
             yield _OUTCOME(*expired(key[0], lease))
             lease = Lease(reviewed=lease.reviewed)
-        held = self.pending.getValue((now,))
+        held = self.pending.getValue((now,)) if last is not None else None
         if held is not None:
             self.pending.removeKey((now,))
             # Those of one millisecond.
@@ -84,11 +99,16 @@ class LeaseTracker(StatefulProcessor):
                 lease, out = advance(key[0], lease, event)
                 for values in out:
                     yield _OUTCOME(*values)
-        if lease != before:
-            if lease == Lease():
-                self.lease.clear()
-            else:
-                self.lease.update(tuple(lease))
+            last = None if last == now else last
+        if lease.expires is not None and (lease.expires != before[0].expires or last != before[1]):
+            if _millis(lease.expires) > timerValues.getCurrentWatermarkInMs():
+                if lease.expires != before[0].expires:
+                    self.handle.registerTimer(_millis(lease.expires))
+            elif last is None:
+                yield _OUTCOME(*expired(key[0], lease))
+                lease = Lease(reviewed=lease.reviewed)
+        if (lease, last) != before:
+            self._store(lease, last)
 
     def close(self) -> None:
         pass
