@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from qaloom.catalog import views as V
 from qaloom.catalog.views import AS_OF, TOOL_SCHEMA
 from qaloom.functions import validation as vd
 from qaloom.operators import decisions as D
 from qaloom.operators import leases as L
 from qaloom.operators import rules as R
+from qaloom.sources import documents as docs
 from qaloom.sources import imports as im
 
 VIEWS = {
@@ -480,6 +482,31 @@ group by question_id, session_no""")
 
 # ---- ingest -----------------------------------------------------------------
 
+oracle("parse_documents", f"""
+select event_id, case when ok and json_type(plain, '$.data') = 'ARRAY' then json_array_length(plain, '$.data')::bigint end as n_records,
+       case when not ok then '{docs.NOT_JSON}' when coalesce(json_type(plain, '$.data'), '') <> 'ARRAY'
+            then '{docs.NO_DATA.replace("'", "''")}' end as error
+from (select *, json_valid(plain) as ok from (select row - 1 as event_id, case (row - 1) % 7
+        when 0 then '{{"data": [' || line || ']}}' when 1 then '{{"x": {{"data": 1}}, "data": [' || line || ', 5, ' || line || ']}}'
+        when 2 then '{{"rows": [' || line || ']}}' when 3 then '[' || line || ']' when 4 then '{{"data": [' || line || ']'
+        when 5 then '{{"data": []}}' || line else '{{"data": ["' || (row - 1) || '"]}}' end as plain from v_raw))""")
+_JSON_LINES = f"""
+l_lines as (
+  select n // {V.LINES_PER_FILE} as up, n % {V.LINES_PER_FILE} + 1 as row,
+         case when n % 13 = 0 then '' when n % 11 = 0 then line || '}}' when n % 19 = 0 then line || ' ' || line
+              when n % 23 = 0 then line || chr(13) else line end as line
+  from (select row - 1 as n, line from v_raw))"""
+oracle("json_lines", """
+select up, row, json_valid(line) as is_json, case when json_valid(line) then json_extract_string(line, '$.output') end as output
+from l_lines where line <> ''""", _JSON_LINES)
+oracle("json_lines_digests", f"""
+select up, lines, sha256(size || ':' || sha256(h)) as file_hash from (
+  select up, lines, size, sha256(string_agg(h, '' order by pos)) as h from (
+    select up, pos // {docs.FAN} as pos, any_value(lines) as lines, any_value(size) as size, sha256(string_agg(h, '' order by pos)) as h from (
+      select up, (row - 1) // {docs.FAN} as pos, sum(count(*)) over (partition by up)::bigint as lines,
+             sum(sum(strlen(line) + 1)) over (partition by up) as size, sha256(string_agg(sha256(line), '' order by row)) as h
+      from l_lines group by up, (row - 1) // {docs.FAN}) group by up, pos // {docs.FAN}) group by up, lines, size)""", _JSON_LINES)
+
 _TYPES = """
 i_types as (
   select *, json_type(line) as whole, json_type(line, '$.id') as id_type,

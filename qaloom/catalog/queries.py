@@ -376,6 +376,32 @@ def lease_sessions(spark, d):
 
 # ---- ingest -----------------------------------------------------------------
 
+@query
+def parse_documents(spark, d):
+    """Upload documents read from their text: the number of records, or why there are none."""
+    return docs.parse_documents(V.document_texts(spark, d)).select(
+        "event_id", F.when(F.col("data").isNotNull(), F.size("data")).cast("bigint").alias("n_records"), "error")
+
+
+def _upload_number() -> F.Column:
+    return F.regexp_extract("file", r"up=(\d+)", 1).cast("bigint").alias("up")
+
+
+@query
+def json_lines(spark, d):
+    """Records of JSON Lines files by line number, with their output where they can be read."""
+    read = docs.read_json_lines(spark, V.json_lines_files(spark, d, _work(spark, "lines")))
+    return read.select(
+        _upload_number(), "row", F.col("record").isNotNull().alias("is_json"), F.try_variant_get("record", "$.output", "string").alias("output"))
+
+
+@query
+def json_lines_digests(spark, d):
+    """One digest per JSON Lines file, from a hash tree over its lines."""
+    lines = docs.read_lines(spark, V.json_lines_files(spark, d, _work(spark, "lines")))
+    return docs.lines_files(lines).select(_upload_number(), "lines", "file_hash")
+
+
 def _validator(profile: str) -> None:
     def build(spark, d):
         return docs.validated(V.raw_records(spark, d), profile).select("file", "row", "message")

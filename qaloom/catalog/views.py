@@ -242,3 +242,39 @@ def upload_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_texts(spark, sf_dir).select("file", "filename").distinct().withColumn(
         "file_hash", F.sha2((number - (number % 4 == 3).cast("bigint")).cast("string"), 256)
     )
+
+
+def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as the text of an upload document; most kinds cannot be read or hold no data."""
+    n = F.col("row") - 1
+    line = F.col("line")
+    text = (
+        F.when(n % 7 == 0, F.concat(F.lit('{"data": ['), line, F.lit("]}")))
+        .when(n % 7 == 1, F.concat(F.lit('{"x": {"data": 1}, "data": ['), line, F.lit(", 5, "), line, F.lit("]}\n")))
+        .when(n % 7 == 2, F.concat(F.lit('{"rows": ['), line, F.lit("]}")))
+        .when(n % 7 == 3, F.concat(F.lit("["), line, F.lit("]")))
+        .when(n % 7 == 4, F.concat(F.lit('{"data": ['), line, F.lit("]")))
+        .when(n % 7 == 5, F.concat(F.lit('{"data": []}'), line))
+        .otherwise(F.concat(F.lit("\ufeff"), F.lit('{"data": ["'), n.cast("string"), F.lit('"]}')))
+    )
+    return raw_texts(spark, sf_dir).select(n.alias("event_id"), text.alias("text"))
+
+
+LINES_PER_FILE = 5000
+
+
+def json_lines_files(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """Every event as a line of a JSON Lines file, written under ``path``; some lines are blank, broken or two values.
+
+    Returns the pattern that names the files; a file holds 5,000 events in order.
+    """
+    n, line = F.col("row") - 1, F.col("line")
+    text = (
+        F.when(n % 13 == 0, F.lit("")).when(n % 11 == 0, F.concat(line, F.lit("}")))
+        .when(n % 19 == 0, F.concat(line, F.lit(" "), line)).when(n % 23 == 0, F.concat(line, F.lit("\r"))).otherwise(line)
+    )
+    up = F.expr(f"(row - 1) div {LINES_PER_FILE}")
+    placed = raw_texts(spark, sf_dir).select(up.alias("up"), "row", text.alias("value"))
+    ordered = placed.repartition("up").sortWithinPartitions("up", "row").drop("row")
+    ordered.write.mode("overwrite").partitionBy("up").text(path)
+    return f"{path}/up=*"

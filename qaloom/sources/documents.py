@@ -76,55 +76,66 @@ def raw_records(documents: DataFrame) -> DataFrame:
     """One row per element of ``data`` of every readable file, 1-based ``row``."""
     kept = [c for c in documents.columns if c not in ("data", "error")]
     rows = documents.select(*kept, F.posexplode("data").alias("_ix", "record"))
-    return rows.withColumn("row", F.col("_ix") + 1).drop("_ix")
+    return rows.withColumn("row", F.col("_ix").cast("bigint") + 1).drop("_ix")
 
 
 def refused_documents(documents: DataFrame) -> DataFrame:
     return documents.where(F.col("error").isNotNull()).select("file", "filename", "error")
 
 
-def read_json_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """JSON Lines files, one record per line, numbered in file order.
+#: Digests under one digest of the next level, and levels above the lines.
+FAN, LEVELS = 1024, 3
+
+
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Every line of text files, blank ones too: file, filename, size (of the file in bytes), row (from 1), line.
 
-    A large file is read in blocks by many tasks. Lines are numbered inside their
-    block, whose size is bounded, and the counts of the blocks before it are added.
+    Lines end at a line feed, so a carriage return stays part of its line. A large file is read in blocks by many tasks: lines count up
+    within their block, and the lines of the blocks before it are added.
     """
-    lines = spark.read.text(path).select(
-        F.col("value").alias("line"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_name").alias("filename"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_order"),
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("filename"),
+        F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_order"), F.col("value").alias("line"),
     )
-    lines = lines.where(F.col("line").rlike(r"\S"))
-    counts = lines.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    blocks = lines.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_order").alias("_first"))
     before = W.partitionBy("file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = W.partitionBy("file", "_block").orderBy("_order")
-    plain = F.regexp_replace("line", r"^\x{FEFF}", "")
-    parsed = _wrapped(plain, "variant")
-    return (
-        lines.join(starts, ["file", "_block"])
-        .withColumn("row", (F.row_number().over(inside) + F.col("_start")).cast("int"))
-        .withColumn("_parsed", parsed)
-        .select(
-            "file", "filename", "row",
-            F.when(_whole(F.col("_parsed"), plain), F.col("_parsed.value")).alias("record"),
-            F.xxhash64("row", "line").alias("line_hash"),
-        )
-    )
+    starts = blocks.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return lines.join(starts, ["file", "_block"]).select(
+        "file", "filename", "size", (F.col("_order") - F.col("_first") + F.col("_start") + 1).alias("row"), "line")
 
 
-def lines_files(rows: DataFrame) -> DataFrame:
-    """One row per JSON Lines file, with a digest of its numbered lines.
+def lines_files(lines: DataFrame) -> DataFrame:
+    """One row per file of ``read_lines``: file, filename, lines, file_hash.
 
-    The digest is combined from per-line hashes, so no task sees a whole file.
+    The digest is the top of a hash tree: SHA-256 of each line, of each block of ``FAN`` line digests in order, and so on for
+    ``LEVELS`` levels; what remains is hashed together with the file's size, which tells whether the last line is ended. No task sees more
+    of a file than one block of digests, and two files have one digest only if their bytes are equal.
     """
-    digest = F.concat_ws(
-        ":", F.count(F.lit(1)), F.bit_xor("line_hash"),
-        F.sum(F.shiftrightunsigned("line_hash", 32)), F.sum(F.col("line_hash").bitwiseAND(0xFFFFFFFF)),
-    )
-    return rows.groupBy("file", "filename").agg(F.sha2(digest, 256).alias("file_hash"))
+    own = ["file", "filename", "size"]
+
+    def joined(order: str) -> Column:
+        held = F.array_sort(F.collect_list(F.struct(order, "_digest")))
+        return F.sha2(F.array_join(F.transform(held, lambda x: x["_digest"]), ""), 256).alias("_digest")
+
+    level = lines.select(*own, (F.col("row") - 1).alias("_at"), F.sha2(F.col("line").cast("binary"), 256).alias("_digest"), F.lit(1).alias("_n"))
+    for _ in range(LEVELS):
+        level = level.groupBy(*own, F.expr(f"_at div {FAN}").alias("_up")).agg(
+            joined("_at"), F.sum("_n").alias("_n")).withColumnRenamed("_up", "_at")
+    top = level.groupBy(*own).agg(joined("_at"), F.sum("_n").alias("lines"))
+    return top.select("file", "filename", "lines", F.sha2(F.concat_ws(":", "size", "_digest"), 256).alias("file_hash"))
+
+
+def json_lines(lines: DataFrame) -> DataFrame:
+    """The records of ``read_lines``: file, filename, row (the line's number), record; blank lines have none."""
+    plain = F.regexp_replace("line", r"^\x{FEFF}", "")
+    held = lines.where(F.col("line").rlike(r"\S")).withColumn("_parsed", _wrapped(plain, "variant"))
+    return held.select("file", "filename", "row", F.when(_whole(F.col("_parsed"), plain), F.col("_parsed.value")).alias("record"))
+
+
+def read_json_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """JSON Lines files, one record per line, numbered by line."""
+    return json_lines(read_lines(spark, path))
 
 
 def validated(raw: DataFrame, profile: str = "store") -> DataFrame:

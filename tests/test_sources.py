@@ -93,13 +93,34 @@ def test_json_lines_are_numbered_in_file_order(spark, tmp_path):
         raw = docs.read_json_lines(spark, str(tmp_path / "a.jsonl"))
         got = docs.validated(raw).select(
             "row", F.try_variant_get("record", "$.id", "int").alias("id"), "message").collect()
-        digest = docs.lines_files(raw).first().file_hash
+        digest = docs.lines_files(docs.read_lines(spark, str(tmp_path / "a.jsonl"))).first()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert sorted(r.row for r in got) == list(range(1, 3001))
     assert all(r.id == r.row for r in got if r.row != 5)
     assert [r.row for r in got if r.message] == [5]
-    assert digest == docs.lines_files(docs.read_json_lines(spark, str(tmp_path / "a.jsonl"))).first().file_hash
+    assert digest == docs.lines_files(docs.read_lines(spark, str(tmp_path / "a.jsonl"))).first() and digest.lines == 3001
+
+
+def test_a_digest_is_that_of_the_bytes(spark, tmp_path):
+    """Files that differ in blank lines, line ends, order, bytes that are no text, or by one line of many have different digests."""
+    many = [f"line {i}" for i in range(3000)]
+    texts = [b"a\nb\n", b"a\nb", b"a\n\nb\n", b"a\n\nb\n\n", b"\na\nb\n", b"a\r\nb\n", b"b\na\n", b"ab\n", b"\xff\nb\n", b"\xfe\nb\n", b"\n",
+             b"\n\n", " é\n".encode(), "\n".join(many).encode(), "\n".join(many[:2047] + ["line x"] + many[2048:]).encode(),
+             "\n".join(many[1024:2048] + many[:1024] + many[2048:]).encode()]
+    for k, raw in enumerate(texts):
+        (tmp_path / f"f{k}").write_bytes(raw)
+        (tmp_path / f"g{k}").write_bytes(raw)
+    found = {r.filename: r.file_hash for r in docs.lines_files(docs.read_lines(spark, str(tmp_path))).collect()}
+    assert len(found) == 2 * len(texts) and len(set(found.values())) == len(texts)
+    assert all(found[f"f{k}"] == found[f"g{k}"] for k in range(len(texts)))
+
+
+def test_blank_lines_count_as_lines(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"id": 1}\n\n  \n{"id": 4}\r\n')
+    got = docs.read_json_lines(spark, str(tmp_path / "a.jsonl"))
+    assert rows(got.select("row", F.col("record").isNotNull()), "*") == [(1, True), (4, True)]
+    assert dict(got.dtypes)["row"] == "bigint"
 
 
 def test_checker_records(spark, tmp_path):
