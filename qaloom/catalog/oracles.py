@@ -708,6 +708,8 @@ oracle("live_by_reviewer", "select reviewer, count(*) as reviews from v_reviews
 oracle("live_over_time", """
 select strftime(reviewed_at, '%Y-%m-%d') as date, count(*) as reviews from v_reviews group by 1""")
 oracle("incremental_ingest", f"""
-select cast(substr(file, 2) as bigint) as batch_id, count(*) filter (({_STORE}) is null) as imported,
-       count(*) filter (({_STORE}) is not null) as skipped from i_tests group by file""", _TYPES)
+select batch_id, count(*) filter (open and ({_STORE}) is null) as imported,
+       count(*) filter (open and ({_STORE}) is not null) as skipped, count(*) filter (not open) as closed
+from (select *, cast(substr(file, 2) as bigint) as batch_id, cast(substr(file, 2) as bigint) % 4 in (0, 1) as open from i_tests)
+group by batch_id""", _TYPES)
 ORACLES["incremental_duplicates"] = ORACLES["rule_duplicate"]

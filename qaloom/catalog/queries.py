@@ -601,14 +601,13 @@ def live_over_time(spark, d):
 
 @query
 def incremental_ingest(spark, d):
+    """Chunks of uploads, of which some are open, some ready, some unknown."""
     folder = _work(spark, "ingest")
     raw = V.as_raw_texts(V.stream(spark, d, "events")).select(
         F.expr("cast(substr(file, 2) as bigint)").alias("batch_id"), "row", "line"
     )
-    ig.ingest_chunks(raw, f"{folder}/out", f"{folder}/state").awaitTermination()
-    return spark.read.parquet(f"{folder}/out/chunks").groupBy("batch_id").agg(
-        F.sum("imported").alias("imported"), F.sum("skipped").alias("skipped")
-    )
+    ig.ingest_chunks(raw, lambda s: V.upload_status(s, d), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return ig.counts(spark, f"{folder}/out")
 
 
 @query
@@ -616,5 +615,4 @@ def incremental_duplicates(spark, d):
     folder = _work(spark, "repeats")
     arriving = V.as_records(V.as_questions(V.stream(spark, d, "documents")))
     ig.mark_arriving(arriving, f"{folder}/out", f"{folder}/state").awaitTermination()
-    marked = spark.read.parquet(f"{folder}/out/marked")
-    return marked.where("is_repeat").select("position", "source_id")
+    return ig.marked(spark, f"{folder}/out").where("is_repeat").select("position", "source_id")

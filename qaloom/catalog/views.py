@@ -232,6 +232,12 @@ def as_raw_texts(events: DataFrame) -> DataFrame:
     )
 
 
+def upload_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, status) of the uploads of the raw texts: half are open, a quarter is ready, a quarter not known."""
+    known = table(spark, sf_dir, "events").where("user_id % 4 <> 3").select(F.col("user_id").alias("id")).distinct()
+    return known.withColumn("status", F.when(F.col("id") % 4 == 2, "ready").otherwise("uploading"))
+
+
 def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_texts(spark, sf_dir).withColumn("record", F.try_parse_json("line")).drop("line")
 
