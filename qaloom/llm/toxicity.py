@@ -87,7 +87,7 @@ def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """``ngrams`` of any number of words, made in batches and held in four bytes each."""
-    made = [ngrams(words[k:k + CHUNK]) for k in range(0, len(words), CHUNK)]
+    made = [ngrams(words[k:k + CHUNK]) for k in range(0, max(len(words), 1), CHUNK)]
     ends = np.cumsum([0, *(len(b) for b, _ in made)])
     return np.concatenate([b.astype(np.int32) for b, _ in made]), np.concatenate([s + e for (_, s), e in zip(made, ends)])
 
@@ -102,7 +102,7 @@ def batches_of(starts: np.ndarray, total: int) -> Iterator[tuple[slice, slice]]:
 def averages(table: np.ndarray, buckets: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The average number of each bag."""
     sizes = np.diff(np.r_[starts, len(buckets)])
-    return np.concatenate([
+    return np.concatenate([np.zeros(0)] + [
         np.add.reduceat(table[buckets[grams]], starts[own] - grams.start) / sizes[own] for own, grams in batches_of(starts, len(buckets))])
 
 
@@ -188,7 +188,8 @@ def _learn(docs: list[np.ndarray], labels: np.ndarray, words: list[str], seed: i
     negative = np.bincount(np.concatenate(good), minlength=len(used)).astype(float)
     positive = np.bincount(np.concatenate(bad), minlength=len(used)).astype(float)
     # In the first round the two labels weigh the same; later ones know which words stand out.
-    positive *= negative.sum() / max(positive.sum(), 1)
+    if negative.any() and positive.any():
+        positive *= negative.sum() / positive.sum()
     for _ in range(ROUNDS):
         table, bias = train_words(buckets, starts, positive, negative, seed)
         odds = averages(table, buckets, starts) + bias
@@ -206,9 +207,12 @@ def _tops(model: Model, docs: list[np.ndarray], words: list[str]) -> list[list[f
 
 
 def fit(texts: list[str], labels: np.ndarray, seed: int = 5) -> Model:
-    """Fit on labelled texts. Without both labels every score is the share of label 1 (one half without rows)."""
+    """Fit on labelled texts. Without both labels, or any word, every score is the share of label 1 (one half without rows).
+
+    Where only the texts of one label have words, a word speaks for that label.
+    """
     share = float(labels.mean()) if len(labels) else 0.5
-    if not len(labels) or labels.min() == labels.max():
+    if not len(labels) or labels.min() == labels.max() or not any(map(words_of, texts)):
         return Model(np.zeros(BUCKETS), 0.0, (0.0, 0.0), float(np.log((share + 1e-4) / (1 - share + 1e-4))))
     index: dict[str, int] = {}
     docs = [np.array(sorted({index.setdefault(w, len(index)) for w in words_of(t)}), np.int64) for t in texts]
