@@ -136,7 +136,9 @@ class Probes:
         place = np.concatenate([np.arange(len(h)) for h in hashes])
         flat = np.concatenate(hashes)
         order = np.argsort(flat, kind="stable")
-        self.hashes, self.owner, self.place = flat[order], owner[order], place[order]
+        self.owner, self.place = owner[order], place[order]
+        self.hashes, self.counts = np.unique(flat, return_counts=True)
+        self.begins = np.cumsum(self.counts) - self.counts
         bits = max(16, int(len(flat) * 32).bit_length())
         self.shift = np.uint64(64 - bits)
         self.seen = np.zeros(1 << bits, bool)
@@ -146,24 +148,36 @@ class Probes:
         self.most = (BUDGET * sizes).astype(np.int64)
         self.bound = sizes - q + 1 - self.most * q
 
-    def _hits(self, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(probe, diagonal, place in the probe) of every q-gram of the text that is one of a probe, in slices of bounded size."""
+    def _hits(self, hashes: np.ndarray) -> list:
+        """Ways to get (probe, diagonal, place in the probe) of every q-gram of the text that is one of a probe, in slices of bounded size."""
         maybe = np.flatnonzero(self.seen[(hashes >> self.shift).astype(np.int64)])
         wanted = hashes[maybe]
-        lo = np.searchsorted(self.hashes, wanted, "left")
-        n = np.searchsorted(self.hashes, wanted, "right") - lo
-        maybe, lo, n = maybe[n > 0], lo[n > 0], n[n > 0]
-        part = np.cumsum(n) // SLICE
-        for first, end in zip(*(np.r_[0, np.flatnonzero(np.diff(part)) + 1], np.r_[np.flatnonzero(np.diff(part)) + 1, len(n)])):
-            own, low, many = (x[first:end] for x in (maybe, lo, n))
-            at = np.repeat(low - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
-            yield self.owner[at], np.repeat(own, many) - self.place[at], self.place[at]
+        known = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        same = self.hashes[known] == wanted
+        maybe, known = maybe[same], known[same]
+        low, many = self.begins[known], self.counts[known]
+        upto = np.cumsum(many)
+
+        def slice_of(first: int, end: int):
+            own, n = maybe[first:end], many[first:end]
+            at = np.repeat(low[first:end] - (upto[first:end] - n - (upto[first] - many[first])), n) + np.arange(n.sum())
+            place = self.place[at]
+            return self.owner[at], np.repeat(own, n) - place, place
+
+        if not len(maybe):
+            return []
+        if upto[-1] <= SLICE:
+            only = slice_of(0, len(maybe))
+            return [lambda: only]
+        cuts = np.unique(np.r_[0, np.searchsorted(upto, np.arange(SLICE, upto[-1], SLICE)), len(maybe)])
+        return [lambda first=first, end=end: slice_of(first, end) for first, end in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
     def regions(self, hashes: np.ndarray, length: int) -> list[tuple[int, int, int]]:
         """(probe, lowest, highest diagonal) of the bands that reach the bound."""
+        hits = self._hits(hashes)
         total = np.zeros(len(self.texts), np.int64)
-        for item, _, _ in self._hits(hashes):
-            total += np.bincount(item, minlength=len(total))
+        for get in hits:
+            total += np.bincount(get()[0], minlength=len(total))
         # A probe with fewer hits in the whole text than its bound has no band that reaches it.
         enough = total >= self.bound
         if not enough.any():
@@ -173,15 +187,19 @@ class Probes:
         found = []
         for half in (0, 1):
             once = np.zeros(0, np.int64)
-            for item, diagonal, place in self._hits(hashes):
+            for get in hits:
+                item, diagonal, place = get()
                 live = enough[item]
                 item, diagonal, place = item[live], diagonal[live], place[live]
                 # Twice the budget: the edits of the match, and as many by which q-grams may stray from its diagonal.
                 step = 2 * self.most[item] + 1
                 band = (diagonal + base + half * step // 2 + step) // step
                 # Each q-gram of a probe counts once in a band, however often the text repeats it.
-                once = np.union1d(once, (item * np.int64(wide) + band) * base + place)
-            key, count = np.unique(once // base, return_counts=True)
+                own = np.sort((item * np.int64(wide) + band) * base + place)
+                once = np.union1d(once, own) if len(once) else own[np.r_[True, own[1:] != own[:-1]]]
+            once //= base
+            starts = np.flatnonzero(np.r_[True, once[1:] != once[:-1]])
+            key, count = once[starts], np.diff(np.r_[starts, len(once)])
             owner = key // wide
             for k in np.flatnonzero(count >= self.bound[owner]):
                 i = int(owner[k])
