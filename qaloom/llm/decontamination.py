@@ -34,7 +34,7 @@ ALIGNED, SHORTEST = 24, 5
 #: Characters of a window of a longer item, and from one window to the next: a copied part of both together always holds a window.
 WINDOW, STRIDE = 64, 32
 #: q-grams of a text that are looked up at once, counted with their places in items.
-SLICE = 1 << 20
+SLICE = 1 << 17
 #: Letters of text handled at once; a longer text is cut into overlapping pieces.
 PIECE = 1 << 20
 JUNK = re.compile(r"[\W_]+")
@@ -363,8 +363,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = Block(shared.value)
             for batch in batches:
-                clean = [not block.search(normal(raw)) for raw in batch.column(at).to_pylist()]
+                clean = [not block.search(normal(raw.as_py())) for raw in batch.column(at)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
+            # The worker goes on to other stages; what whole rows took is given back.
+            pa.default_memory_pool().release_unused()
 
         docs = (cut(docs) if number else docs).mapInArrow(run, schema)
     return docs.toDF(*names)
