@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 MARK = "▁"
@@ -24,6 +25,8 @@ NEVER = np.iinfo(np.int64).max
 #: Letters of units indexed at once, and units remembered by a task.
 INDEXED, REMEMBERED = 400_000, 400_000
 CACHE_BITS = 21
+#: Bytes of texts encoded at once, or one text: their units take many times that.
+TOGETHER = 1 << 20
 
 
 class Vocabulary:
@@ -294,6 +297,15 @@ class Encoder:
         return [t[1:] if t.startswith(" ") else t for t in texts]
 
 
+def slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts have ``TOGETHER`` bytes and at most one text more."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+    part = (np.cumsum(sizes, dtype=np.int64) - sizes) // TOGETHER
+    cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1)).tolist()
+    for begin, end in zip(cuts, cuts[1:]):
+        yield batch.slice(begin, end - begin)
+
+
 def encode_documents(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", n: str = "n_tokens",
                      exact: str = "round_trip") -> DataFrame:
     """``docs`` with the ids of each text, their number, and whether decoding them gives the text back.
@@ -308,7 +320,7 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", ids: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             encoder = encoder or Encoder(model)
             texts = batch.column(at).to_pylist()
             flat, counts = encoder.encode(texts)

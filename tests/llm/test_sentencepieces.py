@@ -1,6 +1,7 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from llm.helpers import frame, odd_texts
@@ -49,3 +50,12 @@ def test_documents_come_back(spark):
 
 def test_a_text_with_the_word_mark_is_told(spark):
     assert [r.round_trip for r in sentencepieces.encode_documents(frame(spark, ["a▁b"]), PATH).collect()] == [False]
+
+
+@pytest.mark.parametrize("texts", [[], [None], ["", None, ""], ["x" * 25], ["ab", None, "中" * 9, "", "c" * 30, "d", "e" * 9, "f"]])
+def test_batches_are_cut_by_bytes_and_keep_all_rows(monkeypatch, texts):
+    monkeypatch.setattr(sentencepieces, "TOGETHER", 10)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["i", "t"])
+    parts = [p.to_pydict() for p in sentencepieces.slices(batch, 1)]
+    assert [t for p in parts for t in p["t"]] == texts and [i for p in parts for i in p["i"]] == list(range(len(texts)))
+    assert all(sum(len((t or "").encode()) for t in p["t"][:-1]) < 20 for p in parts)
