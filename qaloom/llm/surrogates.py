@@ -4,11 +4,13 @@ Mentions are found by one pattern. Each entity (a kind and a normal form) gets o
 from a keyed digest: of the same kind, shape, script and gender. Draws that meet another entity's
 surrogate, or any real entity of the corpus, are drawn again until all are distinct. So
 different entities stay different, and every mention of one entity, in whatever notation, gets
-the same surrogate in its own notation.
+the same surrogate in its own notation. Domains of addresses are entities too.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +53,9 @@ _TITLES = rf"(?:(?:{'|'.join(_TITLE)})\.? )"
 _NEXT = rf"(?:(?:\p{{Lu}}\.|{'|'.join(PARTICLES)}) )*+(?!(?:{'|'.join(_TITLE)})(?![\p{{L}}\p{{N}}])){_NAME}"
 _GIVEN_ALL = "|".join(sorted({n for names in GIVEN.values() for n in names.split()}))
 
+#: Names that are also words of dates: where they stand alone they are taken for the word.
+DATE_WORDS = "January March April May June July August Monday Tuesday Wednesday Thursday Friday Saturday Sunday".split()
+
 _OPEN, _CLOSE = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 #: The patterns of mentions, grouped by what must stand in front, so that most places of a text are passed over by one look.
 #: Runs are possessive or start at a boundary: no word is read more than once for a pattern.
@@ -71,17 +76,26 @@ _AT_NUMBER = [
     rf"\+\d{{1,3}}{_GAP}\d{{2,4}}{_GAP}\d{{2,4}}(?:{_GAP}\d{{2,4}}){{0,2}}(?!\d)|\+\d{{9,15}}(?!\d)",
     r"\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d)|(?<![.-])\d{3}-\d{4}(?![\d-])",
     r"(?<!-)\d{3}-\d{2}-\d{4}(?![\d-])",
-    r"\d(?:[ -]?\d){12,18}(?!\d)",
+    # Card numbers: unbroken, in groups of four, or any other groups that do not run into an unbroken one.
+    r"\d{13,19}(?!\d)", r"\d{4}(?: \d{4}){3}(?: \d{1,3}(?!\.?\d))?(?!\d)|\d{4}(?:-\d{4}){3}(?:-\d{1,3}(?!\.?\d))?(?!\d)",
+    r"(?!(?:\d{1,9}[ -]){1,6}\d{13})\d(?:[ -]?\d){12,18}(?!\.?\d)",
 ]
 PATTERN = rf"{_OPEN}(?=[\p{{L}}\p{{N}}._%+-])(?:{'|'.join(_AT_WORD)})|(?<!\d)(?=[\d(+])(?:{'|'.join(_AT_NUMBER)})|{_AFTER_QUOTE}"
 PERSON = rf"^(?:{_TITLES}|(?:{_GIVEN_ALL}) )"
 DIGIT_KINDS = ("phone", "ssn", "card")
+#: Parts of mentions that are no entities: they stay, but for initials.
+PLAIN = ("initial", "particle", "number")
+#: Entities a task draws for, while the session's number of shuffle partitions allows it.
+ENTITIES_A_TASK = 2000
 #: Draws within an entity's own form; each one after that is from a wider form, so every entity gets a surrogate however full its form is.
 ROUNDS = 16
 
 
 def _kind(mention: Column) -> Column:
-    """The kind of a mention, by its form alone."""
+    """The kind of a mention, by its form alone.
+
+    A run of digits that is not in groups of four is a card only if its check digit holds, else a number, which stays.
+    """
     whole = {
         "email": r"^[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+$",
         "ipv6": r"^(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}$",
@@ -93,8 +107,10 @@ def _kind(mention: Column) -> Column:
         "person": PERSON,
     }
     out = F.when(mention.rlike(r"^[0-9a-fA-F]{32,}$"), F.lit("secret"))
+    checked = mention.rlike(r"^\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?!\d)") | (_luhn(F.regexp_replace(mention, r"\D", "")) == 0)
     for kind, pattern in whole.items():
-        out = out.when(mention.rlike(pattern), F.lit(kind))
+        named = F.when(checked, F.lit("card")).otherwise(F.lit("number")) if kind == "card" else F.lit(kind)
+        out = out.when(mention.rlike(pattern), named)
     return out.otherwise(F.lit("secret"))
 
 
@@ -112,27 +128,38 @@ def _gender(mention: Column, given: Column) -> Column:
     return out.when(given.rlike("[aаяe]$"), "f").otherwise("m")
 
 
-def _surnames(mentions: Column) -> Column:
-    """The last names of the persons mentioned, longer ones first; a given name alone is none."""
-    bare = F.transform(F.filter(mentions, lambda m: m.rlike(PERSON)), lambda m: F.regexp_replace(m, rf"^{_TITLES}+", ""))
-    last = F.transform(F.filter(bare, lambda m: ~m.isin(_GIVEN_ALL.split("|"))), lambda m: F.substring_index(m, " ", -1))
-    ordered = F.array_sort(F.transform(F.array_distinct(last), lambda m: F.struct((-F.length(m)).alias("size"), m.alias("name"))))
+def _persons(mentions: Column) -> Column:
+    """The persons mentioned, without titles."""
+    return F.transform(F.filter(mentions, lambda m: m.rlike(PERSON)), lambda m: F.regexp_replace(m, rf"^{_TITLES}+", ""))
+
+
+def _surnames(persons: Column) -> Column:
+    """The last names of persons; a given name alone is none."""
+    return F.array_distinct(F.transform(F.filter(persons, lambda m: ~m.isin(_GIVEN_ALL.split("|"))), lambda m: F.substring_index(m, " ", -1)))
+
+
+def _names(persons: Column) -> Column:
+    """All names of persons that may also stand alone, longer ones first."""
+    names = F.filter(
+        F.array_distinct(F.flatten(F.transform(persons, lambda m: F.split(m, " ")))), lambda m: m.rlike(rf"^{_NAME}$") & ~m.isin(DATE_WORDS))
+    ordered = F.array_sort(F.transform(names, lambda m: F.struct((-F.length(m)).alias("size"), m.alias("name"))))
     return F.transform(ordered, lambda m: m["name"])
 
 
-def _with_bare(surnames: Column) -> Column:
-    """The pattern of mentions, and of these surnames where they stand alone."""
-    return F.concat(F.lit(PATTERN + rf"|{_OPEN}(?=\p{{Lu}})(?:"), F.array_join(surnames, "|"), F.lit(f"){_CLOSE}"))
+def _with_bare(names: Column) -> Column:
+    """The pattern of mentions, and of these names where they stand alone."""
+    return F.concat(F.lit(PATTERN + rf"|{_OPEN}(?=\p{{Lu}})(?:"), F.array_join(names, "|"), F.lit(f"){_CLOSE}"))
 
 
 def _named(mentions: DataFrame) -> DataFrame:
-    """Add what all parts of a mention share, once for each mention: its words, whether it has a title, its gender."""
+    """Add what all parts of a mention share, once for each mention: its words, whether it has a title, its gender (of a lone name only if known)."""
     mention = F.col("mention")
     tokens = F.split(F.regexp_replace(mention, rf"^{_TITLES}+", ""), " ")
     given = F.get(F.filter(F.col("tokens"), lambda t: ~t.rlike(r"^\p{Lu}\.$") & ~t.isin(*PARTICLES)), F.lit(0))
     split = fixed(mentions.withColumn("tokens", F.when(F.col("of") == "person", tokens)), "tokens")
-    whole = split.withColumn("titled", mention.rlike(rf"^{_TITLES}")).withColumn("whose", _gender(mention, given))
-    return fixed(whole.withColumn("last", F.size("tokens") - 1), "titled", "whose", "last")
+    whole = split.withColumn("titled", mention.rlike(rf"^{_TITLES}")).withColumn("last", F.size("tokens") - 1)
+    told = F.col("titled") | (F.col("last") > 0) | given.isin(_GIVEN_ALL.split("|"))
+    return fixed(whole.withColumn("whose", F.when(told, _gender(mention, given))), "titled", "whose", "last")
 
 
 def _parts(mention: Column, kind: Column) -> Column:
@@ -140,7 +167,7 @@ def _parts(mention: Column, kind: Column) -> Column:
     none = F.lit(None).cast("string")
 
     def part(token: Column, i: Column) -> Column:
-        alone = (F.col("last") == 0) & F.col("titled") & token.isin(_GIVEN_ALL.split("|"))
+        alone = (F.col("last") == 0) & F.when(F.col("titled"), token.isin(_GIVEN_ALL.split("|"))).otherwise(~F.array_contains("surnames", token))
         name = (
             F.when(token.rlike(r"^\p{Lu}\.$"), F.lit("initial")).when(token.isin(*PARTICLES), F.lit("particle"))
             .when((i == F.col("last")) & ~alone, F.lit("surname")).otherwise(F.lit("given"))
@@ -214,7 +241,7 @@ def _pick(words: str, n: Column) -> Column:
 
 
 def _surrogate(key: str) -> Column:
-    """The surrogate of an entity (kind, norm, gender, script) at its ``attempt``.
+    """The surrogate of an entity (kind, norm, gender, script, domain) at its ``attempt``.
 
     From attempt ``ROUNDS`` on the form is wider: one more symbol at each attempt; for addresses the
     private block 10.0.0.0/8 (or any public first octet), and at last unique local IPv6 addresses.
@@ -229,13 +256,11 @@ def _surrogate(key: str) -> Column:
     letters = F.array_join(F.transform(added, lambda n: F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), n % 26 + 1, F.lit(1))), "")
     hexadecimal = norm.rlike(r"^[0-9a-fA-F:]+$") & kind.isin("secret", "ipv6")
     shaped = _letters(norm, drawn, hexadecimal)
-    # A domain is drawn on its own, so that addresses of one domain stay together; its last label stays.
-    domain = F.substring_index(norm, "@", -1)
-    top = F.substring_index(domain, ".", -1)
-    host = F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1)
-    host_drawn = _draw(key, F.concat_ws("\x1f", F.lit("domain"), domain), F.greatest(F.length(domain), F.lit(8)))
-    local = F.substring_index(norm, "@", 1)
-    email = F.concat(_letters(local, drawn, F.lit(False)), letters, F.lit("@"), _letters(host, host_drawn, F.lit(False)), F.lit("."), top)
+    # A domain is an entity of its own, so that addresses of one domain stay together; its last label stays.
+    top = F.substring_index(norm, ".", -1)
+    host = F.substring(norm, F.lit(1), F.length(norm) - F.length(top) - 1)
+    domain = F.concat(_letters(host, drawn, F.lit(False)), letters, F.lit("."), top)
+    email = F.concat(_letters(F.substring_index(norm, "@", 1), drawn, F.lit(False)), letters, F.lit("@"), F.col("domain"))
     octets = F.split(norm, r"\.")
     first = F.get(octets, F.lit(0)).cast("int")
     ip = F.concat_ws(
@@ -276,7 +301,7 @@ def _surrogate(key: str) -> Column:
     given = F.when(attempt < 2, given).otherwise(F.concat(F.initcap(more), end))
     surname = F.when(attempt < 2, surname).otherwise(F.concat(surname, more))
     return (
-        F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "ipv6", ipv6).when(kind == "card", card)
+        F.when(kind == "email", email).when(kind == "domain", domain).when(kind == "ip", ip).when(kind == "ipv6", ipv6).when(kind == "card", card)
         .when(kind == "phone", phone).when(kind == "iban", iban)
         .when(kind == "given", given).when(kind == "surname", surname).otherwise(shaped)
     )
@@ -290,33 +315,48 @@ def _initial(norm: Column, key: str) -> Column:
     return F.get(letters, n % F.size(letters))
 
 
+def _form(text: str) -> Column:
+    """What two surrogates must differ in: the letters without their case, as a digest of fixed size."""
+    return F.sha2(F.lower(text), 256)
+
+
+def _distinct(entities: DataFrame, surrogate: Column) -> DataFrame:
+    """(kind, norm, surrogate): one distinct surrogate, by the column that draws, for each entity (kind, norm, gender, script, domain).
+
+    In a round all entities without a surrogate draw one. A form that is no real entity's and was not taken in an
+    earlier round goes to the first that drew it; the others draw again, and only they move. Forms and winners have one
+    row each before they are joined, so no join has a hot key. The form grows with the draws past ``ROUNDS``, so this
+    ends for any number of entities.
+    """
+    spark, held = entities.sparkSession, cut(entities.withColumn("attempt", F.lit(0)))
+    waiting, n, settled = held, held.count(), []
+    while n or not settled:
+        tasks = min(1 + n // ENTITIES_A_TASK, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        # The number of the draw is a column, so that all rounds run the same compiled code.
+        tried = cut(waiting.repartition(tasks, "kind", "norm").withColumn("surrogate", surrogate)).withColumn("form", _form("surrogate"))
+        firsts = tried.groupBy("form").agg(F.min(F.struct("kind", "norm", "surrogate")).alias("who"))
+        taken = reduce(DataFrame.unionByName, [won.select("form") for won in settled], held.select(_form("norm").alias("form")))
+        met = taken.join(firsts.select("form"), "form", "left_semi").distinct()
+        settled.append(cut(firsts.join(met, "form", "left_anti").select("form", "who.*")))
+        waiting = tried.join(settled[-1].select("kind", "norm"), ["kind", "norm"], "left_anti").select(
+            *[c for c in held.columns if c != "attempt"], (F.col("attempt") + 1).alias("attempt"))
+        n -= settled[-1].count()
+    return reduce(DataFrame.unionByName, settled).select("kind", "norm", "surrogate")
+
+
 def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, norm, surrogate): one distinct surrogate for each entity (kind, norm, gender, script).
 
-    In every round the entities whose draw is a real entity's form, or was also drawn by one
-    that comes before it, draw again. Forms are compared in lower case. The form grows with
-    the draws past ``ROUNDS``, so this ends for any number of entities.
+    The domains of addresses are drawn first, distinct from each other and from all real domains.
     """
-    now = cut(entities.withColumn("attempt", F.lit(0)).withColumn("surrogate", _surrogate(key)))
-    while True:
-        form = F.lower("surrogate")
-        drawn = now.select(form.alias("form"), F.struct("attempt", "kind", "norm").alias("who"), F.lit(False).alias("real"))
-        real = now.select(F.lower("norm").alias("form"), F.struct("attempt", "kind", "norm").alias("who"), F.lit(True).alias("real"))
-        clashes = drawn.unionByName(real).groupBy("form").agg(
-            F.min(F.when(~F.col("real"), F.col("who"))).alias("keeper"), F.max("real").alias("taken"), F.count_if(~F.col("real")).alias("n")
-        ).where("n > 1 or (n = 1 and taken)")
-        marked = now.withColumn("form", form).join(clashes, "form", "left")
-        again = F.coalesce(
-            F.col("taken") | (F.struct("attempt", "kind", "norm") != F.col("keeper")), F.lit(False)
-        )
-        new = cut(
-            marked.withColumn("attempt_new", F.col("attempt") + again.cast("int")).drop("form", "keeper", "taken", "n")
-            .withColumn("again", F.col("attempt_new") > F.col("attempt")).drop("attempt").withColumnRenamed("attempt_new", "attempt")
-            .withColumn("surrogate", F.when(F.col("again"), _surrogate(key)).otherwise(F.col("surrogate")))
-        )
-        if new.where("again").isEmpty():
-            return new.select("kind", "norm", "surrogate")
-        now = new.drop("again")
+    none, surrogate = F.lit(None).cast("string"), _surrogate(key)
+    others = entities.where("kind <> 'email'").withColumn("domain", none)
+    addresses = entities.where("kind = 'email'").withColumn("domain", F.substring_index("norm", "@", -1))
+    domains = addresses.select("domain").distinct().select(
+        F.lit("domain").alias("kind"), F.col("domain").alias("norm"), none.alias("gender"), none.alias("script"), none.alias("domain"))
+    drawn = _distinct(domains, surrogate).select(F.col("norm").alias("domain"), F.col("surrogate").alias("drawn"))
+    placed = join_unique(addresses, drawn, ["domain"]).withColumn("domain", F.col("drawn")).drop("drawn")
+    return _distinct(others.unionByName(placed), surrogate)
 
 
 def _rendered(mention: Column, kind: Column, drawn: Column) -> Column:
@@ -349,41 +389,46 @@ def _rendered(mention: Column, kind: Column, drawn: Column) -> Column:
 def replace_entities(docs: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
     """``docs`` with every entity in the text replaced; with ``count``, a column with their number.
 
-    Null and empty texts stay as they are, and so do all other columns and repeated rows. An empty table
-    stays empty. The same key gives the same surrogates for the same set of entities.
+    Null and empty texts stay as they are, and so do all other columns, whatever their types and names, and repeated
+    rows. An empty table stays empty. The same key gives the same surrogates for the same set of entities.
     """
-    own = docs.columns
-    body = F.col("row")[text]
-    listed = fixed(docs.select(
+    names, at = docs.columns, docs.columns.index(text)
+    # Names with dots would be read as fields of structs.
+    own = [f"c{k}" for k in range(len(names))]
+    body = F.col("row")[own[at]]
+    listed = fixed(docs.toDF(*own).select(
         F.struct(*own).alias("row"),
-        F.coalesce(F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>")).alias("mentions"),
+        F.coalesce(F.regexp_extract_all(F.col(own[at]), F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>")).alias("mentions"),
     ), "mentions")
-    # A surname that a text gives with a title or given name is also a mention where it stands alone in that text.
-    marked = cut(fixed(listed.withColumn("surnames", _surnames(F.col("mentions"))), "surnames").withColumn("mentions", F.when(
-        F.size("surnames") > 0, F.regexp_extract_all(body, _with_bare(F.col("surnames")), F.lit(0))).otherwise(F.col("mentions"))))
+    # A name that a text gives with a title or given name is also a mention where it stands alone in that text.
+    persons = fixed(listed.withColumn("persons", _persons(F.col("mentions"))), "persons")
+    known = fixed(persons.withColumn("surnames", _surnames(F.col("persons"))).withColumn("names", _names(F.col("persons"))).drop("persons"), "surnames", "names")
+    marked = cut(known.withColumn("mentions", F.when(
+        F.size("names") > 0, F.regexp_extract_all(body, _with_bare(F.col("names")), F.lit(0))).otherwise(F.col("mentions"))))
     hit = marked.where(F.size("mentions") > 0).withColumn("digest", F.sha2(body, 256))
     # A text that stands in several rows is looked at once.
-    texts = hit.select("digest", "mentions", "surnames").dropDuplicates(["digest"])
-    mentions = texts.select("digest", "surnames", F.posexplode("mentions").alias("pos", "mention")).select(
-        "digest", "pos", "mention", F.when(F.col("mention").rlike(rf"^{_NAME}$") & F.array_contains("surnames", F.col("mention")), F.lit("person"))
-        .otherwise(_kind(F.col("mention"))).alias("of"))
+    texts = hit.select("digest", "mentions", "surnames", "names").dropDuplicates(["digest"])
+    alone = F.col("mention").rlike(rf"^{_NAME}$") & F.array_contains("names", F.col("mention"))
+    mentions = texts.select("digest", "surnames", "names", F.posexplode("mentions").alias("pos", "mention")).select(
+        "digest", "pos", "mention", "surnames", F.when(alone, F.lit("person")).otherwise(_kind(F.col("mention"))).alias("of"))
     parts = cut(_named(mentions).select(
         "digest", "pos", "mention", "of", F.posexplode(_parts(F.col("mention"), F.col("of"))).alias("part", "entity")
     ).select("digest", "pos", "mention", "of", "part", "entity.*"))
-    entities = parts.where(~F.col("kind").isin("initial", "particle")).groupBy("kind", "norm").agg(F.min("gender").alias("gender"), F.min("script").alias("script"))
+    entities = parts.where(~F.col("kind").isin(*PLAIN)).groupBy("kind", "norm").agg(F.min("gender").alias("gender"), F.min("script").alias("script"))
     drawn = draw_surrogates(entities, key)
     placed = join_unique(parts, drawn, ["kind", "norm"]).withColumn("surrogate", F.when(F.col("kind") == "initial", _initial(F.col("norm"), key))
         .otherwise(F.coalesce("surrogate", "norm")))
     # All groups below are of one text, so no larger than it.
     each = placed.groupBy("digest", "pos", "mention", "of").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("part", "surrogate"))), lambda s: s["surrogate"]).alias("drawn")
-    ).select("digest", "pos", _rendered(F.col("mention"), F.col("of"), F.col("drawn")).alias("new"))
+    ).select("digest", "pos", "of", _rendered(F.col("mention"), F.col("of"), F.col("drawn")).alias("new"))
     rendered = each.groupBy("digest").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "new"))), lambda s: s["new"]).alias("news")
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "new"))), lambda s: s["new"]).alias("news"),
+        F.count_if(F.col("of") != "number").cast("int").alias("n"),
     )
-    between = F.when(F.size("surnames") > 0, F.split(body, _with_bare(F.col("surnames")), -1)).otherwise(F.split(body, PATTERN, -1))
+    between = F.when(F.size("names") > 0, F.split(body, _with_bare(F.col("names")), -1)).otherwise(F.split(body, PATTERN, -1))
     rebuilt = F.array_join(F.zip_with(between, F.col("news"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    replaced = join_unique(hit, rendered, ["digest"], "inner").select("row", rebuilt.alias("text"), F.size("mentions").alias("n"))
+    replaced = join_unique(hit, rendered, ["digest"], "inner").select("row", rebuilt.alias("text"), "n")
     plain = marked.where(F.size("mentions") == 0).select("row", body.alias("text"), F.lit(0).alias("n"))
-    columns = [F.col("text").alias(text) if c == text else F.col(f"row.`{c}`") for c in own]
+    columns = [F.col("text" if k == at else f"row.{c}").alias(names[k]) for k, c in enumerate(own)]
     return plain.unionByName(replaced).select(*columns, *([F.col("n").alias(count)] if count else []))

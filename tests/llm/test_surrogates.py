@@ -124,3 +124,48 @@ def test_whole_names_and_bare_surnames(spark):
     d = re.fullmatch(r"Prof\. Dr\. (\S+) (\S+) saw Dr\. (\S+) Mrs\. (\S+)", got[3]).groups()
     assert d[1] == d[2] and not {"Maria", "Stone", "Field"} & set(d) and got[4] == "Stone"
     assert " Ab" not in got[5] and "Zz" not in got[5]
+
+
+def test_given_names_alone_and_words_of_dates(spark):
+    texts = ["John Brook came. John said: Mr. May came in May with Robin Field, Mrs. Robin Field. Robin and Brook left.", "John said"]
+    got = {i: r.text for i, r in replaced(spark, texts).items()}
+    a = re.fullmatch(r"(\S+) (\S+) came\. (\S+) said: Mr\. (\S+) came in May with Robin Field, Mrs\. (\S+) (\S+)\. (\S+) and (\S+) left\.",
+                     got[0].replace("with " + got[0].split("with ")[1].split(",")[0], "with Robin Field")).groups()
+    assert a[0] == a[2] and a[1] == a[7] and a[4] == a[6] and a[3] != "May" and got[1] == "John said"
+    assert not {"John", "Brook", "Robin", "Field"} & set(a)
+
+
+def test_numbers_that_are_no_cards_stay_and_hide_nothing(spark):
+    texts = ["order 4539148803436468 of 12", "4539148803436467 16.120.181.235 x", "12 4539148803436467", "4539 1488 0343 6468", "45 39 14 88 03 43 64 67",
+             "4539 1488 0343 6467 16.120.181.235"]
+    got = replaced(spark, texts)
+    assert got[0].text == texts[0] and got[0].n_entities == 0
+    card, ip = re.fullmatch(r"(\d{16}) (\d+\.\d+\.\d+\.\d+) x", got[1].text).groups()
+    assert luhn(card) == 0 and card != "4539148803436467" and ip != "16.120.181.235" and got[1].n_entities == 2
+    assert got[2].text == f"12 {card}" and got[3].text != texts[3] and got[4].text.replace(" ", "") == card
+    assert got[5].text.split(" ")[:4] == [card[k:k + 4] for k in range(0, 16, 4)] and got[5].text.endswith(ip)
+
+
+def test_all_kinds_are_distinct_and_domains_stay_apart(spark):
+    # 100 domains of two letters in front of the dot: of 676 forms, so some draws meet.
+    hosts = [f"{a}{b}.org" for a in "abcdefghij" for b in "klmnopqrst"]
+    texts = [f"x{k % 7}@{h} from 10.0.{k % 200}.{k % 100 + 1} call +1 (555) 555-{k:04d}" for k, h in enumerate(hosts)]
+    texts += [f"Mr. {n} and Mrs. {n}a" for n in ("A" + c + d for c in "bcdfgh" for d in "aeiou")]
+    got = replaced(spark, texts)
+    new = [got[k].text for k in range(len(hosts))]
+    domains = [re.search(r"@(\S+)", t).group(1) for t in new]
+    assert len(set(domains)) == len(hosts) and not set(domains) & set(hosts)
+    for pattern in (r"\S+@\S+", r"from (\S+)", r"call (.+)"):
+        old_of = dict()
+        for old, fresh in zip(texts, new):
+            assert old_of.setdefault(re.search(pattern, old).group(), re.search(pattern, fresh).group()) == re.search(pattern, fresh).group()
+        assert len(set(old_of.values())) == len(old_of) and not set(old_of.values()) & set(old_of)
+    names = [w for k in range(len(hosts), len(texts)) for w in re.findall(r"M\w+\. (\S+)", got[k].text)]
+    assert len(set(names)) == len(names) == 60
+
+
+def test_extra_columns_of_any_type_and_name(spark):
+    docs = spark.createDataFrame([(1, "ip 8.8.8.8", {"a": 1}, 7), (2, None, None, 8)], "doc_id bigint, text string, `row` map<string,int>, `a.b` int")
+    got = {r.doc_id: r for r in surrogates.replace_entities(docs, KEY).collect()}
+    assert surrogates.replace_entities(docs, KEY).columns == docs.columns
+    assert got[1].row == {"a": 1} and got[1]["a.b"] == 7 and got[1].text != "ip 8.8.8.8" and got[2].text is None
