@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections import namedtuple
 from collections.abc import Callable
+from itertools import groupby
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -20,20 +23,18 @@ ACTIONS = T.StructType([
     T.StructField("session_id", T.StringType()), T.StructField("action", T.StringType()),
     T.StructField("decision", T.StringType()), T.StructField("notes", T.StringType()),
 ])
+# The lease, the moment of the next timer, the few actions that wait, and the number of parts that others were put in.
 _STATE = T.StructType([
     T.StructField("reviewer", T.StringType()), T.StructField("session_id", T.StringType()),
     T.StructField("expires", T.LongType()), T.StructField("reviewed", T.BooleanType()),
-    T.StructField("last", T.LongType()),
+    T.StructField("wakes", T.LongType()), T.StructField("waiting", T.StringType()), T.StructField("parts", T.LongType()),
 ])
 
-
-_WAITING = T.StructType([
-    T.StructField("at_us", T.LongType()), T.StructField("event_id", T.LongType()), *ACTIONS.fields[3:],
-])
-_PENDING = T.StructType([T.StructField("actions", T.ArrayType(_WAITING))])
+#: Actions that wait beside the lease of their question, and milliseconds of the slots that more of them are put in.
+FEW, SLOT = 4096, 60 * 60 * 1000
 
 _OUTCOME = Row(*OUTCOMES.fieldNames())
-_EVENT = namedtuple("_EVENT", _WAITING.fieldNames())
+_EVENT = namedtuple("_EVENT", ["at_us", "event_id", *ACTIONS.fieldNames()[3:]])
 
 # Why a late action is refused; the action, and its question, that only moves the time.
 LATE = "The action arrived after its time was closed."
@@ -45,76 +46,115 @@ def _millis(micros: int) -> int:
     return -(-micros // 1000)
 
 
+def _place(event) -> tuple:
+    """Order of the actions of a question, those without an id first."""
+    return event.at_us, event.event_id is not None, event.event_id or 0
+
+
 class LeaseTracker(StatefulProcessor):
     """One lease per question, and the actions on it whose time has not come.
 
-    Actions wait in a map by millisecond, each with a timer. Timers fire in order of time once the watermark has passed
-    them, so actions are judged in that order however they arrived, and no list of a question's actions is made. A lease that ends after the
-    watermark gets a timer too; one that ended before is reported by the next action that waits, or at once if none does.
+    The state of a question is read and written once for all its actions of a micro-batch, and once when its timer fires: the timer
+    stands at the next moment that matters, the first waiting action or the end of the lease, and once the watermark has passed it, all that
+    is due by then is judged in order of time, however it arrived. Up to ``few`` actions wait beside the lease; more of them are put
+    into slots of time, each written in parts that are never written again, and judged slot by slot. So no more than ``few`` actions of
+    a question, or those of one slot, are in memory at a time.
     """
 
+    def __init__(self, few: int = FEW, slot: int = SLOT) -> None:
+        self.few, self.slot = few, slot
+
     def init(self, handle) -> None:
         self.handle = handle
         self.lease = handle.getValueState("lease", _STATE)
-        self.pending = handle.getMapState("pending", "ms bigint", _PENDING)
+        self.pending = handle.getMapState("pending", "slot bigint, part bigint", "actions string")
 
-    def _load(self) -> tuple[Lease, int | None]:
-        """(the lease, the last millisecond at which an action waits)."""
+    def _load(self) -> tuple[Lease, int | None, list, int]:
+        """(the lease, the moment of the timer, the few waiting actions, the number of parts)."""
         held = self.lease.get()
-        return (Lease(*held[:-1]), held[-1]) if held else (Lease(), None)
+        return (Lease(*held[:4]), held[4], json.loads(held[5]), held[6]) if held else (Lease(), None, [], 0)
 
-    def _store(self, lease: Lease, last: int | None) -> None:
-        if lease == Lease() and last is None:
+    def _store(self, lease: Lease, wakes: int | None, waiting: list, parts: int) -> None:
+        if lease == Lease() and wakes is None:
             self.lease.clear()
         else:
-            self.lease.update((*lease, last))
+            self.lease.update((*lease, wakes, json.dumps(waiting), parts))
+
+    def _spread(self, waiting: list, parts: int) -> int:
+        """Put waiting actions into their slots; returns the number of parts."""
+        slots = {}
+        for action in waiting:
+            slots.setdefault(action[0] // 1000 // self.slot, []).append(action)
+        for slot, actions in slots.items():
+            self.pending.updateValue((slot, parts), (json.dumps(actions),))
+        return parts + 1
+
+    def _take(self, places: list, now: int):
+        """The actions of each slot that has begun, in order of time; they are no longer in it then."""
+        for slot, parts in groupby(places, itemgetter(0)):
+            if slot * self.slot > now:
+                return
+            actions = []
+            for place in map(tuple, parts):
+                actions += json.loads(self.pending.getValue(place)[0])
+                self.pending.removeKey(place)
+            yield actions
 
     def handleInputRows(self, key, rows, timerValues):
-        newest = None
+        lease, wakes, waiting, parts = self._load()
+        first = None
         for row in rows:
             if row.action == MARK:
                 continue
-            ms = row.at_us // 1000
-            held = self.pending.getValue((ms,))
-            if held is None:
-                self.handle.registerTimer(ms)
-            self.pending.updateValue((ms,), ([*(held[0] if held else []), tuple(row[c] for c in _WAITING.fieldNames())],))
-            newest = ms if newest is None else max(newest, ms)
-        lease, last = self._load()
-        if newest is not None and (last is None or last < newest):
-            self._store(lease, newest)
+            waiting.append([row[c] for c in _EVENT._fields])
+            first = row.at_us if first is None else min(first, row.at_us)
+            if len(waiting) > self.few:
+                waiting, parts = [], self._spread(waiting, parts)
+        if first is not None:
+            if wakes is None or first // 1000 < wakes:
+                wakes = first // 1000
+                self.handle.registerTimer(wakes)
+            self._store(lease, wakes, waiting, parts)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        before = (lease, last) = self._load()
-        if lease.expires is not None and _millis(lease.expires) <= now:
-            yield _OUTCOME(*expired(key[0], lease))
-            lease = Lease(reviewed=lease.reviewed)
-        held = self.pending.getValue((now,)) if last is not None else None
-        if held is not None:
-            self.pending.removeKey((now,))
-            # Those of one millisecond.
-            for event in sorted((_EVENT(*x) for x in held[0]), key=lambda x: (x.at_us, x.event_id)):
+        now = timerValues.getCurrentWatermarkInMs()
+        lease, wakes, waiting, parts = self._load()
+        if wakes is None or wakes > now:
+            # A timer of before an earlier action came; what was due then has been judged.
+            return
+        places = []
+        if parts:
+            parts = self._spread(waiting, parts)
+            places = sorted(map(tuple, self.pending.keys()))
+        later = []
+        for actions in self._take(places, now) if parts else [waiting]:
+            for event in sorted(map(_EVENT._make, actions), key=_place):
+                if event.at_us // 1000 > now:
+                    later.append(event)
+                    continue
                 lease, out = advance(key[0], lease, event)
                 for values in out:
                     yield _OUTCOME(*values)
-            last = None if last == now else last
-        if lease.expires is not None and (lease.expires != before[0].expires or last != before[1]):
-            if _millis(lease.expires) > timerValues.getCurrentWatermarkInMs():
-                if lease.expires != before[0].expires:
-                    self.handle.registerTimer(_millis(lease.expires))
-            elif last is None:
-                yield _OUTCOME(*expired(key[0], lease))
-                lease = Lease(reviewed=lease.reviewed)
-        if (lease, last) != before:
-            self._store(lease, last)
+        if lease.expires is not None and _millis(lease.expires) <= now:
+            yield _OUTCOME(*expired(key[0], lease))
+            lease = Lease(reviewed=lease.reviewed)
+        following = [slot * self.slot for slot, _ in places if slot * self.slot > now][:1]
+        following += [event.at_us // 1000 for event in later[:1]]
+        following += [_millis(lease.expires)] if lease.expires is not None else []
+        wakes = min(following, default=None)
+        if wakes is not None:
+            self.handle.registerTimer(wakes)
+        parts = parts if places and places[-1][0] * self.slot > now else 0
+        if len(later) > self.few:
+            later, parts = [], self._spread(later, parts)
+        self._store(lease, wakes, later, parts)
 
     def close(self) -> None:
         pass
 
 
-def track_leases(actions: DataFrame, delay: str = "1 minute") -> DataFrame:
+def track_leases(actions: DataFrame, delay: str = "1 minute", few: int = FEW, slot: int = SLOT) -> DataFrame:
     """Outcome stream of an action stream.
 
     An action is judged when the watermark, ``delay`` behind the newest action, has passed it. Spark drops actions that come later than
@@ -124,7 +164,7 @@ def track_leases(actions: DataFrame, delay: str = "1 minute") -> DataFrame:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
     outcomes = (
         with_micros(actions).withWatermark("at", delay).groupBy("question_id")
-        .transformWithState(LeaseTracker(), OUTCOMES, "Append", "EventTime")
+        .transformWithState(LeaseTracker(few, slot), OUTCOMES, "Append", "EventTime")
     )
     return timed(outcomes)
 
@@ -220,7 +260,9 @@ def _close_time(spark, state: str, delay: str) -> None:
     mark.write.mode("overwrite").parquet(f"{state}/arrived/finish-{newest}/late=false")
 
 
-def run_tracker(actions: DataFrame, path: str, checkpoint: str, delay: str = "1 minute", finish: bool = False):
+def run_tracker(
+    actions: DataFrame, path: str, checkpoint: str, delay: str = "1 minute", finish: bool = False, few: int = FEW, slot: int = SLOT
+):
     """Track what has arrived and stop; call again for what arrives later.
 
     Every action ends up in one table under ``path``, in whatever order and batches it came: judged in order of time if it came no later than
@@ -233,7 +275,7 @@ def run_tracker(actions: DataFrame, path: str, checkpoint: str, delay: str = "1
         _close_time(spark, checkpoint, delay)
     admitted = spark.readStream.schema(ACTIONS).parquet(f"{checkpoint}/arrived/*/late=false")
     return (
-        track_leases(admitted, delay).writeStream.outputMode("append")
+        track_leases(admitted, delay, few, slot).writeStream.outputMode("append")
         .foreachBatch(into_tables(path)).option("checkpointLocation", f"{checkpoint}/leases")
         .trigger(availableNow=True).start()
     )

@@ -114,6 +114,37 @@ def test_actions_wait_until_their_time_is_closed(spark, tmp_path):
     assert rows(again.where("event_id >= 20 and event_id < 90"), "outcome") == [("late",), ("late",)] and again.count() == 9
 
 
+def test_a_question_has_one_state_and_one_timer_for_all_its_actions(spark, tmp_path):
+    """400 actions on four questions: state is written for each question, not for each action."""
+    log = actions(spark, *[(i, i % 4, f"r{i % 3}", ["claim", "renew", "skip"][i % 7 % 3], None, None) for i in range(400)])
+    log.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(lt.ACTIONS).parquet(f"{tmp_path}/in")
+    query = lt.run_tracker(stream, f"{tmp_path}/out", f"{tmp_path}/state", finish=True)
+    query.awaitTermination()
+    held = [p["stateOperators"][0] for p in query.recentProgress]
+    assert max(x["numRowsUpdated"] for x in held) <= 4 and max(x["customMetrics"].get("numRegisteredTimers", 0) for x in held) <= 4
+    want = fold_leases(log, log.select(F.max("at")).scalar())
+    assert rows(lt.read_outcomes(spark, f"{tmp_path}/out"), *SHOWN) == rows(want, *SHOWN)
+
+
+def test_many_waiting_actions_are_judged_slot_by_slot(spark, tmp_path):
+    """One question with two thirds of the actions, three of which may wait beside its lease; arrivals overlap."""
+    log = actions(spark, *[(i, 1 if i % 3 else 2 + i % 4, f"r{i % 5}", ["claim", "claim", "renew", "skip", "submit"][i % 11 % 5],
+                            "Pass" if i % 13 == 12 else None, None) for i in range(300)])
+    for i, arriving in enumerate((F.col("event_id") % 2 == 0, F.col("event_id") % 4 == 1, F.col("event_id") % 4 == 3)):
+        log.where(arriving).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(lt.ACTIONS).parquet(f"{tmp_path}/in")
+        lt.run_tracker(stream, f"{tmp_path}/out", f"{tmp_path}/state", "200 minutes", i == 2, few=3, slot=7 * 60_000).awaitTermination()
+        if i == 0:
+            # Part of a slot has been judged.
+            assert 0 < lt.read_outcomes(spark, f"{tmp_path}/out").where("event_id is not null").count() < 100
+    got = lt.read_outcomes(spark, f"{tmp_path}/out")
+    late = log.where("event_id % 2 = 1 and event_id <= 98")
+    want = fold_leases(log.join(late, "event_id", "left_anti").select(*lt.ACTIONS.fieldNames()), log.select(F.max("at")).scalar())
+    assert rows(got.where("outcome = 'late'"), "event_id") == rows(late, "event_id")
+    assert rows(got.where("outcome <> 'late'"), *SHOWN) == rows(want, *SHOWN)
+
+
 def test_live_counts_follow_arrivals(spark, tmp_path):
     days = ["2026-01-01", "2026-01-01", "2026-01-02"]
     for i, day in enumerate(days):
