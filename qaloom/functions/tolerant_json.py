@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,8 +29,16 @@ def drop_trailing_commas(text: Column) -> Column:
     return F.regexp_replace(text, f"{_LITERAL}|{_TRAILING_COMMA}", "$1")
 
 
+# Text that stays: a stretch of literals and of marks that begin nothing that goes. What follows it is a comment or a trailing comma,
+# which may have comments before its closing bracket. Frequent forms stand first: literals without escapes, commas before plain marks.
+_WHOLE_LITERAL = r'"(?>[^"\\]*)(?:"|(?:\\[\s\S]?[^"\\]*+)++(?:"|\z)|\z)'
+_KEPT_COMMA = rf",(?![{SPACE}/}}\]])|,(?!(?:[{SPACE}]|{_COMMENT})*+[}}\]])"
+_STAYS = rf"""((?:(?>[^"/,]+)|{_WHOLE_LITERAL}|{_KEPT_COMMA}|/(?![/*]))++)"""
+
+
 def relax(text: Column) -> Column:
-    return drop_trailing_commas(strip_comments(text))
+    """The text without comments, and then without trailing commas, in one pass."""
+    return F.regexp_replace(text, f"{_STAYS}|{_COMMENT}|,", "$1")
 
 
 def strict_decoder() -> json.JSONDecoder:
@@ -51,38 +60,41 @@ def read_at(decoder: json.JSONDecoder, text: str, start: int) -> tuple[object, i
         return None
 
 
+# How a list begins whose first entry is an object.
+_OBJECT_LIST = re.compile(r"\[(?=[ \t\n\r]*\{)")
+_OBJECT = re.compile(r"\{")
+
+
 def find_values(
-    decoder: json.JSONDecoder, text: str | None, opener: str, wanted=lambda value: True
+    decoder: json.JSONDecoder, text: str | None, opener: re.Pattern, wanted=lambda value: True
 ) -> Iterator[dict[str, int]]:
     """Where wanted JSON values that begin with ``opener`` stand in one text (1-based)."""
-    start = -1 if text is None else text.find(opener)
-    while start != -1:
+    for candidate in opener.finditer(text or ""):
+        start = candidate.start()
         found = read_at(decoder, text, start)
         if found and wanted(found[0]):
             yield {"start": start + 1, "length": found[1] - start}
-        start = text.find(opener, start + 1)
 
 
 def is_object_list(value: object) -> bool:
     return bool(value) and all(isinstance(entry, dict) for entry in value)
 
 
-def _object_list_spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    decoder = strict_decoder()
-    for texts in batches:
-        yield texts.map(lambda t: list(find_values(decoder, t, "[", is_object_list)))
+_SPANS = "array<struct<start int, length int>>"
+_ARROW_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
 
 
-def _first_object_spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _object_list_spans(texts: pa.Array) -> pa.Array:
     decoder = strict_decoder()
-    for lists in batches:
-        yield lists.map(
-            lambda blocks: None if blocks is None
-            else [next(find_values(decoder, block, "{"), None) for block in blocks]
-        )
+    return pa.array([list(find_values(decoder, t, _OBJECT_LIST, is_object_list)) for t in texts.to_pylist()], _ARROW_SPANS)
 
 
-_SPANS = "array<struct<start int, length int>>"
+def _first_object_spans(lists: pa.Array) -> pa.Array:
+    decoder = strict_decoder()
+    return pa.array([
+        None if blocks is None else [next(find_values(decoder, block, _OBJECT), None) for block in blocks]
+        for blocks in lists.to_pylist()
+    ], _ARROW_SPANS)
 
 
 def object_list_spans(text: Column) -> Column:
@@ -91,12 +103,12 @@ def object_list_spans(text: Column) -> Column:
     Arrays inside others count too. Positions, not copies: nested arrays would
     repeat the text once per level.
     """
-    return F.pandas_udf(_object_list_spans, _SPANS)(text)
+    return F.arrow_udf(_object_list_spans, _SPANS)(text)
 
 
 def first_object_spans(blocks: Column) -> Column:
     """For each text of an array, where its first readable JSON object stands."""
-    return F.pandas_udf(_first_object_spans, _SPANS)(blocks)
+    return F.arrow_udf(_first_object_spans, _SPANS)(blocks)
 
 
 def values_at(text: Column, spans: Column) -> Column:

@@ -11,37 +11,46 @@ from qaloom.functions import tolerant_json as tj
 CALL_BLOCK = r"(?s)<tool_call>(.*?)</tool_call>"
 CALL_TAG = "<tool_call>"
 
+# What is read of a definition, an entry and a call. One cast to a shape reads a value once, where a path for each part would walk
+# to it each time; what has another type becomes null. The values of a map mean nothing, null being the cheapest.
+_FUNCTION = "name variant, parameters struct<properties map<string,boolean>, required array<variant>>"
+_ENTRY = f"struct<{_FUNCTION}, `function` struct<{_FUNCTION}>>"
+_CALL = "struct<name variant, arguments map<string,boolean>>"
 
-def _let(value: Column, body) -> Column:
+
+def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often it is used."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _names(value: Column, path: str) -> Column:
-    """Keys of the object at a path; empty when there is no object."""
-    keys = F.map_keys(F.try_variant_get(value, path, "map<string,variant>"))
-    return F.coalesce(keys, F.array().cast("array<string>"))
+def _names(found: Column) -> Column:
+    """Keys of a map; empty when there is none."""
+    return F.coalesce(F.map_keys(found), F.array().cast("array<string>"))
 
 
 def _get(value: Column, path: str) -> Column:
     return F.try_variant_get(value, path, "variant")
 
 
-def _text(value: Column, path: str) -> Column:
-    """The string at a path, null when it is anything else."""
-    found = _get(value, path)
-    return F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(value, path, "string"))
+def _is_text(value: Column) -> Column:
+    return F.schema_of_variant(value) == "STRING"
 
 
-def _is_object(value: Column, path: str = "$") -> Column:
-    return F.try_variant_get(value, path, "map<string,variant>").isNotNull()
+def _text(value: Column, path: str) -> Column:
+    """The string at a path, null when it is anything else."""
+    return F.when(_is_text(_get(value, path)), F.try_variant_get(value, path, "string"))
 
 
 def definition(entry: Column) -> Column:
     """The function definition in one array entry, wrapped or bare, else null."""
-    return F.when(
-        _text(entry, "$.function.name").isNotNull(), _get(entry, "$.function")
-    ).when(_text(entry, "$.name").isNotNull() & _is_object(entry, "$.parameters"), entry)
+    return F.when(_is_text(_get(entry, "$.function.name")), _get(entry, "$.function")).when(
+        _is_text(_get(entry, "$.name")) & F.try_variant_get(entry, "$.parameters", "map<string,boolean>").isNotNull(), entry
+    )
+
+
+def _whole(found: Column) -> Column:
+    """An array, or null when it is empty or lacks an element."""
+    return let(found, lambda all_: F.when((F.size(all_) > 0) & F.forall(all_, lambda x: x.isNotNull()), all_))
 
 
 def definitions(value: Column) -> Column:
@@ -49,30 +58,54 @@ def definitions(value: Column) -> Column:
 
     A tool schema is a non-empty array in which every entry is a definition.
     """
-    entries = F.try_variant_get(value, "$", "array<variant>")
-    return _let(
-        F.transform(entries, definition),
-        lambda found: F.when((F.size(found) > 0) & F.forall(found, lambda d: d.isNotNull()), found),
-    )
+    return _whole(F.transform(F.try_variant_get(value, "$", "array<variant>"), definition))
+
+
+def _strings(listed: Column) -> Column:
+    """Strings of an ``array<variant>`` in order, repeats kept."""
+    names = F.transform(F.filter(listed, _is_text), lambda v: v.try_cast("string"))
+    return F.coalesce(names, F.array().cast("array<string>"))
 
 
 def required_names(fn: Column) -> Column:
     """Strings of the ``required`` list in order, repeats kept."""
-    listed = F.try_variant_get(fn, "$.parameters.required", "array<variant>")
-    names = F.filter(listed, lambda v: F.schema_of_variant(v) == "STRING")
-    names = F.transform(names, lambda v: F.try_variant_get(v, "$", "string"))
-    return F.coalesce(names, F.array().cast("array<string>"))
+    return _strings(F.try_variant_get(fn, "$.parameters.required", "array<variant>"))
 
 
-def as_tools(found: Column) -> Column:
-    """``array<struct<name, properties, required>>`` of a definitions array."""
-    return F.transform(
-        found,
-        lambda fn: F.struct(
-            F.try_variant_get(fn, "$.name", "string").alias("name"),
-            _names(fn, "$.parameters.properties").alias("properties"),
-            required_names(fn).alias("required"),
-        ),
+def tools(value: Column) -> Column:
+    """``array<struct<name, properties, required>>`` of a tool schema; null where ``definitions`` is."""
+    def tool(fn: Column) -> Column:
+        return F.struct(
+            fn["name"].try_cast("string").alias("name"),
+            _names(fn["parameters"]["properties"]).alias("properties"),
+            _strings(fn["parameters"]["required"]).alias("required"),
+        )
+
+    def read(entry: Column) -> Column:
+        return F.when(_is_text(entry["function"]["name"]), tool(entry["function"])).when(
+            _is_text(entry["name"]) & entry["parameters"].isNotNull(), tool(entry)
+        )
+
+    return _whole(F.transform(F.try_variant_get(value, "$", f"array<{_ENTRY}>"), read))
+
+
+def _relaxed(text: Column) -> Column:
+    """A text that may declare tools, made readable; null when it lacks one kind of opening bracket and so cannot."""
+    return F.when(text.contains("[") & text.contains("{"), tj.relax(text))
+
+
+def _first(relaxed: Column, spans: Column, read) -> Column:
+    """What is read of the first value that is a tool schema."""
+    found = F.transform(tj.values_at(relaxed, spans), read)
+    return F.try_element_at(F.filter(found, lambda d: d.isNotNull()), F.lit(1))
+
+
+def _with_first(df: DataFrame, text: str, out: str, read) -> DataFrame:
+    return (
+        df.withColumn("_relaxed", _relaxed(F.col(text)))
+        .withColumn("_spans", tj.object_list_spans(F.col("_relaxed")))
+        .withColumn(out, _first(F.col("_relaxed"), F.col("_spans"), read))
+        .drop("_relaxed", "_spans")
     )
 
 
@@ -82,67 +115,63 @@ def with_tool_definitions(df: DataFrame, text: str = "instruction", out: str = "
     Rows without both kinds of opening bracket cannot hold a definition, so they
     pass null to the Python scanner instead of their text.
     """
-    return (
-        df.withColumn("_relaxed", F.when(
-            F.col(text).contains("[") & F.col(text).contains("{"), tj.relax(F.col(text))
-        ))
-        .withColumn("_spans", tj.object_list_spans(F.col("_relaxed")))
-        .withColumn(
-            out,
-            F.try_element_at(
-                F.filter(
-                    F.transform(tj.values_at(F.col("_relaxed"), F.col("_spans")), definitions),
-                    lambda d: d.isNotNull(),
-                ),
-                F.lit(1),
-            ),
-        )
-        .drop("_relaxed", "_spans")
-    )
+    return _with_first(df, text, out, definitions)
 
 
 def with_tools(df: DataFrame, text: str = "instruction", out: str = "tools") -> DataFrame:
     """Add ``out``: the tools offered by a text, or null."""
-    return (
-        with_tool_definitions(df, text, "_definitions")
-        .withColumn(out, as_tools(F.col("_definitions")))
-        .drop("_definitions")
-    )
+    return _with_first(df, text, out, tools)
 
 
 def _call(payload: Column) -> Column:
-    name = _text(payload, "$.name")
+    return let(F.try_variant_get(payload, "$", _CALL), lambda call: F.when(
+        _is_text(call["name"]),
+        F.struct(call["name"].try_cast("string").alias("name"), _names(call["arguments"]).alias("arguments")),
+    ))
+
+
+def _blocks(text: Column) -> Column:
+    """What stands between the tags of each call, made readable."""
     return F.when(
-        name.isNotNull(),
-        F.struct(name.alias("name"), _names(payload, "$.arguments").alias("arguments")),
+        text.contains(CALL_TAG), F.transform(F.regexp_extract_all(text, F.lit(CALL_BLOCK), F.lit(1)), tj.relax)
     )
 
 
+def _calls(blocks: Column, spans: Column) -> Column:
+    payloads = F.zip_with(
+        blocks, spans, lambda block, span: F.try_parse_json(F.substring(block, span["start"], span["length"]))
+    )
+    return _whole(F.transform(payloads, _call))
+
+
 def with_calls(df: DataFrame, text: str = "output", out: str = "calls") -> DataFrame:
     """Add ``out``: every call a text makes, or null when one cannot be read.
 
     Null also when there is no call at all: either way nothing can be judged.
     """
-    blocks = F.when(
-        F.col(text).contains(CALL_TAG),
-        F.transform(F.regexp_extract_all(F.col(text), F.lit(CALL_BLOCK), F.lit(1)), tj.relax),
-    )
-    payloads = F.zip_with(
-        "_blocks", "_block_spans",
-        lambda block, span: F.try_parse_json(F.substring(block, span["start"], span["length"])),
-    )
-    calls = _let(
-        F.transform(payloads, _call),
-        lambda found: F.when((F.size(found) > 0) & F.forall(found, lambda c: c.isNotNull()), found),
-    )
     return (
-        df.withColumn("_blocks", blocks)
+        df.withColumn("_blocks", _blocks(F.col(text)))
         .withColumn("_block_spans", tj.first_object_spans(F.col("_blocks")))
-        .withColumn(out, calls)
+        .withColumn(out, _calls(F.col("_blocks"), F.col("_block_spans")))
         .drop("_blocks", "_block_spans")
     )
 
 
+def with_tools_and_calls(df: DataFrame, instruction: str, output: str, tools_out: str, calls_out: str) -> DataFrame:
+    """Add both, as ``with_tools`` and ``with_calls`` do; the rows pass through Python once."""
+    return (
+        df.withColumns({"_relaxed": _relaxed(F.col(instruction)), "_blocks": _blocks(F.col(output))})
+        .withColumns({
+            "_spans": tj.object_list_spans(F.col("_relaxed")), "_block_spans": tj.first_object_spans(F.col("_blocks")),
+        })
+        .withColumns({
+            tools_out: _first(F.col("_relaxed"), F.col("_spans"), tools),
+            calls_out: _calls(F.col("_blocks"), F.col("_block_spans")),
+        })
+        .drop("_relaxed", "_blocks", "_spans", "_block_spans")
+    )
+
+
 def catalog(df: DataFrame, keys: list[str], definitions_col: str = "definitions") -> DataFrame:
     """Long tool catalog: one row per function and declared parameter.
 

@@ -65,7 +65,10 @@ def tool_faults(tools: Column, calls: Column) -> Column:
     name the later definition counts.
     """
     def faults(call: Column) -> Column:
-        tool = F.try_element_at(F.filter(tools, lambda t: t["name"] == call["name"]), F.lit(-1))
+        named = F.try_element_at(F.filter(tools, lambda t: t["name"] == call["name"]), F.lit(-1))
+        return tl.let(named, lambda tool: faults_with(call, tool))
+
+    def faults_with(call: Column, tool: Column) -> Column:
         return F.when(tool.isNull(), F.array(F.lit("unknown_tool"))).otherwise(
             _fired(
                 (F.size(F.array_except(call["arguments"], tool["properties"])) > 0, "unknown_argument"),
@@ -113,7 +116,7 @@ def apply_rules(records: DataFrame, data_type: str | Column) -> DataFrame:
         records = records.withColumn("_instruction", F.when(mine, F.col("instruction"))).withColumn(
             "_output", F.when(mine, F.col("output"))
         )
-        records = tl.with_calls(tl.with_tools(records, "_instruction", "_tools"), "_output", "_calls")
+        records = tl.with_tools_and_calls(records, "_instruction", "_output", "_tools", "_calls")
     if kind is None:
         fired, reason = _rule_columns(types[0])
     else:

@@ -1,12 +1,16 @@
 """Tool schemas and JSON in free text, one property to a test."""
 
 import json
+import random
 
 import pytest
+from helpers import rec, records
 from pyspark.sql import functions as F
 
 from qaloom.functions import segments as sg
+from qaloom.functions import tolerant_json as tj
 from qaloom.functions import tools as tl
+from qaloom.operators.rules import apply_rules
 
 
 def numbered(spark, texts, column):
@@ -109,3 +113,45 @@ def test_long_form_has_the_parsed_values(spark):
     df = numbered(spark, ['a {"n": 1} b [2]', "none", "[3]"], "t")
     long = sg.json_segments(df, ["i"], "t").where("json is not null").groupBy("i").count()
     assert {r.i: r["count"] for r in long.collect()} == {0: 2, 2: 1}
+
+
+def test_one_pass_relaxes_like_two(spark):
+    rng = random.Random(5)
+    marks = ['"', "\\", "/", "//", "/*", "*/", "*", ",", "}", "]", "{", "[", " ", "\n", "\t", "\u00a0", "a", "1", ":", '\\"', "$1"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randrange(1, 25))) for _ in range(4000)]
+    texts += [", /* a */ // b\n /* c */ ]", ", /* a */ b]", ",/* open ]", ',"//",]', "," + "/* x */ " * 20000 + "]", '"' + "\\n" * 20000]
+    df = numbered(spark, texts, "t").orderBy("i")
+    got = df.select(tj.relax(F.col("t")), tj.drop_trailing_commas(tj.strip_comments(F.col("t")))).collect()
+    assert [r[0] for r in got] == [r[1] for r in got]
+
+
+def test_tools_are_those_of_the_definitions(spark):
+    """Random schemas: names, parameters and lists of any type, entries wrapped or bare."""
+    rng = random.Random(8)
+
+    def value(depth=0):
+        kinds = [1, 2.5, True, None, "s", "", [], {}, ["k", 3, None, "k", ["z"], "7"], {"k": {}, "v": 1, "w": {"x": [1]}, "": None}]
+        return rng.choice(kinds)
+
+    def function():
+        parameters = {"properties": value(), "required": value(), "more": value()} if rng.random() < 0.7 else value()
+        return {k: v for k, v in {"name": rng.choice(["f", "g", value()]), "parameters": parameters, "description": value()}.items() if rng.random() < 0.93}
+
+    def entry():
+        fn = function()
+        return {"type": "function", "function": fn if rng.random() < 0.9 else value(), **(function() if rng.random() < 0.3 else {})} if rng.random() < 0.5 else fn
+
+    texts = [json.dumps([entry() for _ in range(rng.choice([0, 1, 1, 2, 3]))]) for _ in range(1500)]
+    texts = [t if i % 3 else f"a [1] [ \n {{}}] [\t{t}, {{}}] {t} [{t}]" for i, t in enumerate(texts)]
+    found = tl.with_tool_definitions(tl.with_tools(numbered(spark, texts, "instruction"))).orderBy("i")
+    got = found.select("tools", F.transform("definitions", lambda fn: F.struct(
+        F.try_variant_get(fn, "$.name", "string").alias("name"),
+        F.coalesce(F.map_keys(F.try_variant_get(fn, "$.parameters.properties", "map<string,variant>")), F.array().cast("array<string>")).alias("properties"),
+        tl.required_names(fn).alias("required"))).alias("want")).collect()
+    assert [r.tools for r in got] == [r.want for r in got]
+    assert 100 < sum(r.tools is not None for r in got) < 1400
+
+
+def test_the_tool_rules_pass_rows_through_python_once_and_read_a_value_once(spark):
+    plan = apply_rules(records(spark, rec()), "tool_calling")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("try_variant_get") == 2
