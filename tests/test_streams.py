@@ -145,6 +145,16 @@ def test_many_waiting_actions_are_judged_slot_by_slot(spark, tmp_path):
     assert rows(got.where("outcome <> 'late'"), *SHOWN) == rows(want, *SHOWN)
 
 
+def test_actions_of_one_moment_are_judged_in_order_of_their_ids(spark, tmp_path):
+    """Several actions of a question in one millisecond, also in two arrivals, and one row twice."""
+    log = actions(spark, *[(i // 4, i // 4 % 2, f"r{i % 3}", ["claim", "skip", "renew"][i % 5 % 3], None, None) for i in range(40)])
+    log = log.unionByName(log.where("event_id = 5"))
+    for i in (1, 0):
+        got = arrive(spark, log.where(f"event_id % 2 = {i}"), tmp_path, "60 minutes", finish=i == 0)
+    want = fold_leases(log, log.select(F.max("at")).scalar())
+    assert rows(got, *SHOWN) == rows(want, *SHOWN) and got.where("event_id = 5").count() == 2
+
+
 def test_live_counts_follow_arrivals(spark, tmp_path):
     days = ["2026-01-01", "2026-01-01", "2026-01-02"]
     for i, day in enumerate(days):
